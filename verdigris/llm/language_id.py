@@ -42,7 +42,7 @@ def _fold_table() -> np.ndarray:
 
 def automaton(text: np.ndarray, width: int) -> np.ndarray:
     """Suffix automaton of a sequence of symbols 1..width-1, as a table: state * width + symbol -> next * width.  Where
-    there is no move, the entry is the move from the root, with _MISS set: a new phrase begins.  Symbol 0 pads."""
+    there is no move, and at the root, the entry is the root's move with _MISS set: a new phrase begins.  0 pads."""
     moves, link, length = [{}], [-1], [0]
     last = 0
     for c in text.tolist():
@@ -72,14 +72,10 @@ def automaton(text: np.ndarray, width: int) -> np.ndarray:
     for c, to in moves[0].items():
         root[c] = to * width | _MISS
     table = np.tile(root, (len(moves), 1))
-    for s, m in enumerate(moves):
+    for s, m in enumerate(moves[1:], 1):
         for c, to in m.items():
             table[s, c] = to * width
     table[:, 0] = 0
-    table[0] &= ~_MISS  # at the root, a move begins the phrase that is counted where it ends
-    unknown = root == _MISS
-    unknown[0] = False
-    table[:, unknown] = _MISS
     return table.ravel()
 
 
@@ -114,7 +110,7 @@ class Model:
                 state = table.take(state + row)
                 count += state >> 30
                 state &= _MISS - 1
-            out[k] = count + 1
+            out[k] = count
         return out
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
