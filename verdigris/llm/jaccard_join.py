@@ -237,32 +237,30 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     agree = rows.select("k1", "k2", "n", "class", "need", F.explode("sigs").alias("sig")).join(_small(shared), "sig")
     enough = agree.groupBy("k1", "k2", "class", "need").agg(F.collect_set("sig").alias("sigs"), F.first("n").alias("n")).where("size(sigs) >= need")
     kept = scratch.keep(enough.join(same, ["k1", "k2"]).select("rep", "n", F.explode("sigs").alias("sig")), "kept")
-    scratch.drop(shared)
-
-    least = kept.groupBy("sig").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).where("b < c").select("sig", "b")
-    clusters = scratch.keep(components(kept.join(least, "sig").select(F.col("rep").alias("a"), "b").distinct(), scratch), "clusters")
-    members = kept.select("rep", "n").distinct().join(clusters, F.col("rep") == F.col("id")).select("rep", "n", F.col("component").alias("cluster"))
-    members = scratch.keep(members, "members")
-
-    ends = ENDS[ENDS < 1 << 31].tolist()
-    size_class = F.size(F.filter(F.array(*map(F.lit, ends)), lambda e: e < F.col("n")))
-    members = members.withColumn("weight", F.col("n") + ROW)
-    whole = members.groupBy("cluster").agg(F.sum("weight").alias("total"))
-    members = members.join(whole, "cluster").withColumn("class", F.when(F.col("total") <= BLOCK, 0).otherwise(size_class))
-    dealt = members.groupBy("cluster", "class").agg(F.ceil(F.sum("weight") / BLOCK).cast("int").alias("blocks"))
-    own = members.join(dealt, ["cluster", "class"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    others = dealt.select("cluster", F.col("class").alias("to_class"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to_block"))
-    others = others.withColumn("class", F.explode(F.array(F.col("to_class") - 1, F.col("to_class"), F.col("to_class") + 1)))
-    me, it = (F.shiftleft(F.col(c).cast("bigint"), 32) + F.col(b) for c, b in (("class", "block"), ("to_class", "to_block")))
-    pairs = own.join(others, ["cluster", "class"]).select("rep", F.xxhash64("cluster", F.least(me, it), F.greatest(me, it)).alias("pair"), (me <= it).alias("left"))
-
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
+    every = scratch.keep(rows.where("not again").select("doc_id", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), F.when(F.col("n") > 0, F.col("k2")).alias("k2")).join(same, ["k1", "k2"], "left").select("doc_id", "n", "rep"), "every")
+    scratch.drop(shared, rows)
+
+    # Row blocks: rows whose least partner is the same stay together, as far as a block holds them.
+    least = kept.groupBy("sig").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").drop("most")
+    kept = kept.join(least, "sig")
+    members = scratch.keep(kept.groupBy("rep").agg(F.min("least").alias("pivot"), (F.max("n") + ROW).alias("weight")), "members")
+    light = max(1, -(-(members.agg(F.sum("weight")).first()[0] or 0) // BLOCK))
+    of_pivot = members.groupBy("pivot").agg(F.sum("weight").alias("total"))
+    own = F.xxhash64("pivot", F.pmod(F.xxhash64("rep"), F.ceil(F.col("total") / BLOCK)))
+    together = F.pmod(F.xxhash64("pivot"), F.lit(light))
+    homes = scratch.keep(members.join(of_pivot, "pivot").select("rep", F.when(F.col("total") > BLOCK // 4, own).otherwise(together).alias("home")), "homes")
+
+    # A row goes where a row that it agrees with is at home; each pair of row blocks is one group.
+    at_home = kept.select("rep", "sig").join(homes, "rep")
+    there = at_home.groupBy("sig", "home").agg(F.count("*").alias("rows")).withColumnRenamed("home", "to")
+    meet = at_home.join(there, "sig").where("home <> to or rows > 1").select("rep", "home", "to").distinct()
+    pairs = meet.select("rep", F.xxhash64(F.least("home", "to"), F.greatest("home", "to")).alias("pair"), (F.col("home") <= F.col("to")).alias("left"))
+    wanted = members.select(F.col("rep").alias("doc_id"))
     texts = docs.join(_small(wanted), "doc_id", "left_semi").dropDuplicates()
     sets = scratch.keep(texts.mapInArrow(_sets(k), "doc_id bigint, items array<bigint>"), "sets")
     blocks = pairs.join(sets, pairs["rep"] == sets["doc_id"]).select("pair", "left", "doc_id", "items")
     links = scratch.keep(blocks.groupBy("pair").applyInArrow(_multiply(percent), "a bigint, b bigint"), "links")
+    scratch.drop(sets)
     found = components(links, scratch)
-
-    every = rows.where("n > 0 and not again").select("doc_id", "n", "k1", "k2").union(rows.where("n = 0").select("doc_id", "n", F.lit(None).cast("bigint"), F.lit(None).cast("bigint")))
-    out = every.join(same, ["k1", "k2"], "left").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    out = every.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("representative"), F.coalesce("component", "rep", "doc_id").alias("component_id"))

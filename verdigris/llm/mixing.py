@@ -133,5 +133,8 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     out = copies.drop("doc_id").join(texts, ["id", "key", "s"])
     words = F.regexp_extract_all("text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
     chosen = F.filter("pieces", lambda p: p["times"] >= F.col("copy"))
-    out = out.withColumn("words", words).withColumn("text", F.array_join(F.flatten(F.transform(chosen, lambda p: F.slice(F.col("words"), (p["first"] + 1).cast("int"), p["words"].cast("int")))), ""))
+    # a text is cut into words once, not for each piece: the struct binds them
+    bound = F.array(F.struct(words.alias("w"), chosen.alias("c")))
+    joined = F.transform(bound, lambda x: F.array_join(F.flatten(F.transform(x["c"], lambda p: F.slice(x["w"], (p["first"] + 1).cast("int"), p["words"].cast("int")))), ""))
+    out = out.withColumn("text", F.get(joined, F.lit(0)))
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
