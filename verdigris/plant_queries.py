@@ -1,2 +1,275 @@
-QUERIES = {}
-SQL = {}
+"""Registered queries of the engine's own operators on the driver's tables, each with its SQL.
+
+The owner tree stands for region -> nation -> customer -> order -> line (SITE, ZONE, EQUI, BRAN, PART); ids carry the
+level in their leading digits.  `events` is the change stream.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from verdigris.functions import texts
+from verdigris.operators import changes, relate, tree
+
+LEVEL = 1_000_000_000_000
+_EVENTS_OP = "case pmod(event_id, 5) when 0 then 'A' when 4 then 'D' else 'M' end"
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def elements(spark: SparkSession, sf_dir: str, lines: bool = True) -> DataFrame:
+    def level(table: str, no: int, key: str, owner: str, seq: str, noun: str) -> DataFrame:
+        return _t(spark, sf_dir, table).selectExpr(f"cast({no * LEVEL} + {key} as bigint) as refno", f"cast({owner} as bigint) as owner", f"cast({seq} as bigint) as seq", f"'{noun}' as noun")
+
+    out = level("region", 1, "r_regionkey", "null", "r_regionkey", "SITE")
+    out = out.union(level("nation", 2, "n_nationkey", f"{LEVEL} + n_regionkey", "n_nationkey", "ZONE"))
+    out = out.union(level("customer", 3, "c_custkey", f"{2 * LEVEL} + c_nationkey", "c_custkey", "EQUI"))
+    out = out.union(level("orders", 4, "o_orderkey", f"{3 * LEVEL} + o_custkey", "o_orderkey", "BRAN"))
+    if lines:
+        out = out.union(level("lineitem", 5, "l_orderkey * 10 + l_linenumber", f"{4 * LEVEL} + l_orderkey", "l_linenumber", "PART").distinct())
+    return out
+
+
+_UPPER = f"""select {LEVEL} + r_regionkey as refno, cast(null as bigint) as owner, cast(r_regionkey as bigint) as seq, 'SITE' as noun from region
+ union all select {2 * LEVEL} + n_nationkey, {LEVEL} + n_regionkey, n_nationkey, 'ZONE' from nation
+ union all select {3 * LEVEL} + c_custkey, {2 * LEVEL} + c_nationkey, c_custkey, 'EQUI' from customer
+ union all select {4 * LEVEL} + o_orderkey, {3 * LEVEL} + o_custkey, o_orderkey, 'BRAN' from orders"""
+_ELEMENTS = f"elements as ({_UPPER} union all select distinct {5 * LEVEL} + l_orderkey * 10 + l_linenumber, {4 * LEVEL} + l_orderkey, cast(l_linenumber as bigint), 'PART' from lineitem)"
+_CLOSED = f"""with recursive {_ELEMENTS}, closed as (select refno, refno as anc, 0 as depth from elements
+ union all select c.refno, e.owner, c.depth + 1 from closed c join elements e on e.refno = c.anc where e.owner is not null)"""
+_CHANGES = "changes as (select user_id as refno, event_id // 100 as sesno, event_id as seq, case event_id % 5 when 0 then 'A' when 4 then 'D' else 'M' end as op from events)"
+
+
+def change_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").selectExpr("user_id as refno", "event_id div 100 as sesno", "event_id as seq", f"{_EVENTS_OP} as op")
+
+
+def q_closure(spark, d):
+    return tree.closure(elements(spark, d)).groupBy("depth").agg(F.count("*").alias("n"), F.countDistinct("anc").alias("n_anc"))
+
+
+def q_ancestor_arrays(spark, d):
+    e = elements(spark, d, lines=False)
+    return tree.with_ancestors(e, tree.closure(e)).select("refno", F.concat_ws(",", "anc").alias("anc"))
+
+
+def q_descendants(spark, d):
+    e = elements(spark, d)
+    sites = e.where("noun = 'SITE'").select("refno")
+    return tree.descendants(tree.closure(e), sites).groupBy("root").agg(F.count("*").alias("n"), F.max("depth").cast("int").alias("deepest"))
+
+
+def q_nearest_ancestor(spark, d):
+    e = elements(spark, d, lines=False)
+    return tree.nearest_ancestor(e, tree.closure(e), F.col("noun").isin("EQUI", "ZONE"))
+
+
+def q_siblings(spark, d):
+    return tree.siblings(elements(spark, d)).select("refno", "ordinal", "same_noun_ordinal", "prev", "next", "first_child", "last_child")
+
+
+def q_neighbours_skipping(spark, d):
+    return tree.neighbours_skipping(elements(spark, d), F.col("seq") % 3 == 0).select("refno", "prev_kept", "next_kept")
+
+
+def q_refno_forms(spark, d):
+    packed = tree.pack_refno(F.col("n_regionkey"), F.col("n_nationkey"))
+    return _t(spark, d, "nation").select("n_nationkey", packed.alias("refno"), tree.refno_text(packed).alias("text"))
+
+
+def q_fold_net(spark, d):
+    return changes.fold_net(change_stream(spark, d))
+
+
+_FOLD_ROWS = ", ".join(f"('{b}', '{op}', '{to}')" for (b, op), to in changes.FOLD.items())
+_NET = f"""fold(b, op, s) as (values {_FOLD_ROWS}), numbered as (select *, row_number() over (partition by refno order by sesno, seq) as i from changes),
+ walk as (select n.refno, n.i, f.s, n.sesno from numbered n join fold f on f.b = '' and f.op = n.op where n.i = 1
+ union all select n.refno, n.i, f.s, n.sesno from walk w join numbered n on n.refno = w.refno and n.i = w.i + 1 join fold f on f.b = w.s and f.op = n.op),
+ net as (select refno, arg_max(s, i) as net, max(i) as n_ops, max(sesno) as last_sesno from walk group by refno)"""
+
+
+def q_last_writer(spark, d):
+    rows = _t(spark, d, "events").selectExpr("user_id as refno", "event_type as name", "value", "event_id div 100 as sesno", "event_id as seq")
+    return changes.last_writer(rows)
+
+
+def q_change_runs(spark, d):
+    return changes.runs(change_stream(spark, d))
+
+
+def q_unit_rollup(spark, d):
+    """Net changes of customers' elements by their zone."""
+    net = changes.fold_net(change_stream(spark, d)).withColumn("refno", F.col("refno") + F.lit(3 * LEVEL))
+    e = elements(spark, d, lines=False)
+    roots = tree.nearest_ancestor(e, tree.closure(e.where("noun <> 'BRAN'")), F.col("noun") == "ZONE").select("refno", "root")
+    return changes.rollup(net, roots, roots)
+
+
+def q_moved_rollup(spark, d):
+    """As if every customer divisible by three had moved to the next nation."""
+    net = changes.fold_net(change_stream(spark, d))
+    c = _t(spark, d, "customer")
+    old = c.selectExpr("c_custkey as refno", "cast(c_nationkey as bigint) as root")
+    new = c.selectExpr("c_custkey as refno", "cast(case when c_custkey % 3 = 0 then (c_nationkey + 1) % 25 else c_nationkey end as bigint) as root")
+    return changes.rollup(net, old, new)
+
+
+def q_as_of(spark, d):
+    """Of each event, the latest order of its user up to its time."""
+    e = _t(spark, d, "events").selectExpr("user_id as k", "event_id", "ts")
+    o = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("t")).agg(F.max("o_orderkey").alias("o_orderkey"))
+    return relate.as_of(e, o, "k", "ts", "t", ["o_orderkey"]).select("event_id", "o_orderkey")
+
+
+_BANDS = [(0, 10, "s"), (10, 20, "m"), (15, 40, "l"), (41, 50, "xl")]
+
+
+def q_range_rules(spark, d):
+    rules = spark.createDataFrame(_BANDS, "lo int, hi int, band string")
+    return relate.range_join(_t(spark, d, "part").select("p_partkey", "p_size"), rules, "p_size").select("p_partkey", "band")
+
+
+def _points(spark, d):
+    return _t(spark, d, "embeddings").selectExpr("vec_id as id", *(f"cast(embedding[{i}] as double) as {a}" for i, a in enumerate(relate.AXES)))
+
+
+def _boxes(spark, d, half):
+    p = _points(spark, d)
+    return p.select("id", *(e for a in relate.AXES for e in ((F.col(a) - half).alias(f"min_{a}"), (F.col(a) + half).alias(f"max_{a}"))))
+
+
+_POINTS = "points as (select vec_id as id, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y, cast(embedding[3] as double) as z from embeddings)"
+_BOXES = "boxes as (select id, x - h as min_x, x + h as max_x, y - h as min_y, y + h as max_y, z - h as min_z, z + h as max_z, h from points, (values (0.05), (0.2)) as t(h))"
+
+
+def q_box_overlap(spark, d):
+    return relate.box_overlap(_boxes(spark, d, 0.05).where("id % 2 = 0"), _boxes(spark, d, 0.2).where("id % 2 = 1"), 0.4)
+
+
+def q_room_members(spark, d):
+    """Boxes of even ids as parts, of odd ids as rooms: verdict by corners, then the strongest room of each part."""
+    parts, rooms = (_boxes(spark, d, h) for h in (0.05, 0.2))
+    pairs = relate.box_overlap(parts.where("id % 2 = 0"), rooms.where("id % 2 = 1"), 0.4)
+    for side, b in (("left", parts), ("right", rooms)):
+        pairs = pairs.join(b.select(F.col("id").alias(f"{side}_id"), *(F.col(c).alias(f"{side}_{c}") for c in b.columns if c != "id")), f"{side}_id")
+    centre = lambda s, a: (F.col(f"{s}_min_{a}") + F.col(f"{s}_max_{a}")) / 2
+    dist = F.round(F.sqrt(sum((centre("left", a) - centre("right", a)) ** 2 for a in relate.AXES)), 6)
+    edges = pairs.select(F.col("left_id").alias("element"), F.col("right_id").alias("room"), relate.corners_inside("left", "right").alias("inside_count"), dist.alias("center_dist"), F.concat(F.lit("R"), "right_id").alias("room_num"))
+    return relate.strongest(edges.where("inside_count > 0")).select("element", "room", "inside_count", "center_dist")
+
+
+def q_nearest_level(spark, d):
+    p = _t(spark, d, "part").selectExpr("p_partkey", "p_brand", "p_retailprice")
+    f = p.where("p_partkey % 10 = 0").groupBy("p_brand", F.col("p_retailprice").alias("level")).agg(F.min("p_partkey").alias("floor"))
+    return relate.nearest_below(p, f, "p_brand", "p_retailprice").select("p_partkey", "floor", "level")
+
+
+def q_within_radius(spark, d):
+    p = _points(spark, d)
+    return relate.within_radius(p, p.where("id % 50 = 0"), 0.4).select("id", "centre", F.round("dist", 6).alias("dist"))
+
+
+def q_reverse_closure(spark, d):
+    """Who is affected, in how few hops, when the parts 1 to 3 change: part <- line <- order <- customer."""
+    li = _t(spark, d, "lineitem").selectExpr(f"cast({4 * LEVEL} + l_orderkey as bigint) as referrer", f"cast({6 * LEVEL} + l_partkey as bigint) as referenced")
+    o = _t(spark, d, "orders").selectExpr(f"cast({3 * LEVEL} + o_custkey as bigint) as referrer", f"cast({4 * LEVEL} + o_orderkey as bigint) as referenced")
+    seeds = spark.range(6 * LEVEL + 1, 6 * LEVEL + 4).withColumnRenamed("id", "refno")
+    return relate.reverse_closure(li.union(o), seeds)
+
+
+def q_golden_compare(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", "p_retailprice")
+    actual = p.where("p_partkey % 7 <> 0").select("p_partkey", (F.col("p_retailprice") + F.when(F.col("p_partkey") % 5 == 0, 1.0).otherwise(0.001)).alias("p_retailprice"))
+    return relate.compare(p.where("p_partkey % 11 <> 0"), actual, "p_partkey", ["p_retailprice"], 0.01).select("p_partkey", "verdict")
+
+
+def q_ordered_rules(spark, d):
+    rule = relate.first_rule([(F.col("p_type").contains("BRASS") | F.col("p_name").contains("brass"), F.lit("brass")), (F.col("p_size") > 40, F.lit("large")), (F.col("p_size") > 20, F.lit("middle"))], F.lit("small"))
+    return _t(spark, d, "part").select("p_partkey", rule.alias("kind"))
+
+
+def q_page(spark, d):
+    return relate.page(_t(spark, d, "orders").select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), F.col("o_orderkey")], 20, 40)
+
+
+def q_take_off(spark, d):
+    """Material take-off: lines by order branch with catalogue dimensions."""
+    li = _t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    p = _t(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    j = li.join(p, F.col("l_partkey") == F.col("p_partkey"), "left")
+    return j.groupBy("p_brand").agg(F.count("*").alias("n_lines"), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.sum(F.col("l_quantity") * F.coalesce("p_size", F.lit(0))), 2).alias("weight"))
+
+
+def q_database_stats(spark, d):
+    return elements(spark, d).groupBy("noun").agg(F.count("*").alias("n"), F.max("refno").alias("max_refno"))
+
+
+def q_without_orders(spark, d):
+    return _t(spark, d, "customer").join(_t(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+def q_with_large_orders(spark, d):
+    big = _t(spark, d, "orders").where("o_totalprice > 200000")
+    return _t(spark, d, "customer").join(big, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
+
+
+def q_crowded_groups(spark, d):
+    return _t(spark, d, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def q_overlay(spark, d):
+    """Post state over base: later prices replace, deletions (divisible by 9) go."""
+    base = _t(spark, d, "part").where("p_partkey % 4 <> 0").selectExpr("p_partkey as k", "p_size as v")
+    post = _t(spark, d, "part").where("p_partkey % 3 = 0").selectExpr("p_partkey as k", "p_size + 100 as v", "p_partkey % 9 = 0 as gone")
+    return base.join(post.withColumnRenamed("v", "w"), "k", "full_outer").where("not coalesce(gone, false)").select("k", F.coalesce("w", "v").alias("v"))
+
+
+def q_text_functions(spark, d):
+    n = F.col("n_name")
+    return _t(spark, d, "nation").select("n_nationkey", texts.slice_text(n, -3, None).alias("tail"), texts.slice_text(n, 1, 3).alias("mid"), texts.is_numeric(F.substring(n, 1, 1)).alias("num"), texts.like_star(n, "*A*").alias("has_a"))
+
+
+def q_array_functions(spark, d):
+    xs = F.sequence(F.col("n_regionkey"), F.col("n_regionkey") + 3)
+    ys = F.array(F.col("n_nationkey"), F.lit(2), F.lit(2))
+    j = lambda c: F.concat_ws(",", F.array_sort(c))
+    return _t(spark, d, "nation").select("n_nationkey", j(F.array_union(xs, ys)).alias("u"), j(F.array_except(xs, ys)).alias("c"), j(F.array_intersect(xs, ys)).alias("i"), j(F.array_distinct(ys)).alias("d"), texts.find_index(xs, F.lit(2)).alias("at"))
+
+
+_C = _CLOSED
+QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
+SQL = {
+    "closure": f"{_C} select depth, count(*) as n, count(distinct anc) as n_anc from closed group by depth",
+    "ancestor_arrays": f"with recursive elements as ({_UPPER}), closed as (select refno, refno as anc, 0 as depth from elements union all select c.refno, e.owner, c.depth + 1 from closed c join elements e on e.refno = c.anc where e.owner is not null) select refno, string_agg(cast(anc as varchar), ',' order by depth) as anc from closed group by refno",
+    "descendants": f"{_C} select anc as root, count(*) as n, max(depth) as deepest from closed where anc < {2 * LEVEL} group by anc",
+    "nearest_ancestor": f"with recursive elements as ({_UPPER}), closed as (select refno, refno as anc, 0 as depth from elements union all select c.refno, e.owner, c.depth + 1 from closed c join elements e on e.refno = c.anc where e.owner is not null) select c.refno, arg_min(c.anc, c.depth) as root, min(c.depth) as depth from closed c join elements e on e.refno = c.anc and e.noun in ('EQUI', 'ZONE') group by c.refno",
+    "siblings": f"with {_ELEMENTS} select refno, row_number() over w as ordinal, row_number() over (partition by owner, noun order by seq, refno) as same_noun_ordinal, lag(refno) over w as prev, lead(refno) over w as next, first_value(refno) over (partition by owner order by seq, refno rows between unbounded preceding and unbounded following) as first_child, last_value(refno) over (partition by owner order by seq, refno rows between unbounded preceding and unbounded following) as last_child from elements where owner is not null window w as (partition by owner order by seq, refno)",
+    "neighbours_skipping": f"with {_ELEMENTS} select refno, last_value(case when seq % 3 <> 0 then refno end ignore nulls) over (partition by owner order by seq, refno rows between unbounded preceding and 1 preceding) as prev_kept, first_value(case when seq % 3 <> 0 then refno end ignore nulls) over (partition by owner order by seq, refno rows between 1 following and unbounded following) as next_kept from elements where owner is not null",
+    "refno_forms": "select n_nationkey, (cast(n_regionkey as bigint) << 32) | n_nationkey as refno, n_regionkey || '_' || n_nationkey as text from nation",
+    "fold_net": f"with recursive {_CHANGES}, {_NET} select * from net",
+    "last_writer": "select user_id as refno, event_type as name, arg_max(value, event_id) as value, max(event_id // 100) as sesno from events group by 1, 2",
+    "change_runs": f"with {_CHANGES}, m as (select *, case when op = 'M' and coalesce(lag(op) over w, '') <> 'M' then 1 else 0 end as start from changes window w as (partition by refno order by sesno, seq)), r as (select *, sum(start) over (partition by refno order by sesno, seq) as run from m) select refno, cast(run as bigint) as run, min(sesno) as first_sesno, max(sesno) as last_sesno, count(*) as n_ops from r where op = 'M' group by 1, 2",
+    "unit_rollup": f"with recursive {_CHANGES}, {_NET} select cast({2 * LEVEL} + c_nationkey as bigint) as root, count(*) filter (net = 'A') as added, count(*) filter (net = 'D') as deleted, count(*) filter (net = 'M') as modified, 0::bigint as moved_in, 0::bigint as moved_out from net left join customer on c_custkey = refno where net <> 'C' group by 1",
+    "moved_rollup": f"""with recursive {_CHANGES}, {_NET}, j as (select net, c_nationkey as old, case when c_custkey % 3 = 0 then (c_nationkey + 1) % 25 else c_nationkey end as new from net left join customer on c_custkey = refno where net <> 'C'),
+ x as (select new as root, net = 'A' as a, false as d, net = 'M' as m, net = 'M' and coalesce(old <> new, false) as i, false as o from j union all select old, false, net = 'D', net = 'M' and coalesce(old <> new, false), false, net = 'M' and coalesce(old <> new, false) from j)
+ select cast(root as bigint) as root, count(*) filter (a) as added, count(*) filter (d) as deleted, count(*) filter (m) as modified, count(*) filter (i) as moved_in, count(*) filter (o) as moved_out from x where a or d or m or i or o group by 1""",
+    "as_of": "with o as (select o_custkey as k, o_orderdate as t, max(o_orderkey) as o_orderkey from orders group by 1, 2) select e.event_id, o.o_orderkey from events e asof left join o on e.user_id = o.k and e.ts >= o.t",
+    "range_rules": "select p_partkey, band from part join (values " + ", ".join(map(str, _BANDS)) + ") as r(lo, hi, band) on p_size between lo and hi",
+    "box_overlap": f"with {_POINTS}, {_BOXES} select l.id as left_id, r.id as right_id from boxes l join boxes r on l.h = 0.05 and r.h = 0.2 and l.id % 2 = 0 and r.id % 2 = 1 and greatest(l.min_x, r.min_x) <= least(l.max_x, r.max_x) and greatest(l.min_y, r.min_y) <= least(l.max_y, r.max_y) and greatest(l.min_z, r.min_z) <= least(l.max_z, r.max_z)",
+    "nearest_level": "with f as (select p_brand, p_retailprice as level, min(p_partkey) as floor from part where p_partkey % 10 = 0 group by 1, 2) select p_partkey, floor, level from part p asof left join f on p.p_brand = f.p_brand and p.p_retailprice >= f.level",
+    "within_radius": f"with {_POINTS} select p.id, c.id as centre, round(sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2 + (p.z - c.z) ** 2), 6) as dist from points p join points c on c.id % 50 = 0 and sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2 + (p.z - c.z) ** 2) <= 0.4",
+    "reverse_closure": f"with s as (select unnest([1, 2, 3]) as p), l as (select distinct l_orderkey as o from lineitem where l_partkey in (select p from s)), c as (select distinct o_custkey as c from orders where o_orderkey in (select o from l)) select {6 * LEVEL} + p as refno, 0 as hops from s union all select {4 * LEVEL} + o, 1 from l union all select {3 * LEVEL} + c, 2 from c",
+    "golden_compare": "select p_partkey, case when p_partkey % 7 = 0 then 'missing' when p_partkey % 11 = 0 then 'extra' when p_partkey % 5 = 0 then 'changed' else 'same' end as verdict from part where p_partkey % 7 <> 0 or p_partkey % 11 <> 0",
+    "ordered_rules": "select p_partkey, case when contains(p_type, 'BRASS') or contains(p_name, 'brass') then 'brass' when p_size > 40 then 'large' when p_size > 20 then 'middle' else 'small' end as kind from part",
+    "page": "select o_orderkey, o_totalprice, (select count(*) from orders) as total, (select count(*) from orders) > 60 as truncated from orders order by o_totalprice desc, o_orderkey limit 20 offset 40",
+    "take_off": "select p_brand, count(*) as n_lines, round(sum(l_quantity), 2) as quantity, round(sum(l_quantity * coalesce(p_size, 0)), 2) as weight from lineitem left join part on l_partkey = p_partkey group by 1",
+    "database_stats": f"with {_ELEMENTS} select noun, count(*) as n, max(refno) as max_refno from elements group by 1",
+    "without_orders": "select c_custkey from customer where c_custkey not in (select o_custkey from orders)",
+    "with_large_orders": "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 200000)",
+    "crowded_groups": "select p_brand, p_size, count(*) as n from part group by 1, 2 having count(*) > 1",
+    "overlay": "with b as (select p_partkey as k, p_size as v from part where p_partkey % 4 <> 0), p as (select p_partkey as k, p_size + 100 as w, p_partkey % 9 = 0 as gone from part where p_partkey % 3 = 0) select k, coalesce(w, v) as v from b full join p using (k) where not coalesce(gone, false)",
+    "text_functions": "select n_nationkey, right(n_name, 3) as tail, substr(n_name, 2, 2) as mid, try_cast(left(n_name, 1) as double) is not null as num, n_name like '%A%' as has_a from nation",
+}
