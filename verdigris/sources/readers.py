@@ -10,7 +10,7 @@ def attribute_dump(spark: SparkSession, path: str) -> DataFrame:
     """Attribute dumps: blocks NEW name ... END, nested, with KEY:= value lines; `unset` is null, keys with a leading
     colon are user attributes.  A file's lines are numbered where they lie, so a file is one task: (file, ord, section,
     key, value, user)."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("ord", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("ord", "line"))
     t = F.trim("line")
     opens, closes = F.upper(t).rlike("^NEW( |$)"), F.upper(t) == "END"
     w = Window.partitionBy("file").orderBy("ord")
