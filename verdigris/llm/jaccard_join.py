@@ -236,7 +236,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     shared = scratch.keep(shared, "shared")
     agree = rows.select("k1", "k2", "n", "class", "need", F.explode("sigs").alias("sig")).join(_small(shared), "sig")
     enough = agree.groupBy("k1", "k2", "class", "need").agg(F.collect_set("sig").alias("sigs"), F.first("n").alias("n")).where("size(sigs) >= need")
-    kept = scratch.keep(enough.join(same, ["k1", "k2"]).select("rep", "n", F.explode("sigs").alias("sig")), "kept")
+    kept = scratch.keep(enough.join(same, ["k1", "k2"]).select("rep", "n", "class", "need", F.explode("sigs").alias("sig")), "kept")
     every = scratch.keep(rows.where("not again").select("doc_id", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), F.when(F.col("n") > 0, F.col("k2")).alias("k2")).join(same, ["k1", "k2"], "left").select("doc_id", "n", "rep"), "every")
     scratch.drop(shared, rows)
 
@@ -250,10 +250,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     together = F.pmod(F.xxhash64("pivot"), F.lit(light))
     homes = scratch.keep(members.join(of_pivot, "pivot").select("rep", F.when(F.col("total") > BLOCK // 4, own).otherwise(together).alias("home")), "homes")
 
-    # A row goes where a row that it agrees with is at home; each pair of row blocks is one group.
-    at_home = kept.select("rep", "sig").join(homes, "rep")
+    # A row goes where it agrees with rows at home in as many column blocks as a partner must; each pair of row blocks is
+    # one group.
+    at_home = kept.select("rep", "class", "need", "sig").join(homes, "rep")
     there = at_home.groupBy("sig", "home").agg(F.count("*").alias("rows")).withColumnRenamed("home", "to")
-    meet = at_home.join(there, "sig").where("home <> to or rows > 1").select("rep", "home", "to").distinct()
+    meet = at_home.join(there, "sig").where("home <> to or rows > 1").groupBy("rep", "home", "to", "class", "need").agg(F.countDistinct("sig").alias("agreeing"))
+    meet = meet.where("agreeing >= need").select("rep", "home", "to").distinct()
     pairs = meet.select("rep", F.xxhash64(F.least("home", "to"), F.greatest("home", "to")).alias("pair"), (F.col("home") <= F.col("to")).alias("left"))
     wanted = members.select(F.col("rep").alias("doc_id"))
     texts = docs.join(_small(wanted), "doc_id", "left_semi").dropDuplicates()
