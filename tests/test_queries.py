@@ -3,9 +3,11 @@
 import duckdb
 import pytest
 
-from verdigris import plant_queries
+from verdigris import model_queries, plant_queries
 
 SF = "/root/testdata/sf0.001"
+QUERIES = {**plant_queries.QUERIES, **model_queries.QUERIES}
+SQL = {**plant_queries.SQL, **model_queries.SQL}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -22,14 +24,14 @@ def _rows(rows, names):
     return sorted((tuple(r[i] for i in order) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(plant_queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, db, name):
-    df = plant_queries.QUERIES[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     got = _rows([tuple(r) for r in df.collect()], df.columns)
-    if name not in plant_queries.SQL:
+    if name not in SQL:
         assert got
         return
-    cur = db.execute(plant_queries.SQL[name])
+    cur = db.execute(SQL[name])
     want = _rows(cur.fetchall(), [c[0] for c in cur.description])
     assert sorted(df.columns) == sorted(c[0] for c in cur.description)
     assert got == want
