@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdigris import reports, tools
-from verdigris.operators import impact, instances, pending, tree
+from verdigris.operators import impact, instances, pending, references, tree
 from verdigris.plant_queries import LEVEL, _t, elements
 
 _CUSTOMER = "case {k} % 3 when 0 then 'EQUI' when 1 then 'STRU' else 'PANE' end"
@@ -235,10 +235,10 @@ def q_default_names(spark, d):
 
 
 def q_vague_search(spark, d):
-    return reports.vague_search(_t(spark, d, "part").select("p_partkey", "p_type"), "p_type", every=["A*S"], some=["STEEL", "BRASS", "COPPER", "TIN"], none=["LARGE"])
+    return reports.vague_search(_t(spark, d, "part").select("p_partkey", "p_type"), "p_type", every=["A*D"], some=["STAND", "LARGE", "MEDI"], none=["PROMO"])
 
 
-_MAJORS = [("steel", "STEEL"), ("brass", "BRASS"), ("econ", "ECONOMY"), ("eb", "ECONOMY BRUSHED"), ("std", "STANDARD")]
+_MAJORS = [("a", "A"), ("large", "LARGE"), ("o", "O"), ("econ", "ECONOM"), ("std", "STANDARD")]
 
 
 def q_classify_by_name(spark, d):
@@ -250,11 +250,63 @@ def q_step_function(spark, d):
     return _t(spark, d, "part").select("p_partkey", reports.step_value(F.col("p_size"), [(10, 1.5), (20, 2.5), (40, 4.0)], 8.0).alias("loss"))
 
 
+def _references(spark, d):
+    """Orders refer to their lines' parts, and every tenth order is referred to by the one after it."""
+    li = _t(spark, d, "lineitem").selectExpr(f"l_orderkey + {4 * LEVEL} as referrer", f"l_partkey + {6 * LEVEL} as referenced")
+    o = _t(spark, d, "orders").where("o_orderkey % 10 = 1").selectExpr(f"o_orderkey + {4 * LEVEL} as referrer", f"o_orderkey - 1 + {4 * LEVEL} as referenced")
+    return li.union(o)
+
+
+def q_cascade_roots(spark, d):
+    e = scene(spark, d)
+    seeds = spark.range(6 * LEVEL + 1, 6 * LEVEL + 4).withColumnRenamed("id", "refno")
+    return references.cascade_roots(_references(spark, d), seeds, impact.generation_roots(e, tree.closure(e)))
+
+
+def q_reverse_index(spark, d):
+    """Elements of every third order are touched and refer to one part each from then on."""
+    edges = _references(spark, d).distinct()
+    o = _t(spark, d, "orders").where("o_orderkey % 3 = 0").select((F.col("o_orderkey") + 4 * LEVEL).alias("refno"))
+    return references.replace_edges(edges, o.select(F.col("refno").alias("referrer"), F.lit(6 * LEVEL + 1).alias("referenced")), o)
+
+
+def q_reference_along_path(spark, d):
+    e = scene(spark, d)
+    held = e.where("noun in ('STRU', 'ZONE')").select(F.col("refno").alias("referrer"), (F.col("refno") % 97).alias("referenced"))
+    return references.first_reference_along_path(tree.closure(e), held)
+
+
+def _history(spark, d):
+    return _t(spark, d, "events").selectExpr("user_id as refno", "user_id % 5 as dbnum", "event_id div 100 as sesno", "event_id as seq", _OPS.format(k="event_id") + " as op", "value")
+
+
+def q_version_at(spark, d):
+    return references.version_at(_history(spark, d), 4)
+
+
+def q_version_at_date(spark, d):
+    e = _t(spark, d, "events")
+    sessions = e.selectExpr("user_id % 5 as dbnum", "event_id div 100 as sesno", "ts as date").groupBy("dbnum", "sesno").agg(F.min("date").alias("date"))
+    return references.version_at_date(_history(spark, d), sessions, "2024-01-01 12:00:00")
+
+
+def q_signed_parts(spark, d):
+    found = references.signed_parts(scene(spark, d), ["PIPE", "BRAN"], ["LOOP"])
+    return found.select("owner", F.concat_ws(",", "positive").alias("positive"), F.concat_ws(",", "negative").alias("negative"))
+
+
+def q_uncovered_nouns(spark, d):
+    return references.uncovered_nouns(scene(spark, d), ["BRAN", "EQUI", "PIPE", "STRU"])
+
+
 _OBS = "o as (select user_id as dbnum, event_id as seq, cast(user_id % 7 as bigint) as applied, case when event_id % 4 <> 3 then cast(floor(event_id % 100 + event_id / 10) as bigint) end as latest from events)"
 _PEND = "p as (select case when p_partkey % 3 = 0 then 'room' else 'regen' end as action, p_partkey as target, cast(p_size as bigint) as revision, cast(p_partkey % 6 as int) as attempts from part)"
 _CHANGED = f"changed as (select refno, op, {_IMPACT} as impact from (select {4 * LEVEL} + o_orderkey as refno, {_OPS.format(k='o_orderkey')} as op, o_orderkey % 8 as k, o_orderkey % 17 = 0 as again, {_ORDER.format(k='o_orderkey')} as noun from orders))"
 _EFFECT_ROWS = ", ".join(f"('{n}', '{e}')" for e, names in impact.EFFECTS.items() for n in names.split()[:3]) + ", ('att.pos.1', 'transform'), ('para9', 'geometry'), ('XYZ', 'cascade'), ('uda:1', 'unknown')"
 
+_REFS = f"select l_orderkey + {4 * LEVEL} as referrer, l_partkey + {6 * LEVEL} as referenced from lineitem union all select o_orderkey + {4 * LEVEL}, o_orderkey - 1 + {4 * LEVEL} from orders where o_orderkey % 10 = 1"
+_HISTORY = f"h as (select user_id as refno, user_id % 5 as dbnum, event_id // 100 as sesno, event_id as seq, {_OPS.format(k='event_id')} as op, value from events)"
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 SQL = {
     "attribute_effects": f"select * from (values {_EFFECT_ROWS}) as t(name, effect)",
@@ -290,7 +342,16 @@ SQL = {
     "branch_surface": """with l as (select l_orderkey as branch, l_linenumber as seq, sum(l_quantity) as length from lineitem group by 1, 2), x as (select *, count(*) filter (seq % 3 = 0) over (partition by branch order by seq) as place, seq = max(seq) over (partition by branch) and seq % 3 = 0 as last from l)
  select branch, sum(length) as length, round(sum(case when last then seq when place = 0 then 10.0 when place = 1 and branch % 2 = 0 then 20.0 else seq end * 3.141592653589793::double * length), 4) as surface from x group by 1""",
     "default_names": f"select {2 * LEVEL} + n_nationkey as refno, 'ZONE ' || o || ' of ' || p as name, cast(o as int) as ordinal, p as owner_name from (select n_nationkey, row_number() over (partition by n_regionkey order by n_nationkey) as o, '/' || ({LEVEL} + n_regionkey) as p from nation)",
-    "vague_search": "select p_partkey, p_type from part where p_type like '%A%S%' and p_type not like '%LARGE%' and (contains(p_type, 'STEEL') or contains(p_type, 'BRASS') or contains(p_type, 'COPPER') or contains(p_type, 'TIN'))",
-    "classify_by_name": "select p_partkey, case when contains(p_type, 'ECONOMY BRUSHED') then 'eb' when contains(p_type, 'STANDARD') then 'std' when contains(p_type, 'ECONOMY') then 'econ' when contains(p_type, 'BRASS') then 'brass' when contains(p_type, 'STEEL') then 'steel' else 'else' end as code from part",
+    "vague_search": "select p_partkey, p_type from part where p_type like '%A%D%' and p_type not like '%PROMO%' and (contains(p_type, 'STAND') or contains(p_type, 'LARGE') or contains(p_type, 'MEDI'))",
+    "classify_by_name": "select p_partkey, case when contains(p_type, 'STANDARD') then 'std' when contains(p_type, 'ECONOM') then 'econ' when contains(p_type, 'LARGE') then 'large' when contains(p_type, 'A') then 'a' when contains(p_type, 'O') then 'o' else 'else' end as code from part",
     "step_function": "select p_partkey, cast(case when p_size <= 10 then 1.5 when p_size <= 20 then 2.5 when p_size <= 40 then 4.0 else 8.0 end as double) as loss from part",
+    "cascade_roots": f"""with {_CLOSED}, {_ROOTS}, edges as ({_REFS}), seeds as (select unnest([{6 * LEVEL} + 1, {6 * LEVEL} + 2, {6 * LEVEL} + 3]) as refno),
+ walk as (select refno as root, 'none' as kind, 0 as hops from seeds union select coalesce(r.root, e.referrer), coalesce(r.kind, 'none'), w.hops + 1 from walk w join edges e on e.referenced = w.root left join roots r on r.refno = e.referrer where w.kind <> 'unit' and w.hops < 8)
+ select root, kind, min(hops) as hops from walk where kind <> 'none' group by 1, 2""",
+    "reverse_index": f"select distinct * from ({_REFS}) where (referrer - {4 * LEVEL}) % 3 <> 0 or referrer not in (select o_orderkey + {4 * LEVEL} from orders) union select o_orderkey + {4 * LEVEL}, {6 * LEVEL} + 1 from orders where o_orderkey % 3 = 0",
+    "reference_along_path": f"with {_CLOSED} select c.refno, arg_min(c.anc, c.depth) as holder, arg_min(c.anc, c.depth) % 97 as referenced from closed c join scene e on e.refno = c.anc where e.noun in ('STRU', 'ZONE') group by 1",
+    "version_at": f"with {_HISTORY} select refno, sesno, op, value from h where sesno <= 4 qualify row_number() over (partition by refno order by sesno desc, seq desc) = 1 and op <> 'D'",
+    "version_at_date": f"with {_HISTORY}, s as (select user_id % 5 as dbnum, event_id // 100 as sesno, min(ts) as date from events group by 1, 2), u as (select dbnum, max(sesno) as upto from s where date <= timestamp '2024-01-01 12:00:00' group by 1) select refno, sesno, op, value from h join u using (dbnum) where sesno <= upto qualify row_number() over (partition by refno order by sesno desc, seq desc) = 1 and op <> 'D'",
+    "signed_parts": f"with {_SCENE} select owner, coalesce(string_agg(refno, ',' order by refno) filter (noun in ('PIPE', 'BRAN')), '') as positive, string_agg(refno, ',' order by refno) filter (noun = 'LOOP') as negative from scene where noun in ('PIPE', 'BRAN', 'LOOP') group by 1 having count(*) filter (noun = 'LOOP') > 0",
+    "uncovered_nouns": f"with {_SCENE} select noun, count(*) as n from scene where noun not in ('BRAN', 'EQUI', 'PIPE', 'STRU') group by 1",
 }
