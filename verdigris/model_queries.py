@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdigris import reports, tools
-from verdigris.operators import impact, instances, pending, references, tree
+from verdigris.operators import impact, instances, pending, references, rooms, tree
 from verdigris.plant_queries import LEVEL, _t, elements
 
 _CUSTOMER = "case {k} % 3 when 0 then 'EQUI' when 1 then 'STRU' else 'PANE' end"
@@ -299,6 +299,26 @@ def q_uncovered_nouns(spark, d):
     return references.uncovered_nouns(scene(spark, d), ["BRAN", "EQUI", "PIPE", "STRU"])
 
 
+_STIFF = [(0, "RECT/L", 0, 800, None, "A", "exp0"), (1, "RECT/L", 800, 2000, [6], "A", "exp1"), (2, "RECT/L", 1200, 100000, None, "B", "exp2"), (3, "RECT/M", 500, 2000, [1, 2], "A", "exp1")]
+
+
+def q_stiffeners(spark, d):
+    ducts = _t(spark, d, "part").selectExpr("p_partkey as refno", "cast(p_size * 50 as double) as width", "cast(p_partkey % 2000 as double) as height", "cast(p_partkey % 5 * 1000 + 950 as double) as length", "case when p_size % 2 = 0 then 'RECT/L' else 'RECT/M' end as shape", "cast(p_partkey % 7 as int) as material")
+    rules = spark.createDataFrame([(a, b, float(c), float(e), f, g, h) for a, b, c, e, f, g, h in _STIFF], "rule int, pattern string, lo double, hi double, excluded array<int>, section string, expr string")
+    weights = spark.createDataFrame([(0, "RECT/L", 0.0, 2000.0, None, 2.5), (1, "RECT/L", 2000.0, 1e5, None, 3.5), (2, "RECT/M", 0.0, 1e5, None, 3.5)], "rule int, pattern string, lo double, hi double, excluded array<int>, scale double")
+    out = reports.stiffeners(ducts, rules, weights)
+    return out.select("refno", "section", F.round("metres", 4).alias("metres"), F.round("weight", 4).alias("weight"))
+
+
+def q_room_panels(spark, d):
+    """Nations as rooms, every fourth without a room number; some of what lies one and two levels below are panels."""
+    e = elements(spark, d, lines=False)
+    nation = F.col("refno") - 2 * LEVEL
+    noun = F.when(F.col("noun") == "ZONE", F.when(nation % 2 == 0, "FRMW").otherwise("SBFR")).when(F.col("refno") % 3 == 0, "PANE").otherwise("PIPE")
+    name = F.when(F.col("noun") == "ZONE", F.when(nation % 4 == 0, "/ZZ-R-K12").otherwise(F.concat(F.lit("/ZZ-R-K"), nation + 100)))
+    return rooms.room_panels(e.select("refno", noun.alias("noun"), name.alias("name")), tree.closure(e), ["-R-"])
+
+
 _OBS = "o as (select user_id as dbnum, event_id as seq, cast(user_id % 7 as bigint) as applied, case when event_id % 4 <> 3 then cast(floor(event_id % 100 + event_id / 10) as bigint) end as latest from events)"
 _PEND = "p as (select case when p_partkey % 3 = 0 then 'room' else 'regen' end as action, p_partkey as target, cast(p_size as bigint) as revision, cast(p_partkey % 6 as int) as attempts from part)"
 _CHANGED = f"changed as (select refno, op, {_IMPACT} as impact from (select {4 * LEVEL} + o_orderkey as refno, {_OPS.format(k='o_orderkey')} as op, o_orderkey % 8 as k, o_orderkey % 17 = 0 as again, {_ORDER.format(k='o_orderkey')} as noun from orders))"
@@ -354,4 +374,11 @@ SQL = {
     "version_at_date": f"with {_HISTORY}, s as (select user_id % 5 as dbnum, event_id // 100 as sesno, min(ts) as date from events group by 1, 2), u as (select dbnum, max(sesno) as upto from s where date <= timestamp '2024-01-01 12:00:00' group by 1) select refno, sesno, op, value from h join u using (dbnum) where sesno <= upto qualify row_number() over (partition by refno order by sesno desc, seq desc) = 1 and op <> 'D'",
     "signed_parts": f"with {_SCENE} select owner, coalesce(string_agg(refno, ',' order by refno) filter (noun in ('PIPE', 'BRAN')), '') as positive, string_agg(refno, ',' order by refno) filter (noun = 'LOOP') as negative from scene where noun in ('PIPE', 'BRAN', 'LOOP') group by 1 having count(*) filter (noun = 'LOOP') > 0",
     "uncovered_nouns": f"with {_SCENE} select noun, count(*) as n from scene where noun not in ('BRAN', 'EQUI', 'PIPE', 'STRU') group by 1",
+    "stiffeners": """with p as (select p_partkey as refno, p_size * 50.0::double as w, (p_partkey % 2000)::double as h, (p_partkey % 5 * 1000 + 950)::double as l, case when p_size % 2 = 0 then 'RECT/L' else 'RECT/M' end as shape, p_partkey % 7 as m from part),
+ r as (select *, greatest(w, h) as g, case when shape = 'RECT/L' then case when greatest(w, h) < 800 then 0 when greatest(w, h) < 2000 and m <> 6 then 1 when greatest(w, h) >= 1200 then 2 end when greatest(w, h) >= 500 and greatest(w, h) < 2000 and m not in (1, 2) then 1 end as expr from p),
+ x as (select *, case expr when 1 then (w + h + 83) * 2 / 1000 when 2 then (w + h + 103) * round(l / 800 - 0.5) * 2 / 1000 else 0 end as metres, case when shape = 'RECT/L' and g < 2000 then 2.5::double else 3.5::double end as scale from r)
+ select refno, case expr when 2 then 'B' when 0 then 'A' when 1 then 'A' else '-' end as section, round(metres, 4) as metres, round(scale * metres, 4) as weight from x""",
+    "room_panels": f"""with rooms as (select n_nationkey, {2 * LEVEL} + n_nationkey as room, 'K' || (n_nationkey + 100) as room_num from nation where n_nationkey % 4 <> 0),
+ c as (select room, room_num, n_nationkey, c_custkey from rooms join customer on c_nationkey = n_nationkey)
+ select room, room_num, {3 * LEVEL} + c_custkey as panel from c where ({3 * LEVEL} + c_custkey) % 3 = 0 union all select room, room_num, {4 * LEVEL} + o_orderkey from c join orders on o_custkey = c_custkey where n_nationkey % 2 = 0 and ({4 * LEVEL} + o_orderkey) % 3 = 0""",
 }

@@ -64,3 +64,28 @@ def step_value(value: Column, steps: list[tuple[float, float]], beyond: float) -
     for top, result in steps[1:]:
         out = out.when(value <= top, result)
     return out.otherwise(beyond)
+
+
+def first_range_rule(rows: DataFrame, key: str, rules: DataFrame, size: Column, pattern: Column, material: Column, most_rules: int = 10_000) -> DataFrame:
+    """rules: rule, pattern, lo, hi, excluded (array), and results.  Adds the results of the rule with the least number
+    whose pattern is the row's, whose range [lo, hi) holds the size and that doesn't exclude the material; nulls where
+    there is none.  The join is on the pattern; rule tables that people write are broadcast up to most_rules, by count."""
+    results = [c for c in rules.columns if c not in ("rule", "pattern", "lo", "hi", "excluded")]
+    small = F.broadcast(rules) if bounded(rules, most_rules) else rules
+    marked = rows.select("*", size.alias("__size"), pattern.alias("__pattern"), material.alias("__material"))
+    fits = (F.col("__pattern") == F.col("pattern")) & (F.col("__size") >= F.col("lo")) & (F.col("__size") < F.col("hi")) & ~F.coalesce(F.array_contains("excluded", F.col("__material")), F.lit(False))
+    hit = marked.join(small, fits).groupBy(key).agg(F.min_by(F.struct(*results), "rule").alias("__r"))
+    return rows.join(hit.select(key, "__r.*"), key, "left")
+
+
+def stiffeners(ducts: DataFrame, rules: DataFrame, weights: DataFrame) -> DataFrame:
+    """ducts: refno, width, height, length, shape, material.  rules give section and expr, weights (one rule a shape) scale.
+    Section, length in metres and weight of a duct's stiffeners: none for exp0, one frame for exp1, one frame each whole
+    800 of length for exp2; without a rule the section is '-' and the length 0."""
+    largest = F.greatest("width", "height")
+    j = first_range_rule(ducts, "refno", rules, largest, F.col("shape"), F.col("material"))
+    j = first_range_rule(j, "refno", weights, largest, F.col("shape"), F.col("material"))
+    around = F.col("width") + F.col("height")
+    frames = F.round(F.col("length") / 800 - 0.5)
+    metres = F.when(F.col("expr") == "exp1", (around + 83) * 2 / 1000).when(F.col("expr") == "exp2", (around + 103) * frames * 2 / 1000).otherwise(0.0)
+    return j.select("refno", F.coalesce("section", F.lit("-")).alias("section"), metres.alias("metres"), (F.coalesce("scale", F.lit(0.0)) * metres).alias("weight"))
