@@ -3,11 +3,11 @@
 import duckdb
 import pytest
 
-from verdigris import model_queries, plant_queries
+from verdigris import discipline_queries, model_queries, plant_queries
 
 SF = "/root/testdata/sf0.001"
-QUERIES = {**plant_queries.QUERIES, **model_queries.QUERIES}
-SQL = {**plant_queries.SQL, **model_queries.SQL}
+QUERIES = {**plant_queries.QUERIES, **model_queries.QUERIES, **discipline_queries.QUERIES}
+SQL = {**plant_queries.SQL, **model_queries.SQL, **discipline_queries.SQL}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
