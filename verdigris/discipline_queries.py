@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verdigris.operators import branches, ducts, trays
+from verdigris.operators import branches, ducts, relate, trays
 from verdigris.plant_queries import LEVEL, _t
+from verdigris.sources import component_text
 
 _PIPE_NOUN = "case p % 5 when 0 then 'ELBO' when 1 then 'TEE' when 2 then 'BEND' when 3 then 'VALV' else 'ATTA' end"
 _DUCT_NOUN = "case p % 4 when 0 then 'DAMP' when 1 then 'MESH' else 'STRT' end"
@@ -92,6 +93,32 @@ def q_sub_equipment(spark, d):
     return trays.grandchildren(c.union(o))
 
 
+def q_duct_flanges(spark, d):
+    p = parts(spark, d).selectExpr("branch", "seq", f"{_DUCT_NOUN} as noun", "concat('/a-b-c-', p % 7) as branch_name", "element_at(array(927441, 603858, 1), cast(p % 3 as int) + 1) as shape_code", "if(p % 2 = 0, 531717, 531501) as kind_code",
+                                   "element_at(array(25, 40, 608, 8010, 7), cast(p % 5 as int) + 1) as size", "p % 500 as w", "p % 300 as h", "p % 40 as f", "p % 3 = 0 as fan")
+    n = branches.neighbours(p, ("noun", "f", "fan"))
+    a = {k: F.col(k) for k in n.columns}
+    n = n.select("*", ducts.shape(a["shape_code"]).alias("shape"), ducts.flange_kind(a["kind_code"]).alias("kind"), ducts.material_number(a["branch_name"]).alias("material"))
+    length = ducts.flange_length(F.col("shape"), F.col("kind"), F.col("material"), a["w"], a["h"], a["f"], (a["prev_noun"], a["prev_f"]), (a["next_noun"], a["next_f"]))
+    n, circle = n.withColumn("length", length), F.col("shape") == "CIRC"
+    return n.select("branch", "seq", ducts.material_code(F.col("material")).alias("material"), F.round("length", 6).alias("length"), F.round(ducts.flange_weight(F.col("kind"), a["size"], F.col("length")), 6).alias("weight"),
+                    ducts.washer_length(circle, F.col("material"), (a["prev_noun"], a["prev_fan"]), (a["next_noun"], a["next_fan"]), a["w"] * 1.0).alias("washer"), ducts.shown_width(circle, a["w"]).alias("shown"))
+
+
+def q_insulation(spark, d):
+    c = _t(spark, d, "customer").selectExpr("c_custkey", "c_nationkey as spec", "c_custkey % 100 as temp", "c_custkey % 50 as bore")
+    s = _t(spark, d, "supplier").selectExpr("s_nationkey as spec", "s_suppkey as sele", "s_suppkey % 60 as lo", "s_suppkey % 60 + 40 as hi")
+    p = _t(spark, d, "part").selectExpr("p_partkey % 10 + 1 as sele", "p_partkey as seq", "p_size as lo", "p_size + 5 as hi", "p_retailprice as answer")
+    return relate.two_ranges(c, s, p, "c_custkey", "temp", "bore").select("c_custkey", "answer")
+
+
+def q_component_text(spark, d):
+    p = parts(spark, d).selectExpr("branch", "concat('/L', branch) as branch_name", "seq", f"{_PIPE_NOUN} as noun", "array(p * 1d, q, 0.5d) as arrive", "array(q, p * 1d, -1d) as leave", "if(p % 2 = 0, array(1d, 2d, 3d), null) as centre", "p % 200 as bore",
+                                   "if(p % 3 = 0, 'ELBW', null) as skey", "if(p % 4 = 0, p % 90 + 0.25d, null) as angle", "if(p % 7 = 0, null, p % 50) as item_code", "null as weld_spec", "p as refno", "null as radius")
+    items = _t(spark, d, "part").where("p_partkey < 40").selectExpr("p_partkey as item_code", "p_name as description")
+    return component_text.component_text(p, items)
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _FRAME = "(round(({w} + 2 * {f} + 75) / 150) + round(({h} + 2 * {f} + 75) / 150) - 2)"
@@ -130,4 +157,22 @@ SQL = {
     "box_groups": """with g as (select c_nationkey as equipment, c_custkey, max(o_totalprice) as scale, max(o_orderkey % 100) as z from orders join customer on o_custkey = c_custkey where o_orderkey % 3 = 0 group by 1, 2 having count(*) in (3, 4) and count(*) filter (o_orderkey % 20 = 0) = 0)
  select equipment, scale, z from g qualify row_number() over (partition by equipment order by c_custkey) = 1""",
     "sub_equipment": f"select cast(c_nationkey as bigint) as root, {4 * LEVEL} + o_orderkey as refno from customer join orders on o_custkey = c_custkey where c_custkey % 4 = 0",
+    "duct_flanges": f"""with {_PARTS}, a as (select *, {_DUCT_NOUN} as noun, p % 7 as m, p % 500::double as w, p % 300::double as h, p % 40::double as f, p % 3 = 0 as fan, case when p % 2 = 0 then 3 else 5 end as al from parts),
+ n as (select *, coalesce(lag(noun) over x, '') as pn, coalesce(lead(noun) over x, '') as nn, lag(f) over x as pf, lead(f) over x as nf, coalesce(lag(fan) over x, false) as pfan, coalesce(lead(fan) over x, false) as nfan from a window x as (partition by branch order by seq)),
+ l as (select *, case when m = 6 then case when nn = 'DAMP' then (w + h + nf * 2 + 3) * 2 / 1000 when pn = 'DAMP' then (w + h + pf * 2 + 3) * 2 / 1000 else 0 end when p % 3 = 0 then (w + h + f * 2 + al) * 4 / 1000 when p % 3 = 1 then (w + f * 2 + al) * 6.28::double / 1000 else 0 end as len,
+ (pn = 'DAMP' and not pfan) or pn = 'MESH' as b, (nn = 'DAMP' and not nfan) or nn = 'MESH' as c, pn not in ('DAMP', 'MESH') as po, nn not in ('DAMP', 'MESH') as no from n),
+ r as (select *, case when b and c then 1.0::double when (po and c) or (pn = 'DAMP' and (not pfan or not nfan)) or nn = 'MESH' then 0.75::double when po and no then 0.5::double else 0 end as ratio from l)
+ select branch, seq, coalesce(['unset', 'GS', 'CS', 'ACS', 'SS', 'GS', 'FP'][m + 1], 'unset') as material, round(len, 6) as length,
+ round(len * coalesce(case when p % 2 = 0 then [1.124::double, 2.422, 7.081, 11.874, 0][p % 5 + 1] else [0::double, 0, 3.77, 6.28, 0][p % 5 + 1] end, 0), 6) as weight,
+ case when m = 6 then 0 else cast(round(cast(cast(case when p % 3 = 1 then w / 1000 * 8 * ratio else w * ratio end as varchar) as decimal(18, 10)), 2) as double) end as washer, case when p % 3 = 1 then 'φ' else '' end || (p % 500) as shown from r""",
+    "insulation": """with h as (select c_custkey, s_suppkey as sele, p_partkey as seq, p_retailprice as answer from customer join supplier on s_nationkey = c_nationkey join part on p_partkey % 10 + 1 = s_suppkey
+ where c_custkey % 100 between s_suppkey % 60 and s_suppkey % 60 + 40 and c_custkey % 50 between p_size and p_size + 5), b as (select * from h qualify row_number() over (partition by c_custkey order by sele, seq) = 1)
+ select c_custkey, answer from customer left join b using (c_custkey)""",
+    "component_text": f"""with {_PARTS}, x as (select *, {_PIPE_NOUN} as noun, cast(q as bigint)::varchar as qs, case when p % 7 = 0 then null else p % 50 end as item from parts),
+ k as (select branch, item, min(seq) as seq from x where item is not null group by 1, 2)
+ select branch, 0 as place, 0::bigint as seq, 'PIPELINE-REFERENCE      /L' || branch as text from (select distinct branch from x)
+ union all select branch, 2, 0, 'MATERIALS' from (select distinct branch from x)
+ union all select branch, 1, seq, concat_ws(chr(13) || chr(10), noun, '        END-POINT    ' || p || '  ' || qs || '  0.5 ' || (p % 200), '        END-POINT    ' || qs || '  ' || p || '  -1 ' || (p % 200), case when p % 2 = 0 then '        CENTRE-POINT    1  2  3' end,
+ case when p % 3 = 0 then '        SKEY  ELBW' end, case when p % 4 = 0 then '        ANGLE        ' || (p % 90) || '.25' end, '        ITEM-CODE    ' || item, '        ID-REF-NO    ' || p) from x
+ union all select branch, 3, seq, concat_ws(chr(13) || chr(10), 'ITEM-CODE    ' || item, '        DESCRIPTION    ' || p_name) from k left join part on p_partkey = item and p_partkey < 40""",
 }

@@ -99,3 +99,70 @@ def section_code(branch_name: Column, section: Column) -> Column:
 def total(bolts: Column) -> Column:
     """Sum of an array of counts."""
     return F.aggregate(bolts, F.lit(0.0), add)
+
+
+#: Numbers that stand for words in a part's description, materials by number and branch, kilograms a metre of flange by
+#: its kind and size.  Fixed values.
+SHAPES = {927441: "RECT", 603858: "CIRC"}
+FLANGES = {531717: "FJ", 531501: "FB"}
+MATERIALS = {1: "GS", 2: "CS", 3: "ACS", 4: "SS", 5: "GS", 6: "FP"}
+KG_PER_METRE = {
+    "FJ": {25: 1.124, 303: 1.373, 30: 1.786, 35: 1.656, 40: 2.422, 45: 2.736, 50: 3.77, 60: 5.369, 608: 7.081, 6550: 5.134, 65: 5.3694, 63: 5.721, 70: 7.398, 7550: 5.699, 75: 7.976, 8060: 6.311, 80: 9.658, 8010: 11.874, 90: 5.661, 9056: 5.661, 10065: 9.8596, 10080: 10.946, 100: 12.276},
+    "FB": {253: 0.59, 254: 0.78, 304: 0.94, 305: 1.18, 354: 1.10, 404: 1.26, 405: 1.57, 505: 1.96, 606: 2.826, 608: 3.77, 6010: 4.71, 808: 5.02, 8010: 6.28, 8012: 7.54},
+}
+
+
+def _look_up(table: dict, key: Column, otherwise) -> Column:
+    entries = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    return F.coalesce(F.try_element_at(entries, key), F.lit(otherwise))
+
+
+def shape(code: Column) -> Column:
+    return _look_up(SHAPES, code.cast("int"), "unset")
+
+
+def flange_kind(code: Column) -> Column:
+    return _look_up(FLANGES, code.cast("int"), "")
+
+
+def material_number(branch_name: Column) -> Column:
+    """The number in the fourth part of the branch's name, 0 if there is none."""
+    return F.coalesce(F.get(F.split(branch_name, "-"), F.lit(3)).try_cast("int"), F.lit(0))
+
+
+def material_code(number: Column) -> Column:
+    return _look_up(MATERIALS, number.cast("int"), "unset")
+
+
+def flange_length(shape: Column, kind: Column, material: Column, width: Column, height: Column, flange: Column, prev: tuple[Column, Column], next: tuple[Column, Column]) -> Column:
+    """Metres of flange at both ends of a duct.  A fire board duct has one only at a damper, by that damper's flange
+    width; the next part's counts before the one before.  prev and next: noun and flange width there."""
+    w, h, f = map(_or_zero, (width, height, flange))
+    allowance = F.when(kind == "FJ", 3).when(kind == "FB", 5)
+    usual = F.when(shape == "RECT", (w + h + f * 2 + allowance) * 4 / 1000).when(shape == "CIRC", (w + f * 2 + allowance) * 6.28 / 1000)
+    at_damper = lambda width_there: (w + h + _or_zero(width_there) * 2 + 3) * 2 / 1000
+    fire = F.when(next[0] == "DAMP", at_damper(next[1])).when(prev[0] == "DAMP", at_damper(prev[1]))
+    return F.coalesce(F.when(material == FIRE_BOARD, fire).otherwise(usual), F.lit(0.0))
+
+
+def flange_weight(kind: Column, size: Column, length: Column) -> Column:
+    """Kilograms of a flange of that length in metres; 0 for a size that is not listed."""
+    listed = {f"{k}{s}": kg for k, sizes in KG_PER_METRE.items() for s, kg in sizes.items()}
+    return _or_zero(length) * _look_up(listed, F.concat(kind, size.cast("int").cast("string")), 0.0)
+
+
+def washer_length(circle: Column, material: Column, prev: tuple[Column, Column], next: tuple[Column, Column], length: Column) -> Column:
+    """Of a straight duct; prev and next: noun and whether a fan stands there.  The third case asks the damper before for
+    either end's fan, as the reports do."""
+    (p, pf), (n, nf) = ((noun, F.coalesce(fan, F.lit(False))) for noun, fan in (prev, next))
+    is_damper = lambda x: F.coalesce(x == "DAMP", F.lit(False))
+    is_mesh = lambda x: F.coalesce(x == "MESH", F.lit(False))
+    before, after = (is_damper(p) & ~pf) | is_mesh(p), (is_damper(n) & ~nf) | is_mesh(n)
+    some = (is_damper(p) & ~(pf & nf)) | is_mesh(n)
+    ratio = F.when(before & after, 1.0).when((~dressed(p) & after) | some, 0.75).when(~dressed(p) & ~dressed(n), 0.5).otherwise(0.0)
+    metres = F.when(circle, _or_zero(length) / 1000 * 8 * ratio).otherwise(_or_zero(length) * ratio)
+    return F.when(material == FIRE_BOARD, 0.0).otherwise(F.round(metres, 2))
+
+
+def shown_width(circle: Column, width: Column) -> Column:
+    return F.when(circle, F.concat(F.lit("φ"), width.cast("string"))).otherwise(width.cast("string"))

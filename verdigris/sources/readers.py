@@ -24,7 +24,7 @@ def attribute_dump(spark: SparkSession, path: str) -> DataFrame:
 
 
 def holes(spark: SparkSession, path: str) -> DataFrame:
-    """JSON arrays of hole records, the position split into three numbers; the latest of records that share a key."""
+    """JSON arrays of hole records, the position split into three numbers; records that share a key all stay."""
     rows = spark.read.option("multiLine", True).json(path)
     xyz = F.split("Position", ",")
     return rows.withColumn("position", F.struct(*(F.trim(xyz[i]).try_cast("double").alias(a) for i, a in enumerate("xyz"))))
