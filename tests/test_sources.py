@@ -68,14 +68,14 @@ def test_range_join_of_many_rules(spark):
 
 def test_component_files(spark, tmp_path):
     """A file per branch, lines in order; missing values leave their line out, other nouns their block."""
-    rows = [(1, "/L1", 2, "ELBO", [0.0, 1.5, 2.0], None, 50.0, 90.0, 7), (1, "/L1", 1, "VALV", None, None, 50.0, None, None), (1, "/L1", 3, "PIPE", None, None, 1.0, None, 9), (2, None, 1, "PIPE", None, None, 1.0, None, None)]
+    rows = [(1, "/L1", 2, "ELBO", [0.0, 1.5, 2.0], None, 50.0, 90.0, 7), (1, "/L1", 1, "VALV", None, None, 50.0, None, None), (1, "/L1", 3, "PIPE", None, None, 1.0, None, 9), (1, "/L1", 4, "CAP", None, None, 1.0, None, None), (1, "/L1", 5, "ELBO", None, None, 1.0, None, 9), (2, None, 1, "PIPE", None, None, 1.0, None, None)]
     parts = spark.createDataFrame(rows, "branch int, branch_name string, seq int, noun string, arrive array<double>, leave array<double>, bore double, angle double, item_code int")
     parts = parts.selectExpr("*", "array(1e7, -0.25, 0) as centre", "null as skey", "null as weld_spec", "seq + 10 as refno", "null as radius")
     out = tmp_path / "out"
     component_text.write_component_files(component_text.component_text(parts, spark.createDataFrame([(7, "elbow")], "item_code int, description string")), str(out))
     got = {p.parent.name: p.read_bytes().decode() for p in out.glob("*/*.txt")}
     centre = "        CENTRE-POINT    10000000  -0.25  0"
-    first = ["PIPELINE-REFERENCE      /L1", "VALV", centre, "        ID-REF-NO    11", "ELBO", "        END-POINT    0  1.5  2 50", centre, "        ANGLE        90", "        ITEM-CODE    7", "        ID-REF-NO    12", "MATERIALS", "ITEM-CODE    7", "        DESCRIPTION    elbow", ""]
+    first = ["PIPELINE-REFERENCE      /L1", "VALV", centre, "        ID-REF-NO    11", "ELBO", "        END-POINT    0  1.5  2 50", centre, "        ANGLE        90", "        ITEM-CODE    7", "        ID-REF-NO    12", "CAP", centre, "        ID-REF-NO    14", "MATERIALS", "ITEM-CODE    7", "        DESCRIPTION    elbow", ""]
     assert got == {"branch=1": "\r\n".join(first), "branch=2": "PIPELINE-REFERENCE      \r\nMATERIALS\r\n"}
     empty = component_text.component_text(parts.limit(0), spark.createDataFrame([], "item_code int, description string"))
     assert empty.count() == 0

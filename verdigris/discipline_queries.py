@@ -113,7 +113,7 @@ def q_insulation(spark, d):
 
 
 def q_component_text(spark, d):
-    p = parts(spark, d).selectExpr("branch", "concat('/L', branch) as branch_name", "seq", f"{_PIPE_NOUN} as noun", "array(p * 1d, q, 0.5d) as arrive", "array(q, p * 1d, -1d) as leave", "if(p % 2 = 0, array(1d, 2d, 3d), null) as centre", "p % 200 as bore",
+    p = parts(spark, d).selectExpr("branch", "concat('/L', branch) as branch_name", "seq", f"if(p % 31 = 0, 'CAP', {_PIPE_NOUN}) as noun", "array(p * 1d, q, 0.5d) as arrive", "array(q, p * 1d, -1d) as leave", "if(p % 2 = 0, array(1d, 2d, 3d), null) as centre", "p % 200 as bore",
                                    "if(p % 3 = 0, 'ELBW', null) as skey", "if(p % 4 = 0, p % 90 + 0.25d, null) as angle", "if(p % 7 = 0, null, p % 50) as item_code", "null as weld_spec", "p as refno", "null as radius")
     items = _t(spark, d, "part").where("p_partkey < 40").selectExpr("p_partkey as item_code", "p_name as description")
     return component_text.component_text(p, items)
@@ -168,10 +168,10 @@ SQL = {
     "insulation": """with h as (select c_custkey, s_suppkey as sele, p_partkey as seq, p_retailprice as answer from customer join supplier on s_nationkey = c_nationkey join part on p_partkey % 10 + 1 = s_suppkey
  where c_custkey % 100 between s_suppkey % 60 and s_suppkey % 60 + 40 and c_custkey % 50 between p_size and p_size + 5), b as (select * from h qualify row_number() over (partition by c_custkey order by sele, seq) = 1)
  select c_custkey, answer from customer left join b using (c_custkey)""",
-    "component_text": f"""with {_PARTS}, x as (select *, {_PIPE_NOUN} as noun, cast(q as bigint)::varchar as qs, case when p % 7 = 0 then null else p % 50 end as item from parts),
+    "component_text": f"""with {_PARTS}, y as (select *, case when p % 31 = 0 then 'CAP' else {_PIPE_NOUN} end as noun from parts), x as (select *, cast(q as bigint)::varchar as qs, case when p % 7 = 0 then null else p % 50 end as item from (select *, count(*) filter (noun = 'CAP') over (partition by branch order by seq) - (noun = 'CAP')::int as capped from y) where capped = 0),
  k as (select branch, item, min(seq) as seq from x where item is not null group by 1, 2)
- select branch, 0 as place, 0::bigint as seq, 'PIPELINE-REFERENCE      /L' || branch as text from (select distinct branch from x)
- union all select branch, 2, 0, 'MATERIALS' from (select distinct branch from x)
+ select branch, 0 as place, 0::bigint as seq, 'PIPELINE-REFERENCE      /L' || branch as text from (select distinct branch from parts)
+ union all select branch, 2, 0, 'MATERIALS' from (select distinct branch from parts)
  union all select branch, 1, seq, concat_ws(chr(13) || chr(10), noun, '        END-POINT    ' || p || '  ' || qs || '  0.5 ' || (p % 200), '        END-POINT    ' || qs || '  ' || p || '  -1 ' || (p % 200), case when p % 2 = 0 then '        CENTRE-POINT    1  2  3' end,
  case when p % 3 = 0 then '        SKEY  ELBW' end, case when p % 4 = 0 then '        ANGLE        ' || (p % 90) || '.25' end, '        ITEM-CODE    ' || item, '        ID-REF-NO    ' || p) from x
  union all select branch, 3, seq, concat_ws(chr(13) || chr(10), 'ITEM-CODE    ' || item, '        DESCRIPTION    ' || p_name) from k left join part on p_partkey = item and p_partkey < 40""",

@@ -14,23 +14,40 @@ from verdigris.plans.scratch import Scratch
 
 
 def closure(elements: DataFrame, max_hops: int | None = None) -> DataFrame:
-    """(refno, anc, depth), the element itself at depth 0.  Joins one level a round until no path grows: as many rounds
-    as the tree is deep, each on the rows that the last round added."""
+    """(refno, anc, depth), the element itself at depth 0.  Goes down from the elements without an owner, one level a
+    round: each element meets its owner's path once, and small levels are broadcast by Spark's own size check.  What that
+    does not reach (owners that are not in the table, cycles) goes up from each element instead.  An id that comes twice
+    has the paths of each of its rows."""
     scratch = Scratch(elements.sparkSession)
-    parents = elements.select(F.col("refno").alias("of"), F.col("owner").alias("up")).where("up is not null")
-    step = scratch.keep(elements.select("refno", F.col("refno").alias("anc"), F.lit(0).alias("depth"), F.array("refno").alias("path")), "level")
-    levels, depth = [step], 0
+    nodes = scratch.keep(elements.select("refno", "owner"), "nodes")
+    below = nodes.select(F.col("refno").alias("child"), "owner")
+    level = scratch.keep(nodes.where("owner is null").select("refno", F.array("refno").alias("path")), "level")
+    reached = None
+    while not level.isEmpty():
+        reached = level if reached is None else reached.union(level)
+        grown = below.join(level, below["owner"] == level["refno"]).where(~F.array_contains("path", F.col("child")))
+        level = scratch.keep(grown.select(F.col("child").alias("refno"), F.concat(F.array("child"), "path").alias("path")), "level")
+    rest = nodes if reached is None else scratch.keep(nodes.join(reached.select("refno"), "refno", "left_anti"), "rest")
+    parts = [] if reached is None else [reached.select("refno", F.posexplode("path").alias("depth", "anc")).select("refno", "anc", "depth")]
+    if not parts or not rest.isEmpty():
+        parts.append(_upward(rest, nodes, max_hops, scratch))
+    out = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+    return out if max_hops is None else out.where(F.col("depth") <= max_hops)
+
+
+def _upward(starts: DataFrame, nodes: DataFrame, max_hops: int | None, scratch: Scratch) -> DataFrame:
+    """Joins one level a round until no path grows, each on the rows that the last round added."""
+    parents = nodes.select(F.col("refno").alias("of"), F.col("owner").alias("up")).where("up is not null")
+    step = scratch.keep(starts.select("refno", F.col("refno").alias("anc"), F.lit(0).alias("depth"), F.array("refno").alias("path")), "up")
+    levels, depth = step, 0
     while max_hops is None or depth < max_hops:
         grown = step.join(parents, step["anc"] == parents["of"]).where(~F.array_contains("path", F.col("up")))
-        step = scratch.keep(grown.select("refno", F.col("up").alias("anc"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("up")).alias("path")), "level")
+        step = scratch.keep(grown.select("refno", F.col("up").alias("anc"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("up")).alias("path")), "up")
         depth += 1
         if step.isEmpty():
             break
-        levels.append(step)
-    out = levels[0]
-    for s in levels[1:]:
-        out = out.union(s)
-    return out.select("refno", "anc", "depth")
+        levels = levels.union(step)
+    return levels.select("refno", "anc", "depth")
 
 
 def with_ancestors(elements: DataFrame, closed: DataFrame) -> DataFrame:

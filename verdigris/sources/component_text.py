@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Component nouns that a file holds.  Fixed values.
@@ -27,12 +27,14 @@ def component_text(parts: DataFrame, descriptions: DataFrame) -> DataFrame:
     """parts: branch, branch_name, seq, noun, arrive, leave, centre (arrays of three), bore, and the columns of LINES.
     descriptions: item_code, description; once each.  Lines of each branch's file as branch, place, seq, text: the reference
     (place 0), a block per component by seq (1), the heading of the materials (2), and a block per item code in order
-    (3).  A line whose value is null is left out; other nouns have no block."""
+    (3).  A line whose value is null is left out; other nouns have no block.  A branch's file ends at
+    its first cap: components after it are left out, from the materials too."""
     number = {"angle", "radius"}
     own = [F.concat(F.lit(_IN + key), plain(F.col(c)) if c in number else F.col(c).cast("string")) for key, c in LINES]
     ends = [_point("END-POINT", F.col(c), plain(F.col("bore"))) for c in ("arrive", "leave")]
     block = F.concat_ws("\r\n", "noun", *ends, _point("CENTRE-POINT", F.col("centre")), *own)
-    kept = parts.where(F.col("noun").isin(*NOUNS))
+    before = Window.partitionBy("branch").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    kept = parts.where(F.col("noun").isin(*NOUNS)).withColumn("__capped", F.bool_or(F.col("noun") == "CAP").over(before)).where("not coalesce(__capped, false)")
     blocks = kept.select("branch", F.lit(1).alias("place"), F.col("seq").cast("bigint").alias("seq"), block.alias("text"))
     names = parts.groupBy("branch").agg(F.min("branch_name").alias("n"))
     heads = names.select("branch", F.inline(F.array(F.struct(F.lit(0).alias("place"), F.lit(0).cast("bigint").alias("seq"), F.concat(F.lit("PIPELINE-REFERENCE      "), F.coalesce("n", F.lit(""))).alias("text")),
