@@ -1,4 +1,5 @@
-"""Registered queries of the discipline reports (piping, ducts, trays, equipment), with their SQL.
+"""Registered queries of the discipline reports (piping, ducts, trays, equipment), reference closures, user attributes and
+change events, with their SQL.
 
 Order lines stand for the parts of a branch (order), in the order of their line numbers; a part's noun and sizes come
 from its part key and quantity.
@@ -8,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from verdigris.operators import branches, ducts, relate, trays
+from verdigris.operators import branches, changes, ducts, references, relate, trays
 from verdigris.plant_queries import LEVEL, _t
 from verdigris.sources import component_text
 
@@ -119,6 +120,25 @@ def q_component_text(spark, d):
     return component_text.component_text(p, items)
 
 
+def q_change_buckets(spark, d):
+    e = _t(spark, d, "events").selectExpr("event_id as seq", "user_id as refno", "case event_id % 5 when 0 then 'A' when 4 then 'D' else 'M' end as op", "if(event_id % 10 = 0, null, user_id % 17) as owner", "if(event_id % 3 = 0, user_id % 19, null) as old_owner", "if(event_id % 3 = 0, user_id % 23, null) as new_owner",
+                                          "if(event_id % 2 = 0, array('OWNER'), array('OWNER', 'POS')) as attributes", "array(1, 2) as children_old", "if(event_id % 7 = 0, array(2, 1), array(1, 2)) as children_new")
+    return changes.buckets(e)
+
+
+def q_reference_closure(spark, d):
+    c = _t(spark, d, "customer").selectExpr("c_custkey as refno", "if(c_custkey % 9 = 0, null, c_custkey div 3) as owner", "if(c_custkey % 4 = 0, 'GMSE', 'SPEC') as noun", "c_custkey % 3 as dbnum")
+    edges = _t(spark, d, "customer").selectExpr("c_custkey as referrer", "c_custkey * 2 + 1 as referenced").where("referrer % 5 = 0")
+    return references.reference_closure(c, edges, _t(spark, d, "nation").selectExpr("n_nationkey * 5L as refno")).select("refno", "dbnum")
+
+
+def q_user_values(spark, d):
+    p = _t(spark, d, "part")
+    definitions = p.where("p_partkey <= 20").groupBy(F.concat(F.lit(":"), F.col("p_partkey") % 3).alias("name"), F.col("p_brand").alias("noun")).agg(F.min("p_type").alias("default"))
+    values = p.selectExpr("p_partkey as refno", "concat(':', p_partkey % 4) as name", "if(p_partkey % 6 = 0, null, p_name) as value").where("refno % 2 = 0")
+    return references.user_values(p.selectExpr("p_partkey as refno", "p_brand as noun"), values, definitions)
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _FRAME = "(round(({w} + 2 * {f} + 75) / 150) + round(({h} + 2 * {f} + 75) / 150) - 2)"
@@ -175,4 +195,15 @@ SQL = {
  union all select branch, 1, seq, concat_ws(chr(13) || chr(10), noun, '        END-POINT    ' || p || '  ' || qs || '  0.5 ' || (p % 200), '        END-POINT    ' || qs || '  ' || p || '  -1 ' || (p % 200), case when p % 2 = 0 then '        CENTRE-POINT    1  2  3' end,
  case when p % 3 = 0 then '        SKEY  ELBW' end, case when p % 4 = 0 then '        ANGLE        ' || (p % 90) || '.25' end, '        ITEM-CODE    ' || item, '        ID-REF-NO    ' || p) from x
  union all select branch, 3, seq, concat_ws(chr(13) || chr(10), 'ITEM-CODE    ' || item, '        DESCRIPTION    ' || p_name) from k left join part on p_partkey = item and p_partkey < 40""",
+    "change_buckets": """with e as (select event_id as seq, user_id as refno, case event_id % 5 when 0 then 'A' when 4 then 'D' else 'M' end as op from events)
+ select seq, case op when 'A' then 'Created' else 'Deleted' end as bucket, refno from e where op <> 'M' union select seq, 'MemberChanged', refno % 17 from e where op = 'A' and seq % 10 <> 0
+ union select seq, 'Moved', refno from e where op = 'M' and seq % 3 = 0 union select seq, 'MemberChanged', refno % 19 from e where op = 'M' and seq % 3 = 0 union select seq, 'MemberChanged', refno % 23 from e where op = 'M' and seq % 3 = 0
+ union select seq, 'Modified', refno from e where op = 'M' and seq % 2 <> 0 union select seq, 'MemberChanged', refno from e where op = 'M' and seq % 7 = 0""",
+    "reference_closure": """with recursive w as (select n_nationkey * 5::bigint as refno from nation union
+ select t.refno from w join (select c_custkey as here, c_custkey * 2 + 1 as refno from customer where c_custkey % 5 = 0 union all select c_custkey, c_custkey // 3 from customer where c_custkey % 9 <> 0
+ union all select c_custkey // 3, c_custkey from customer where c_custkey % 9 <> 0 and c_custkey // 3 in (select c_custkey from customer where c_custkey % 4 = 0)) t on t.here = w.refno)
+ select w.refno, c_custkey % 3 as dbnum from w left join customer on c_custkey = w.refno""",
+    "user_values": """with u as (select p_partkey as refno, name, d from part join (select ':' || (p_partkey % 3) as name, p_brand as noun, min(p_type) as d from part where p_partkey <= 20 group by 1, 2) on noun = p_brand),
+ v as (select p_partkey as refno, ':' || (p_partkey % 4) as name, case when p_partkey % 6 = 0 then null else p_name end as value from part where p_partkey % 2 = 0)
+ select refno, name, coalesce(value, d) as value from u full join v using (refno, name)""",
 }

@@ -53,3 +53,20 @@ def rollup(net: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     flat = j.select(F.explode(sides).alias("x")).select("x.*").where("a or d or m or i or o")
     n = lambda c: F.sum(F.col(c).cast("bigint"))
     return flat.groupBy("root").agg(n("a").alias("added"), n("d").alias("deleted"), n("m").alias("modified"), n("i").alias("moved_in"), n("o").alias("moved_out"))
+
+
+def buckets(operations: DataFrame) -> DataFrame:
+    """operations: seq, refno, op (A, M, D), owner (of an added element), old_owner, new_owner (of a moved one), attributes
+    array<string>, children_old, children_new arrays.  The events a user sees as seq, bucket, refno, each once for an
+    operation: an owner's members change with what is added or moved; a move and a modification may come together."""
+    event = lambda when, bucket, refno: F.when(when & refno.isNotNull(), F.struct(F.lit(bucket).alias("bucket"), refno.alias("refno")))
+    c = {x: F.col(x) for x in ("refno", "owner", "old_owner", "new_owner")}
+    added, gone, changed = (F.col("op") == x for x in "ADM")
+    moved = changed & (c["old_owner"].isNotNull() | c["new_owner"].isNotNull())
+    ordinary = F.exists("attributes", lambda a: a != "OWNER")
+    members = ~F.col("children_old").eqNullSafe(F.col("children_new"))
+    events = F.array(
+        event(added, "Created", c["refno"]), event(added, "MemberChanged", c["owner"]), event(gone, "Deleted", c["refno"]), event(moved, "Moved", c["refno"]),
+        event(moved, "MemberChanged", c["old_owner"]), event(moved, "MemberChanged", c["new_owner"]), event(changed & ordinary, "Modified", c["refno"]), event(changed & members, "MemberChanged", c["refno"]),
+    )
+    return operations.select("seq", F.inline(F.array_distinct(F.array_compact(events))))

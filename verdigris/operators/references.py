@@ -73,3 +73,41 @@ def signed_parts(parts: DataFrame, positive: list[str], negative: list[str]) ->
 def uncovered_nouns(elements: DataFrame, routed: list[str]) -> DataFrame:
     """Nouns in use that no route takes, with their numbers."""
     return elements.where(~F.col("noun").isin(*routed)).groupBy("noun").agg(F.count("*").alias("n"))
+
+
+#: Containers whose members belong to the geometry of what refers to them.  Fixed values.
+CONTAINERS = ("GMSE", "GMSS", "NGMS", "PTSE", "PSTR", "SPRO", "DTSE", "SEXT", "NSEX", "SREV", "NSRE", "SLOO")
+
+
+def reference_closure(elements: DataFrame, edges: DataFrame, seeds: DataFrame, containers: tuple[str, ...] = CONTAINERS, max_rounds: int = 64) -> DataFrame:
+    """elements: refno, owner, noun, dbnum (those in scope, an id once).  edges: referrer, referenced.  seeds: refno.  All that the
+    seeds need: what they refer to, their owners, and the members of containers, and so on.  refno, dbnum and the round
+    that reached it; dbnum is null where it is in no table (missing).  Each round joins only what the last one added."""
+    scratch = Scratch(elements.sparkSession)
+    elements = scratch.keep(elements.select("refno", "owner", "noun", "dbnum").dropDuplicates(["refno"]), "elements")
+    edges = scratch.keep(edges.select("referrer", "referenced").distinct(), "edges")
+    members = elements.select(F.col("owner").alias("refno"), F.col("refno").alias("member"))
+    new = seeds.select("refno").where("refno is not null").distinct()
+    seen, rounds = None, 0
+    while True:
+        found = scratch.keep(new.join(elements, "refno", "left").select("refno", "owner", "noun", "dbnum", F.lit(rounds).alias("round")), "found")
+        if found.isEmpty():
+            break
+        seen = found if seen is None else seen.union(found)
+        rounds += 1
+        if rounds >= max_rounds:
+            break
+        here = found.where("dbnum is not null")
+        out = here.join(edges, here["refno"] == edges["referrer"]).select(F.col("referenced").alias("refno"))
+        up = here.select(F.col("owner").alias("refno"))
+        down = here.where(F.col("noun").isin(*containers)).join(members, "refno").select(F.col("member").alias("refno"))
+        new = out.union(up).union(down).where("refno is not null").distinct().join(seen.select("refno"), "refno", "left_anti")
+    return (found if seen is None else seen).select("refno", "dbnum", "round")
+
+
+def user_values(elements: DataFrame, values: DataFrame, definitions: DataFrame) -> DataFrame:
+    """elements: refno, noun.  values: refno, name, value.  definitions: name, noun, default; once each.  The user
+    attributes of each element as refno, name, value: its own, else the default of its noun's definition."""
+    usual = elements.join(definitions, "noun").select("refno", "name", "default")
+    own = values.join(elements.select("refno"), "refno", "left_semi")
+    return usual.join(own, ["refno", "name"], "full").select("refno", "name", F.coalesce("value", "default").alias("value"))
