@@ -139,6 +139,21 @@ def q_user_values(spark, d):
     return references.user_values(p.selectExpr("p_partkey as refno", "p_brand as noun"), values, definitions)
 
 
+def q_duct_end_washers(spark, d):
+    n = branches.neighbours(parts(spark, d).selectExpr("branch", "seq", f"{_DUCT_NOUN} as noun", "p % 2 = 0 as circle", "p % 7 as material", "q as fl", "p % 40 as f", "p % 3 = 0 as fan"), ("noun", "fan"))
+    a = {k: F.col(k) for k in n.columns}
+    ends = ducts.washer_lengths_at_ends(a["circle"], [(a["prev_noun"], a["fl"], a["f"]), (a["next_noun"], a["fl"] + 1, a["f"])])
+    return n.select("branch", "seq", F.round(F.get(ends, F.lit(0)), 6).alias("first"), F.round(F.get(ends, F.lit(1)), 6).alias("second"), ducts.washer_type_at_fan(a["prev_fan"], a["material"]).alias("kind"))
+
+
+def q_equipment_report(spark, d):
+    c = _t(spark, d, "customer").selectExpr("c_custkey as refno", "c_name as name", "if(c_nationkey % 6 = 0, '/1-FAD', null) as zone_name")
+    o = _t(spark, d, "orders")
+    rooms = o.where("o_orderkey % 4 = 0").selectExpr("o_custkey as element", "o_orderkey as room", "concat('K', o_orderkey) as room_num", "o_orderkey % 9 as inside_count", "o_totalprice as center_dist")
+    s = _t(spark, d, "supplier")
+    return trays.equipment_report(c, rooms, s.selectExpr("s_suppkey as refno", "s_acctbal as z"), s.where("s_suppkey % 2 = 0").selectExpr("s_suppkey as refno", "s_nationkey * 1d as dist"), "FAD")
+
+
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 
 _FRAME = "(round(({w} + 2 * {f} + 75) / 150) + round(({h} + 2 * {f} + 75) / 150) - 2)"
@@ -206,4 +221,11 @@ SQL = {
     "user_values": """with u as (select p_partkey as refno, name, d from part join (select ':' || (p_partkey % 3) as name, p_brand as noun, min(p_type) as d from part where p_partkey <= 20 group by 1, 2) on noun = p_brand),
  v as (select p_partkey as refno, ':' || (p_partkey % 4) as name, case when p_partkey % 6 = 0 then null else p_name end as value from part where p_partkey % 2 = 0)
  select refno, name, coalesce(value, d) as value from u full join v using (refno, name)""",
+    "duct_end_washers": f"""with {_PARTS}, a as (select branch, seq, p, q, {_DUCT_NOUN} as noun from parts), n as (select *, lag(noun) over x as pn, lead(noun) over x as nn, coalesce(lag(p % 3 = 0) over x, false) as pfan from a window x as (partition by branch order by seq)),
+ e as (select *, case when p % 2 = 0 then (p % 40) * 4 / 1000 else 0 end as more from n)
+ select branch, seq, round((q + more) * case when {_P} then 1.0::double else 0.5::double end, 6) as first, round((q + 1 + more) * case when {_N} then 1.0::double else 0.5::double end, 6) as second,
+ case when pfan then 'D型' when p % 7 in (1, 2, 4) then 'B型' else 'A型' end as kind from e""",
+    "equipment_report": """with r as (select o_custkey, 'K' || o_orderkey as room_num from orders where o_orderkey % 4 = 0 qualify row_number() over (partition by o_custkey order by o_orderkey % 9 desc, o_totalprice, 'K' || o_orderkey) = 1)
+ select c_custkey as refno, c_name as name, coalesce(room_num, '') as room_num, coalesce(s_acctbal, 0) as z, case when s_suppkey % 2 = 0 then s_nationkey::double else 0 end as floor_height
+ from customer left join r on o_custkey = c_custkey left join supplier on s_suppkey = c_custkey where c_nationkey % 6 <> 0""",
 }

@@ -166,3 +166,15 @@ def washer_length(circle: Column, material: Column, prev: tuple[Column, Column],
 
 def shown_width(circle: Column, width: Column) -> Column:
     return F.when(circle, F.concat(F.lit("φ"), width.cast("string"))).otherwise(width.cast("string"))
+
+
+def washer_lengths_at_ends(circle: Column, ends: list[tuple[Column, Column, Column]]) -> Column:
+    """Array by end of a branch piece.  ends: (noun that stands there, flange length, flange width): the whole length at
+    a dressed end, half of it elsewhere; a round end has four flange widths more."""
+    whole = lambda length, flange: _or_zero(length) + F.when(circle, _or_zero(flange) * 4 / 1000).otherwise(0.0)
+    return F.array(*(whole(length, flange) * F.when(dressed(noun), 1.0).otherwise(0.5) for noun, length, flange in ends))
+
+
+def washer_type_at_fan(fan: Column, material: Column) -> Column:
+    """Of a cap or an end of a branch piece: a fan's own, else by material in two groups."""
+    return F.when(F.coalesce(fan, F.lit(False)), FAN_WASHER).when(material.isin(1, 2, 4), "B型").otherwise("A型")

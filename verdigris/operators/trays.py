@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.operators.branches import distance
+from verdigris.operators.relate import strongest
 
 #: Words in a tray's specification and the kind they name, the first that it holds.  Fixed values.
 TRAY_KINDS = [("LADDER", "梯架"), ("TROUGH", "实底托盘"), ("VENTILATED", "带孔托盘"), ("RISER", "竖梯"), ("DIVIDER", "分隔板")]
@@ -77,3 +78,13 @@ def grandchildren(children: DataFrame, noun: str = "SUBE") -> DataFrame:
     """children: refno, owner, noun.  Pairs of an element and the children of its children of that noun."""
     mid = children.where(F.col("noun") == noun).select(F.col("owner").alias("root"), F.col("refno").alias("mid"))
     return mid.join(children.select(F.col("owner").alias("mid"), "refno"), "mid").select("root", "refno")
+
+
+def equipment_report(equipment: DataFrame, room_edges: DataFrame, positions: DataFrame, floors: DataFrame, skip_zones: str | None = None) -> DataFrame:
+    """equipment: refno, name, zone_name.  room_edges: element, room, room_num, inside_count, center_dist.  positions: refno, z.
+    floors: refno, dist.  refno, name, room_num of the strongest edge, z and floor_height; empty or 0 where unknown.
+    Equipment of zones whose name holds skip_zones is left out."""
+    rows = equipment if skip_zones is None else equipment.where(~F.contains(F.coalesce("zone_name", F.lit("")), F.lit(skip_zones)))
+    room = strongest(room_edges).select(F.col("element").alias("refno"), "room_num")
+    out = rows.join(room, "refno", "left").join(positions, "refno", "left").join(floors, "refno", "left")
+    return out.select("refno", "name", F.coalesce("room_num", F.lit("")).alias("room_num"), F.coalesce("z", F.lit(0.0)).alias("z"), F.coalesce("dist", F.lit(0.0)).alias("floor_height"))
