@@ -10,7 +10,8 @@ block, and a pair is discarded once its count plus what is left of the smaller r
 All bounds are exact integer arithmetic, so no link is lost and none is added; the hashes have 64 bits, those that tell
 copies 128.  Rows of the same size class use the same number of column blocks: a class ends at 1.5 times the end of the
 one before, and a row is also dealt by the next class's blocks where a partner could be there.  Column blocks that are
-empty in a row count as agreeing and are only written for rows so uneven that they could decide.
+empty in a row may be empty in its partner too: as these need not be seen to agree, a row needs as many fewer.  They are
+only written for rows so uneven that nothing else need agree; then the partner is as uneven and writes them too.
 
 A null, empty or wordless text has an empty set, is linked with nothing and is its own component.  Repeated rows of an
 id are returned as often as they come; under one id they are one document, linked by any of its texts.  A null id keeps its row and takes the least id
@@ -86,7 +87,7 @@ def column_blocks(h: np.ndarray, n: np.ndarray, percent: int, up: int) -> dict[s
     empty = np.bincount(row[~full], minlength=len(n))
     uneven = empty >= blocks - differ
     most = np.minimum(ENDS[c], n * 100 // percent)
-    need = np.maximum(1, blocks - (100 - percent) * (n + most) // (100 + percent) - np.where(uneven, 0, empty))
+    need = np.maximum(1, blocks - (100 - percent) * (n + most) // (100 + percent) - empty)
     out = full | uneven[row]
     place = np.arange(base[-1]) - base[row]
     sigs = mix(total + place.astype(_U) * _GOLD + mix(c[row].astype(_U) + _U(1)))
