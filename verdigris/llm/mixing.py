@@ -84,9 +84,10 @@ def place(docs: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
     return scratch.keep(inside.join(per, ["s", "bucket"]).select("doc_id", "key", "source", "s", "size", F.when(F.col("size") > 0, F.col("at") + F.col("inside")).alias("begin")), "placed")
 
 
-def slots(sources: DataFrame, block: int, shard_slots: int, most: float, seed: int) -> DataFrame:
-    """sources: s, rank, n_blocks, target.  One row for each slot of the mix: shard, slot, s, block_no."""
-    b = sources.where("n_blocks > 0").withColumn("take", F.least(F.round(F.col("target") / block).cast("bigint"), F.col("n_blocks") * int(most)))
+def slots(sources: DataFrame, shard_slots: int, most: float, seed: int) -> DataFrame:
+    """sources: s, rank, source_size, n_blocks, target.  One row for each slot of the mix: shard, slot, s, block_no.  A
+    source's slots are its target by the mean length of its blocks, of which the last may be short."""
+    b = sources.where("n_blocks > 0").withColumn("take", F.least(F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")).cast("bigint"), F.col("n_blocks") * int(most)))
     b = b.withColumn("begin", F.coalesce(F.sum("take").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     b = b.withColumn("all", F.sum("take").over(Window.partitionBy())).withColumn("all_a", _prime_to(F.col("all"), F.xxhash64(F.lit(seed))))
     laps = b.where("take > 0").withColumn("lap", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("take") - 1) / F.col("n_blocks")))))
@@ -112,7 +113,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     first = F.greatest(F.col("block_no") * block - F.col("begin"), F.lit(0))
     end = F.least((F.col("block_no") + 1) * block - F.col("begin"), F.col("size"))
     pieces = pieces.select("s", "block_no", "begin", first.alias("first"), (end - first).alias("words"))
-    mix = slots(goals, block, shard_slots, most, seed).join(pieces, ["s", "block_no"])
+    mix = slots(goals, shard_slots, most, seed).join(pieces, ["s", "block_no"])
     per_source = goals.select("s", "source_size", "target")
     plan = placed.join(F.broadcast(per_source) if bounded(per_source, 1_000_000) else per_source, "s")
     return mix, plan
