@@ -20,3 +20,21 @@ def test_small_sources_meet_their_targets(spark):
         assert got == 3 * n if s in capped else abs(got - target) <= 192
     often = mix.groupBy("s", "begin", "first").count().agg(F.max("count")).first()[0]
     assert often == 3
+
+
+def test_shards_draw_their_counts(spark):
+    """Counts of a source spread over the shards as a draw without return does, and neighbours in a shard are not in step."""
+    n, wide = 200 * 64, 64
+    sources = spark.createDataFrame([("=a", 0, n // 2 * 8, n // 2, n / 2 * 8.0), ("=b", 1, n // 4 * 8, n // 4, n / 4 * 8.0), ("=c", 2, n // 4 * 8, n // 4, n / 4 * 8.0)], "s string, rank int, source_size long, n_blocks long, target double")
+    rows = mixing.slots(sources, wide, 3.0, 17).collect()
+    assert sorted(r["slot"] for r in rows) == list(range(n)) and all(r["shard"] == r["slot"] // wide for r in rows)
+    assert len({(r["s"], r["block_no"]) for r in rows}) == n
+    for s, p in (("=a", 0.5), ("=b", 0.25), ("=c", 0.25)):
+        count = [0] * (n // wide)
+        for r in rows:
+            count[r["shard"]] += r["s"] == s
+        expected = wide * p * (1 - p) * (n - wide) / (n - 1)
+        # 200 shards: the sample variance is within 40 % at four deviations
+        assert 0.6 < sum((x - wide * p) ** 2 for x in count) / len(count) / expected < 1.4
+    other = mixing.slots(sources, wide, 3.0, 18).collect()
+    assert sorted(map(tuple, other)) != sorted(map(tuple, rows))

@@ -2,14 +2,17 @@
 
 The words (tokens) of each source are packed into blocks of a fixed length: documents follow each other in the order
 of a seeded hash, and a block may begin and end inside a document.  The mix is a row of equal slots, dealt to output
-shards.  Each shard draws multinomial source counts, conditioned on the whole mix's counts being the targets: a seeded
-permutation carries a slot to a place, and the slot's source is the one whose stretch of places, as long as its target,
-holds that place.  The place within the stretch is an index, which a pseudorandom permutation of the source's blocks
-maps to a block, another permutation for every pass over the source.  So no block is taken more often than there are
-passes, and every slot can be computed alone; slots and blocks are then joined by source and block number.
-
-A permutation of 0..n-1 is i -> (a i + b) mod n with hashed b and a, the first from there that is prime to n, in
-decimal arithmetic, so that it holds beyond 2^31 blocks.
+shards.  Each shard draws multinomial source counts, conditioned on the whole mix's counts being the targets: every
+slot that a source's target gives it draws a seeded 64-bit number, and the slots are numbered in the order of these, so
+that the sources' order is a random permutation and a shard, a range of numbers, is a draw from it without return.  The
+numbers are counted in two levels, buckets and places in a bucket, so that no task holds the mix.  A slot's index within
+its source is mapped to a block by a pseudorandom permutation of the source's blocks, another for every pass over the
+source.  So no block is taken more often than there are passes; slots and blocks are then joined by source and block
+number.
+
+A permutation of a source's blocks 0..n-1 is i -> (a i + b) mod n with hashed b and a, the first from there that is
+prime to n, in decimal arithmetic, so that it holds beyond 2^31 blocks.  It only tells which blocks a pass that is not
+whole takes: the blocks themselves hold documents in hash order.
 
 Targets: sources have cyclic weights by rank and share the total; a target stops at `most` times its source's size, and
 the excess is dealt again by weight until none is above.  Sizes are words, `[^\\x20\\x09-\\x0D]+`; a null text has none.
@@ -27,7 +30,7 @@ from verdigris.plans.scratch import Scratch, bounded
 WORD = r"[^\x20\x09-\x0D]+"
 #: Buckets of a source's hash order; a source's running sum is one window over so many rows, and one within each bucket.
 BUCKETS = 4096
-#: Slots that one row of the slot plan stands for.
+#: Slots that one row of the slot plan stands for, and about as many that one bucket of their order holds.
 RUN = 4096
 
 
@@ -89,14 +92,19 @@ def slots(sources: DataFrame, shard_slots: int, most: float, seed: int) -> DataF
     source's slots are its target by the mean length of its blocks, of which the last may be short."""
     b = sources.where("n_blocks > 0").withColumn("take", F.least(F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")).cast("bigint"), F.col("n_blocks") * int(most)))
     b = b.withColumn("begin", F.coalesce(F.sum("take").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    b = b.withColumn("all", F.sum("take").over(Window.partitionBy())).withColumn("all_a", _prime_to(F.col("all"), F.xxhash64(F.lit(seed))))
+    b = b.withColumn("all", F.sum("take").over(Window.partitionBy()))
     laps = b.where("take > 0").withColumn("lap", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("take") - 1) / F.col("n_blocks")))))
     laps = laps.withColumn("b", F.xxhash64(F.lit(seed), "s", "lap")).withColumn("a", _prime_to(F.col("n_blocks"), F.xxhash64("b")))
     laps = laps.withColumn("here", F.least(F.col("n_blocks"), F.col("take") - F.col("lap") * F.col("n_blocks")))
     runs = laps.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("here") - 1) / RUN)))).repartition("s", "lap", "run")
     s = runs.withColumn("i", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("here")) - 1)))
-    s = s.withColumn("slot", _permuted(F.col("begin") + F.col("lap") * F.col("n_blocks") + F.col("i"), F.col("all"), F.col("all_a"), F.lit(seed)))
-    return s.select(F.floor(F.col("slot") / shard_slots).alias("shard"), "slot", "s", _permuted(F.col("i"), F.col("n_blocks"), F.col("a"), F.col("b")).alias("block_no"))
+    s = s.withColumn("at", F.col("begin") + F.col("lap") * F.col("n_blocks") + F.col("i")).withColumn("drawn", F.xxhash64(F.lit(seed), "at"))
+    s = s.select("s", _permuted(F.col("i"), F.col("n_blocks"), F.col("a"), F.col("b")).alias("block_no"), "at", "drawn", F.pmod("drawn", F.ceil(F.col("all") / RUN)).alias("bucket"))
+    per = s.groupBy("bucket").agg(F.count("*").alias("in_bucket"))
+    per = per.select("bucket", (F.sum("in_bucket").over(Window.orderBy("bucket")) - F.col("in_bucket")).alias("before"))
+    inside = s.withColumn("inside", F.row_number().over(Window.partitionBy("bucket").orderBy("drawn", "at")) - 1)
+    s = inside.join(per, "bucket").withColumn("slot", F.col("before") + F.col("inside"))
+    return s.select(F.floor(F.col("slot") / shard_slots).alias("shard"), "slot", "s", "block_no")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0, block: int = 128, shard_slots: int = 8192, seed: int = 17) -> tuple[DataFrame, DataFrame]:
