@@ -6,7 +6,8 @@ bound from dual feasible functions tells whether a partition's count is certainl
 exchange documents: the pieces of their looser sequences are dealt anew, among each other, and packed again; the new
 packing of a pool is taken where it needs fewer sequences.  Full and certified sequences stay as they are.
 
-A null text is an empty one: its only token is the separator.  Repeated rows are packed as often as they come.  An
+A null text is an empty one: its only token is the separator.  Strings of the tokenizer file's added tokens in a text
+are these tokens, as by the `tokenizers` library's defaults.  Repeated rows are packed as often as they come.  An
 empty table gives an empty table.  Other columns are ignored.
 """
 
@@ -89,7 +90,7 @@ def pieces(docs: DataFrame, capacity: int, path: str, with_ids: bool = False) ->
         for batch in batches:
             names, rows = batch["doc_id"], [[] for _ in range(6)]
             for i, text in enumerate(batch["text"]):
-                x = np.append(tokens.ids(path, text.as_py()), np.uint32(0))
+                x = np.append(tokens.ids(path, text.as_py(), added=True), np.uint32(0))
                 head = len(x) % capacity or capacity
                 at = 0
                 for p, end in enumerate(range(head, len(x) + 1, capacity)):

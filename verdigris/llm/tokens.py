@@ -2,7 +2,8 @@
 
 The ranks are read from the tokenizer file itself, and texts are encoded by tiktoken: with the same vocabulary, merges
 and pattern its ids equal those of the `tokenizers` library (a test holds them against each other), at a third of the
-time.  Strings of special tokens in a text are ordinary text.
+time.  The file's added tokens, such as <|endoftext|>, are taken for their ids where they are asked for, as the library
+does by its defaults; else their strings in a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -30,10 +31,10 @@ def encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    special = {t["content"] for t in spec.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     letters = byte_letters()
     ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def vocabulary() -> str:
@@ -42,6 +43,8 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def ids(path: str, text: str | None) -> np.ndarray:
-    """Very long words take time beyond proportion in merging, so nothing but the pattern cuts a text."""
-    return np.array(encoder(path).encode_ordinary(text or ""), np.uint32)
+def ids(path: str, text: str | None, added: bool = False) -> np.ndarray:
+    """added: strings of added tokens are these tokens.  Very long words take time beyond proportion in merging, so
+    nothing but the pattern and the added tokens cuts a text."""
+    e = encoder(path)
+    return np.array(e.encode(text or "", allowed_special="all") if added else e.encode_ordinary(text or ""), np.uint32)
