@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import jaccard_join, mixing, packing, quality_rules, secret_scan
-from verdigris.plans.scratch import Scratch
+from verdigris.plans.scratch import Scratch, bounded
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,11 +22,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8), the document whose id is the group's; a document without words is
-    a group of its own.  Rows that repeat that id all stay only if they are the same row once."""
-    groups = jaccard_join.jaccard_components(docs, k=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies (five words, 0.8), one row: the one with the least id, or any of them where that id's
+    row is repeated or the group has null ids only.  Groups are of rows, each under a number of its own, so that null ids
+    and repeated ids tell no rows apart or together; a row without words is a group of its own."""
+    scratch = Scratch(spark)
+    rows = scratch.keep(docs.withColumn("row", F.monotonically_increasing_id()), "documents")
+    groups = jaccard_join.jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"), k=5, percent=80)
+    named = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
+    gone = scratch.keep(named.select("row").join(first.select(F.col("first.row").alias("row")), "row", "left_anti"), "gone")
+    return rows.join(F.broadcast(gone) if bounded(gone, jaccard_join.BROADCAST_ROWS) else gone, "row", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
