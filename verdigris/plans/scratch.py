@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,12 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset (tests on one machine), a new temporary folder."""
+    """The session's spark.checkpoint.dir; where that is unset, a new temporary folder if driver and tasks are one process
+    (tests), else an error: other machines could not read such a folder."""
     found = spark.sparkContext.getConf().get(_KEY) or spark.conf.get(_KEY, None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError(f"{_KEY} names no folder that the cluster shares")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
@@ -21,12 +25,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 class Scratch:
     """Tables of one run of an operator.  keep() writes a table and reads it again, which cuts its lineage and lets a
-    lost executor's work be read back by others; drop() removes one that nothing needs any more."""
+    lost executor's work be read back by others; drop() removes one that nothing needs any more.  What a result still
+    reads is removed when the driver ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/verdigris-{uuid.uuid4().hex}"
         self.n = 0
+        path, files = self._files(self.root)
+        files.deleteOnExit(path)
+
+    def _files(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
@@ -37,11 +48,9 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            path, files = self._files(df._scratch_path)
+            files.delete(path, True)
 
 
 def bounded(df: DataFrame, most: int) -> bool:
