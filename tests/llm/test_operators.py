@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from verdigris.llm import byte_text, chat_format, jaccard_join, language_id, mixing, packing, pii, quality_rules, queries, secret_scan, shingles, spans, token_counts, tokens
+from verdigris.llm import byte_text, chat_format, jaccard_join, mixing, packing, pii, quality_rules, queries, secret_scan, shingles, spans, token_counts, tokens
 from verdigris.llm import transport_stream as ts
 from verdigris.plans.components import components
 from verdigris.plans.scratch import Scratch
@@ -350,24 +350,6 @@ def test_language(spark, docs, odd_dir):
     assert {r["lang_pred"] for r in queries.op2_language_id(spark, odd_dir).collect() if r["doc_id"] in (0, 1, 2)} == {"und"}
 
 
-def test_phrases():
-    """The table parses as longest matches do."""
-    rng = random.Random(8)
-    samples = {"a": "".join(rng.choice("abc ") for _ in range(300)), "b": "bca" * 60}
-    model = language_id.Model({k: [v] for k, v in samples.items()})
-    for _ in range(40):
-        t = "".join(rng.choice("abcz ") for _ in range(rng.randint(1, 200)))
-        grid = model.symbol[np.array([ord(c) for c in t])].astype(np.int32)[:, None]
-        for lang, got in zip(model.langs, model.phrases(grid), strict=True):
-            n, i = 0, 0
-            while i < len(t):
-                j = i + 1
-                while j < len(t) and t[i : j + 1] in samples[lang]:
-                    j += 1
-                n, i = n + 1, j
-            assert got[0] == n
-
-
 def test_token_counts(spark, docs, odd_dir):
     for d in (docs, spark.read.parquet(f"{odd_dir}/documents.parquet")):
         got = sorted(tuple(r) for r in token_counts.count_tokens(d.repartition(3), block_tokens=700).collect())

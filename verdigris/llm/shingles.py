@@ -29,13 +29,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_P))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base % (1 << 64), _U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _factors(place: np.ndarray) -> np.ndarray:
+    """The factor of each place in a run: pseudorandom and odd, so that no pattern of bytes cancels another."""
+    return mix((place.astype(_U) + _U(1)) * _U(_P)) | _U(1)
 
 
-_POW = {"up": _powers(_P, _STEP), "down": _powers(pow(_P, -1, 1 << 64), _STEP)}
+_FACTOR = _factors(np.arange(1 << 12))
 
 
 def string_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -50,32 +49,28 @@ def string_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def hashes_of_runs(buf: np.ndarray, at: np.ndarray, sep: np.ndarray, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start, end) of each run of bytes between separators and the ends of texts, in order.  Works in steps of
-    about a megabyte, cut between runs, so that temporary arrays stay small whatever a text's length."""
-    first = np.zeros(len(buf) + 1, bool)
-    first[at] = True
-    out, begins, ends, lo = [], [], [], 0
-    while lo < len(buf):
-        hi = min(len(buf), lo + _STEP)
-        while hi < len(buf) and not (sep[hi - 1] or first[hi]):
-            back = np.flatnonzero(sep[lo:hi] | first[lo + 1 : hi + 1])
-            if len(back):
-                hi = lo + int(back[-1]) + 1
-                break
-            hi = min(len(buf), hi + _STEP)
-        run = ~sep[lo:hi]
-        s = np.flatnonzero(run & (first[lo:hi] | np.r_[True, ~run[:-1]]))
-        e = np.flatnonzero(run & (first[lo + 1 : hi + 1] | np.r_[~run[1:], True])) + 1
-        n = hi - lo
-        up, down = (_POW["up"], _POW["down"]) if n <= _STEP else (_powers(_P, n), _powers(pow(_P, -1, 1 << 64), n))
-        total = np.r_[_U(0), np.add.accumulate(table[buf[lo:hi]] * up[:n])]
-        out.append(mix((total[e] - total[s]) * down[s] + (e - s).astype(_U)))
-        begins.append(s + lo)
-        ends.append(e + lo)
-        lo = hi
-    if not out:
-        return np.empty(0, _U), np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(out), np.concatenate(begins), np.concatenate(ends)
+    """(hash, start, end) of each run of bytes between separators and the ends of texts, in order.  A hash is the sum of
+    its bytes' numbers, each times the factor of its place in the run, and the length, mixed.  Works in steps of about a
+    megabyte, so that temporary arrays stay small whatever a text's length; a run may go on over many steps."""
+    edge = np.zeros(len(buf) + 1, bool)
+    edge[at] = True
+    inside = ~sep
+    starts = np.flatnonzero(inside & (edge[:-1] | np.r_[True, sep[:-1]][: len(buf)]))
+    ends = np.flatnonzero(inside & (edge[1:] | np.r_[sep[1:], True][: len(buf)])) + 1
+    out = np.zeros(len(starts), _U)
+    for lo in range(0, len(buf), _STEP):
+        here = np.flatnonzero(inside[lo : lo + _STEP]) + lo
+        if not len(here):
+            continue
+        a, b = np.searchsorted(ends, here[0], "right"), np.searchsorted(starts, here[-1], "right")
+        s, e = starts[a:b], ends[a:b]
+        size = np.minimum(e, lo + _STEP) - np.maximum(s, lo)
+        place = here - np.repeat(s, size)
+        factor = _FACTOR[place] if place.max() < len(_FACTOR) else _factors(place)
+        total = np.r_[_U(0), np.add.accumulate(table[buf[here]] * factor)]
+        cut = np.r_[0, np.cumsum(size)]
+        out[a:b] += total[cut[1:]] - total[cut[:-1]]
+    return mix(out + (ends - starts).astype(_U)), starts, ends
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +83,6 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the texts' shingle sets, one text after another, ascending within a text; sizes of the sets)."""
     words, n = word_hashes(texts)
-    doc = np.repeat(np.arange(len(n)), n)
     if not len(words):
         return words, n
     at = np.r_[0, np.cumsum(n)[:-1]]
@@ -101,7 +95,6 @@ def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
         inside = j < length
         nxt = mix(h * _U(_P) + words[np.minimum(pos + j, len(words) - 1)])
         h = nxt if inside.all() else np.where(inside, nxt, h)
-    del doc
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
