@@ -88,3 +88,48 @@ def components(docs, k, percent):
 
 def crc(ids):
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def _crc_mpeg(data):
+    c = 0xFFFFFFFF
+    for b in data:
+        for i in range(7, -1, -1):
+            top = c >> 31 ^ b >> i & 1
+            c = c << 1 & 0xFFFFFFFF ^ (0x04C11DB7 if top else 0)
+    return c.to_bytes(4, "big")
+
+
+def transport_stream(payload):
+    """(the stream of a payload, sizes of its units), packet by packet."""
+    pat = bytes.fromhex("00b00d0001c100000001f000")
+    pmt = bytes.fromhex("02b0120001c10000e100f00006e100f000")
+    out = [bytes.fromhex("4740001000") + pat + _crc_mpeg(pat), bytes.fromhex("4750001000") + pmt + _crc_mpeg(pmt)]
+    out = [p.ljust(188, b"\xff") for p in out]
+    count, sizes = 0, []
+    for u, lo in enumerate(range(0, len(payload), 32768)):
+        unit = payload[lo : lo + 32768]
+        sizes.append(len(unit))
+        t = 3600 * (u + 1)
+        stamp = bytes([0x21 | t >> 30 << 1, t >> 22 & 255, t >> 15 << 1 & 255 | 1, t >> 7 & 255, t << 1 & 255 | 1])
+        rest = b"\0\0\1\xbd" + (len(unit) + 8).to_bytes(2, "big") + b"\x84\x80\5" + stamp + unit
+        first = True
+        while rest:
+            field = b""
+            if first:
+                field = bytes([0x50 if u % 8 == 0 else 0x10]) + (3600 * u << 15 | 0x7E00).to_bytes(6, "big")
+            room = 184 - (len(field) + 1 if field else 0)
+            if len(rest) < room:
+                gap = room - len(rest)
+                if not field:
+                    gap -= 1
+                    field = b"\0" if gap else b""
+                    gap = max(0, gap - 1)
+                    head = bytes([len(field) + gap]) + field + b"\xff" * gap
+                else:
+                    head = bytes([len(field) + gap]) + field + b"\xff" * gap
+            else:
+                head = bytes([len(field)]) + field if field else b""
+            part, rest = rest[: 184 - len(head)], rest[184 - len(head) :]
+            out.append(bytes([0x47, 0x41 if first else 0x01, 0, (0x30 if head else 0x10) | count & 15]) + head + part)
+            count, first = count + 1, False
+    return b"".join(out), sizes

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tests.llm import brute
 from verdigris.llm import byte_text, chat_format, jaccard_join, mixing, packing, pii, quality_rules, queries, secret_scan, shingles, spans, token_counts, tokens
-from verdigris.llm import transport_stream as ts
 from verdigris.plans.components import components
 from verdigris.plans.scratch import Scratch
 
@@ -218,28 +217,19 @@ def test_components(spark):
 @pytest.mark.parametrize("where", ["sf", "odd"])
 def test_media(spark, odd_dir, where):
     d = SF if where == "sf" else odd_dir
-    got = sorted((r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in queries.op7_media_columns(spark, d).collect())
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "units"]
+    got = sorted(tuple(r[c] for c in names) for r in queries.op7_media_columns(spark, d).collect())
     want = []
     for i, t in _texts(spark, d):
         raw = (t or "").encode()
         pay = raw + b"\0" * (-len(raw) % 64 or (64 if not raw else 0))
-        want.append((i, len(raw), len(pay), brute.sha(pay), zlib.crc32(pay[-64:])))
+        stored, sizes = brute.transport_stream(pay)
+        units = ",".join(f"{3600 * (u + 1)}:{n}:{int(u % 8 == 0)}" for u, n in enumerate(sizes))
+        told = f"programs=1;streams=1;packets={len(stored) // 188};pes={len(sizes)};access={-(-len(sizes) // 8)};errors=0;last_pts={3600 * len(sizes)};bytes={len(pay)}"
+        want.append((i, len(raw), len(pay), brute.sha(pay), zlib.crc32(pay[-64:]), len(stored), brute.sha(stored), told, units))
     assert got == sorted(want)
 
 
-def test_stream_faults():
-    pay = bytes(range(256)) * 700
-    data = ts.write_stream(pay)
-    s = ts.read_stream(data)
-    assert s.payload == pay and s.continuity_errors == 0 == s.damaged and s.programs == {1: ts.PMT_PID} and s.pts == [i * ts.TICKS for i in range(6)]
-    assert s.random_access == [True] + [False] * 5 and ts.feature(s).startswith("programs=1;streams=1;")
-    lost = ts.read_stream(data[: 188 * 10] + data[188 * 11 :])
-    assert lost.continuity_errors == 1 and len(lost.payload) < len(pay)
-    assert ts.read_stream(b"").payload == b"" and ts.read_stream(data[:100]).damaged == 1
-    for n in range(0, 700):
-        assert ts.read_stream(ts.write_stream(pay[:n])).payload == pay[:n]
-
-
 @pytest.mark.parametrize("where", ["sf", "odd"])
 def test_packing(spark, odd_dir, where):
     from tokenizers import Tokenizer

@@ -15,6 +15,7 @@ from verdigris.llm import transport_stream as ts
 
 #: Streams of one Arrow batch: about so many bytes, or a single one.
 BATCH_BYTES = 4 << 20
+UNIT = T.StructType([*(T.StructField(k, T.LongType()) for k in ("pts", "pcr", "bytes")), T.StructField("random_access", T.BooleanType()), T.StructField("whole", T.BooleanType())])
 
 
 def text_streams(docs: DataFrame) -> DataFrame:
@@ -40,11 +41,11 @@ def text_streams(docs: DataFrame) -> DataFrame:
 def read_streams(media: DataFrame) -> DataFrame:
     """media: doc_id, n_bytes, media.  Parses each stream and returns, of what was read back, payload_bytes,
     payload_sha256, tail_crc32 (last 64 bytes), the stored form's media_bytes and media_sha256, feature, and units: time
-    stamp, size and random access flag of each elementary packet.  A null stream has no payload."""
-    unit = pa.struct([("pts", pa.int64()), ("bytes", pa.int64()), ("random_access", pa.bool_())])
+    stamp, clock, size, random access point and wholeness of each elementary packet.  A null stream has no payload."""
+    unit = pa.struct([("pts", pa.int64()), ("pcr", pa.int64()), ("bytes", pa.int64()), ("random_access", pa.bool_()), ("whole", pa.bool_())])
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "units"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(unit)]
-    sql = [T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.StringType(), T.ArrayType(T.StructType([T.StructField("pts", T.LongType()), T.StructField("bytes", T.LongType()), T.StructField("random_access", T.BooleanType())]))]
+    sql = [T.LongType(), T.StringType(), T.LongType(), T.LongType(), T.StringType(), T.StringType(), T.ArrayType(UNIT)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -52,7 +53,7 @@ def read_streams(media: DataFrame) -> DataFrame:
             for x in batch["media"]:
                 data = x.as_buffer().to_pybytes() if x.is_valid else b""
                 s = ts.read_stream(data)
-                units = [{"pts": p, "bytes": b, "random_access": r} for p, b, r in zip(s.pts, s.sizes, s.random_access, strict=False)]
+                units = [{"pts": u.pts, "pcr": u.pcr, "bytes": u.size, "random_access": u.random_access, "whole": u.whole} for u in s.units]
                 found = (len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), ts.feature(s), units)
                 for column, v in zip(rows, found, strict=True):
                     column.append(v)

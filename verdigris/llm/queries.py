@@ -61,7 +61,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.read_streams(media.text_streams(_documents(spark, sf_dir))).drop("units")
+    found = media.read_streams(media.text_streams(_documents(spark, sf_dir)))
+    # time stamp, bytes and random access point of each elementary packet
+    said = F.transform("units", lambda u: F.concat_ws(":", F.coalesce(u["pts"].cast("string"), F.lit("-")), u["bytes"], u["random_access"].cast("int")))
+    return found.withColumn("units", F.array_join(said, ","))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
