@@ -314,7 +314,7 @@ def test_mixing(spark, odd_dir, where):
         taken[key] = taken.get(key, 0) + r["taken"]
     assert set(taken) == {(size[s], round(target[s], 6)) for s in names}
     for (_, goal), n in taken.items():
-        assert abs(n - goal) <= max(260, 0.02 * goal)
+        assert abs(n - goal) <= 192
 
 
 def test_mix_covers_slots(spark, docs):

@@ -10,9 +10,11 @@ its source is mapped to a block by a pseudorandom permutation of the source's bl
 source.  So no block is taken more often than there are passes; slots and blocks are then joined by source and block
 number.
 
-A permutation of a source's blocks 0..n-1 is i -> (a i + b) mod n with hashed b and a, the first from there that is
-prime to n, in decimal arithmetic, so that it holds beyond 2^31 blocks.  It only tells which blocks a pass that is not
-whole takes: the blocks themselves hold documents in hash order.
+A permutation of a source's blocks 0..n-1 is a swap-or-not shuffle (Hoang, Morris and Rogaway, 2012): in each of
+SHUFFLES rounds a number x has the partner k - x mod n, with a hashed k, and a hash of the greater of the two tells
+whether they change places.  That holds for any n, and every number is found alone.
+
+Sums over all sources, and over all buckets of slots, are made by ranges, so that no task sees all of them.
 
 Targets: sources have cyclic weights by rank and share the total; a target stops at `most` times its source's size, and
 the excess is dealt again by weight until none is above.  Sizes are words, `[^\\x20\\x09-\\x0D]+`; a null text has none.
@@ -25,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.plans import running
 from verdigris.plans.scratch import Scratch, bounded
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +35,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
 #: Slots that one row of the slot plan stands for, and about as many that one bucket of their order holds.
 RUN = 4096
+#: Rounds of a permutation of blocks.
+SHUFFLES = 32
 
 
 def n_words(text: Column) -> Column:
@@ -42,36 +47,33 @@ def _source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
+def targets(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.0, most: float = 3.0) -> DataFrame:
     """sizes: source, source_size, a row for each source.  Adds rank (by code point, null last) and target.  Sources
     reach their caps in ascending order of cap per weight, so one ordered pass finds what a unit of weight is worth."""
-    t = sizes.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").cast("binary").asc_nulls_last())) - 1)
+    t = running.before(sizes.withColumn("one", F.lit(1)), [F.col("source").cast("binary").asc_nulls_last()], ["one"], scratch)
+    t = t.select("source", "source_size", F.col("before_one").alias("rank"))
     t = t.withColumn("w", F.element_at(F.array(*(F.lit(float(x)) for x in weights)), (F.col("rank") % len(weights) + 1).cast("int"))).withColumn("cap", F.col("source_size") * float(most))
-    up = Window.orderBy(F.col("cap") / F.col("w"), "rank")
-    whole = Window.partitionBy()
-    capped_before = F.coalesce(F.sum("cap").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    weight_left = F.sum("w").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    t = t.withColumn("unit", (F.sum("source_size").over(whole) * float(share) - capped_before) / weight_left)
-    t = t.withColumn("capped", F.col("unit") * F.col("w") >= F.col("cap"))
-    first_free = F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("w"), "rank", "unit"))).over(whole)
-    return t.select("source", "source_size", "rank", F.when(F.col("capped"), F.col("cap")).otherwise(first_free["unit"] * F.col("w")).alias("target"))
-
-
-def _prime_to(n: Column, start: Column) -> Column:
-    """The first of start, start + 1, ... (mod n) that is prime to n; looks at 64, and then takes 1."""
-    dec = n.cast("bigint")
+    t = running.before(t, [F.col("cap") / F.col("w"), F.col("rank")], ["cap", "w"], scratch)
+    all_ = t.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    t = t.withColumn("unit", (F.lit(float(all_["size"] or 0) * share) - F.col("before_cap")) / (F.lit(all_["w"]) - F.col("before_w")))
+    # what a unit is worth is found at the first source that does not reach its cap
+    free = t.where(F.col("unit") * F.col("w") < F.col("cap")).agg(F.min(F.struct(F.col("cap") / F.col("w"), "rank", "unit")).alias("f")).first()["f"]
+    if free is None:
+        return t.select("source", "source_size", "rank", F.col("cap").alias("target"))
+    order = F.struct(F.col("cap") / F.col("w"), F.col("rank"))
+    capped = order < F.struct(F.lit(free[0]), F.lit(free["rank"]).cast(t.schema["rank"].dataType))
+    return t.select("source", "source_size", "rank", F.when(capped, F.col("cap")).otherwise(F.lit(free["unit"]) * F.col("w")).alias("target"))
 
-    def coprime(a: Column) -> Column:
-        s = F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(dec.alias("x"), F.pmod(a, dec).alias("y")), lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % s["y"]).alias("y"))))
-        return s["x"] == 1
 
-    tried = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda d: F.pmod(F.pmod(start, dec) + d, dec))
-    return F.coalesce(F.get(F.filter(tried, coprime), F.lit(0)), F.lit(1).cast("bigint"))
+def _permuted(i: Column, n: Column, key: Column) -> Column:
+    """Where the permutation of 0..n-1 that belongs to the key takes i."""
 
+    def turn(x: Column, r: Column) -> Column:
+        partner = F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n)
+        swap = F.shiftrightunsigned(F.xxhash64(key, r, F.greatest(x, partner)), 63) == 1
+        return F.when(swap, partner).otherwise(x)
 
-def _permuted(i: Column, n: Column, a: Column, b: Column) -> Column:
-    wide = lambda c: c.cast("decimal(19,0)")
-    return ((wide(a) * wide(i) + wide(F.pmod(b, n))) % wide(n)).cast("bigint")
+    return F.aggregate(F.sequence(F.lit(1), F.lit(SHUFFLES)), i, turn)
 
 
 def place(docs: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
@@ -87,23 +89,22 @@ def place(docs: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
     return scratch.keep(inside.join(per, ["s", "bucket"]).select("doc_id", "key", "source", "s", "size", F.when(F.col("size") > 0, F.col("at") + F.col("inside")).alias("begin")), "placed")
 
 
-def slots(sources: DataFrame, shard_slots: int, most: float, seed: int) -> DataFrame:
+def slots(sources: DataFrame, scratch: Scratch, shard_slots: int, most: float, seed: int) -> DataFrame:
     """sources: s, rank, source_size, n_blocks, target.  One row for each slot of the mix: shard, slot, s, block_no.  A
     source's slots are its target by the mean length of its blocks, of which the last may be short."""
     b = sources.where("n_blocks > 0").withColumn("take", F.least(F.round(F.col("target") * F.col("n_blocks") / F.col("source_size")).cast("bigint"), F.col("n_blocks") * int(most)))
-    b = b.withColumn("begin", F.coalesce(F.sum("take").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    b = b.withColumn("all", F.sum("take").over(Window.partitionBy()))
+    b = running.before(b, [F.col("rank")], ["take"], scratch)
+    buckets = max(1, -(-(b.agg(F.sum("take")).first()[0] or 0) // RUN))
     laps = b.where("take > 0").withColumn("lap", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("take") - 1) / F.col("n_blocks")))))
-    laps = laps.withColumn("b", F.xxhash64(F.lit(seed), "s", "lap")).withColumn("a", _prime_to(F.col("n_blocks"), F.xxhash64("b")))
-    laps = laps.withColumn("here", F.least(F.col("n_blocks"), F.col("take") - F.col("lap") * F.col("n_blocks")))
+    laps = laps.withColumn("key", F.xxhash64(F.lit(seed), "s", "lap")).withColumn("here", F.least(F.col("n_blocks"), F.col("take") - F.col("lap") * F.col("n_blocks")))
     runs = laps.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("here") - 1) / RUN)))).repartition("s", "lap", "run")
     s = runs.withColumn("i", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("here")) - 1)))
-    s = s.withColumn("at", F.col("begin") + F.col("lap") * F.col("n_blocks") + F.col("i")).withColumn("drawn", F.xxhash64(F.lit(seed), "at"))
-    s = s.select("s", _permuted(F.col("i"), F.col("n_blocks"), F.col("a"), F.col("b")).alias("block_no"), "at", "drawn", F.pmod("drawn", F.ceil(F.col("all") / RUN)).alias("bucket"))
-    per = s.groupBy("bucket").agg(F.count("*").alias("in_bucket"))
-    per = per.select("bucket", (F.sum("in_bucket").over(Window.orderBy("bucket")) - F.col("in_bucket")).alias("before"))
+    s = s.withColumn("at", F.col("before_take") + F.col("lap") * F.col("n_blocks") + F.col("i")).withColumn("drawn", F.xxhash64(F.lit(seed), "at"))
+    s = s.select("s", _permuted(F.col("i"), F.col("n_blocks"), F.col("key")).alias("block_no"), "at", "drawn", F.pmod("drawn", F.lit(buckets)).alias("bucket"))
+    s = scratch.keep(s, "slots")
+    per = running.before(s.groupBy("bucket").agg(F.count("*").alias("in_bucket")), [F.col("bucket")], ["in_bucket"], scratch)
     inside = s.withColumn("inside", F.row_number().over(Window.partitionBy("bucket").orderBy("drawn", "at")) - 1)
-    s = inside.join(per, "bucket").withColumn("slot", F.col("before") + F.col("inside"))
+    s = inside.join(per, "bucket").withColumn("slot", F.col("before_in_bucket") + F.col("inside"))
     return s.select(F.floor(F.col("slot") / shard_slots).alias("shard"), "slot", "s", "block_no")
 
 
@@ -114,36 +115,39 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     scratch = Scratch(docs.sparkSession)
     placed = place(docs, seed, scratch)
     sizes = placed.groupBy("s", "source").agg(F.sum("size").alias("source_size"))
-    goals = targets(sizes.drop("s"), weights, share, most).withColumn("s", _source_key(F.col("source"))).withColumn("n_blocks", F.ceil(F.col("source_size") / block))
+    goals = targets(sizes.drop("s"), scratch, weights, share, most).withColumn("s", _source_key(F.col("source"))).withColumn("n_blocks", F.ceil(F.col("source_size") / block))
     goals = scratch.keep(goals, "targets")
     numbers = F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("begin") + F.col("size") - 1) / block))
     pieces = placed.where("size > 0").withColumn("block_no", F.explode(numbers))
     first = F.greatest(F.col("block_no") * block - F.col("begin"), F.lit(0))
     end = F.least((F.col("block_no") + 1) * block - F.col("begin"), F.col("size"))
     pieces = pieces.select("s", "block_no", "begin", first.alias("first"), (end - first).alias("words"))
-    mix = slots(goals, shard_slots, most, seed).join(pieces, ["s", "block_no"])
+    mix = slots(goals, scratch, shard_slots, most, seed).join(pieces, ["s", "block_no"])
     per_source = goals.select("s", "source_size", "target")
     plan = placed.join(F.broadcast(per_source) if bounded(per_source, 1_000_000) else per_source, "s")
     return mix, plan
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents, with the columns of docs (doc_id, text, lang, source, n_chars): of a document whose words
-    are taken up to r times there are r rows; row i holds, in their order, the pieces that are taken i times at least,
-    with the white space that follows each word.  Documents of which nothing is taken have no row."""
+    """The mix as documents, with the columns of docs, whatever they are called, text and n_chars (if there is one) by
+    what is taken: of a document whose words are taken up to r times there are r rows; row i holds, in their order, the
+    pieces that are taken i times at least, with the white space that follows each word.  Documents of which nothing is
+    taken have no row.  Rows that agree in doc_id, text and source are told apart by their place in the mix alone; their
+    other columns are those of one of them."""
     mix, plan = mix_sources(docs, **options)
     times = mix.groupBy("s", "begin", "first", "words").agg(F.count("*").alias("times"))
     taken = times.groupBy("s", "begin").agg(F.array_sort(F.collect_list(F.struct("first", "words", "times"))).alias("pieces"))
     copies = taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.array_max(F.transform("pieces", lambda p: p["times"])))))
-    copies = copies.join(plan.where("size > 0").select("s", "begin", "doc_id", "key"), ["s", "begin"])
-    texts = docs.withColumn("key", F.xxhash64("text")).withColumn("s", _source_key(F.col("source"))).dropDuplicates(["doc_id", "key", "s"])
-    # the second key column keeps a null doc_id with its text
-    copies, texts = (t.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) for t in (copies, texts))
-    out = copies.drop("doc_id").join(texts, ["id", "key", "s"])
-    words = F.regexp_extract_all("text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
+    # a null doc_id is told by its text
+    named = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id")
+    copies = copies.join(plan.where("size > 0").select("s", "begin", named, "key"), ["s", "begin"])
+    texts = docs.select(named, F.xxhash64(F.col("text").cast("string")).alias("key"), _source_key(F.col("source").cast("string")).alias("s"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    out = copies.join(texts.dropDuplicates(["id", "key", "s"]), ["id", "key", "s"])
+    words = F.regexp_extract_all("doc.text", F.lit(f"({WORD}[\\x20\\x09-\\x0D]*)"), F.lit(1))
     chosen = F.filter("pieces", lambda p: p["times"] >= F.col("copy"))
     # a text is cut into words once, not for each piece: the struct binds them
     bound = F.array(F.struct(words.alias("w"), chosen.alias("c")))
     joined = F.transform(bound, lambda x: F.array_join(F.flatten(F.transform(x["c"], lambda p: F.slice(x["w"], (p["first"] + 1).cast("int"), p["words"].cast("int")))), ""))
-    out = out.withColumn("text", F.get(joined, F.lit(0)))
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    own = {"text": F.col("new"), "n_chars": F.length("new").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    out = out.select("doc", F.get(joined, F.lit(0)).alias("new"))
+    return out.select(*(own[c].alias(c) if c in own else F.col(f"doc.`{c}`").alias(c) for c in docs.columns))

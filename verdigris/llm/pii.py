@@ -1,8 +1,11 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 
-Kinds: email, ip (four parts up to 255), card (13 to 19 digits, Luhn), phone (9 to 15 digits) and iban (mod 97).  Each
-kind is searched on its own, leftmost first and without overlaps; a proposal that fails its check is dropped.  A span
-starts with its kind's score and gains CONTEXT for a word of its kind within WINDOW code points on either side.
+Kinds: email, ip (four parts up to 255), card (13 to 19 digits, Luhn), phone (9 to 15 digits), and, added to these, iban
+(mod 97) and local (telephone numbers without a country's prefix).  Each kind is searched on its own, leftmost first and
+without overlaps; a proposal that fails its check is dropped.  A span starts with its kind's score, gains CONTEXT for a
+word that speaks for its kind within WINDOW code points on either side, and loses it for one that speaks against it.
+Spans of the added kinds with less than LEAST are dropped: a local number, whose form proves little, needs a word
+nearby; so are local numbers that touch a span of another kind.  Spans of the first four kinds stay, whatever their score.
 
 Whole texts are read; a null or empty text has no spans.  Every search is linear in the text: a search begins at the
 ends of runs, never again within one.  Repeated rows are searched like any row.
@@ -14,16 +17,27 @@ import re
 from collections.abc import Iterator
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban")
-WINDOW, CONTEXT = 40, 0.2
-SCORES = {"email": 0.7, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.8}
-#: Words whose presence nearby speaks for a kind.
+KINDS = (*BASE, "iban", "local")
+WINDOW, CONTEXT, LEAST = 40, 0.2, 0.5
+SCORES = {"email": 0.7, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.8, "local": 0.3}
+_TELEPHONE = ("phone", "telephone", "call", "tel", "mobile", "cell", "text", "dial", "fax", "hotline", "telefon", "handy", "anrufen", "rufnummer", "téléphone", "portable", "appeler", "teléfono", "móvil", "llamar")
+#: Words whose presence nearby speaks for a kind, in English, German, French and Spanish.
 WORDS = {
-    "email": ("mail", "e-mail", "contact", "write"),
-    "ip": ("ip", "host", "server", "address"),
-    "card": ("card", "credit", "visa", "payment"),
-    "phone": ("phone", "call", "tel", "mobile"),
-    "iban": ("iban", "bank", "account", "transfer"),
+    "email": ("mail", "e-mail", "email", "contact", "write", "reply", "address", "schreiben", "kontakt", "adresse", "courriel", "écrire", "contacter", "correo", "escribir", "contacto"),
+    "ip": ("ip", "host", "server", "address", "login", "network", "firewall", "subnet", "port", "adresse", "netzwerk", "serveur", "réseau", "servidor", "red", "dirección"),
+    "card": ("card", "credit", "debit", "visa", "mastercard", "amex", "payment", "expiry", "cvv", "karte", "kreditkarte", "zahlung", "carte", "paiement", "tarjeta", "crédito", "pago"),
+    "phone": _TELEPHONE,
+    "iban": ("iban", "bank", "account", "transfer", "bic", "swift", "konto", "überweisung", "compte", "virement", "banque", "cuenta", "banco", "transferencia"),
+    "local": _TELEPHONE,
+}
+#: Words whose presence nearby speaks against a kind.
+AGAINST = {
+    "email": ("example", "placeholder", "dummy"),
+    "ip": ("version", "release", "build", "section", "chapter", "paragraph", "kapitel", "chapitre", "capítulo"),
+    "card": ("order", "invoice", "isbn", "tracking", "serial", "rechnung", "facture", "factura"),
+    "phone": ("order", "invoice", "isbn", "serial", "coordinates"),
+    "iban": ("example", "placeholder", "dummy"),
+    "local": ("order", "invoice", "isbn", "serial", "model", "part"),
 }
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -32,7 +46,14 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?:\x20[A-Z0-9]{4}){2,7}(?:\x20[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")
-_WORDS = {kind: re.compile(r"\b(?:" + "|".join(map(re.escape, words)) + r")\b", re.IGNORECASE) for kind, words in WORDS.items()}
+_NUMBER = re.compile(r"(?<![0-9])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.\x20])[0-9]{3}[-.\x20][0-9]{4}(?![0-9])")
+
+
+def _any(words: tuple[str, ...]) -> re.Pattern:
+    return re.compile(r"\b(?:" + "|".join(map(re.escape, words)) + r")\b", re.IGNORECASE)
+
+
+_NEAR = {kind: (_any(WORDS[kind]), _any(AGAINST[kind])) for kind in KINDS}
 
 
 def luhn(digits: str) -> bool:
@@ -77,10 +98,18 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
             spans.append(("card", m.start(), m.end()))
     spans += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     spans += [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
+    numbers = [("local", m.start(), m.end()) for m in _NUMBER.finditer(text)]
+    if numbers:
+        spans += [n for n in numbers if not any(s < n[2] and n[1] < e for _, s, e in spans)]
     out = []
     for kind, s, e in spans:
-        near = _WORDS[kind].search(text, max(0, s - WINDOW), s) or _WORDS[kind].search(text, e, e + WINDOW)
-        out.append((kind, s, e, round(SCORES[kind] + CONTEXT * bool(near), 2)))
+        score = SCORES[kind]
+        for words, gain in zip(_NEAR[kind], (CONTEXT, -CONTEXT), strict=True):
+            if words.search(text, max(0, s - WINDOW), s) or words.search(text, e, e + WINDOW):
+                score += gain
+        score = round(score, 2)
+        if kind in BASE or score >= LEAST:
+            out.append((kind, s, e, score))
     return out
 
 
