@@ -26,12 +26,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     row is repeated or the group has null ids only.  Groups are of rows, each under a number of its own, so that null ids
     and repeated ids tell no rows apart or together; a row without words is a group of its own."""
     scratch = Scratch(spark)
-    rows = scratch.keep(docs.withColumn("row", F.monotonically_increasing_id()), "documents")
-    groups = jaccard_join.jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"), k=5, percent=80)
-    named = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc_id"), "row")
+    # the columns of docs stand apart, whatever they are called
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), whole), "documents")
+    groups = jaccard_join.jaccard_components(rows.select(F.col("row").alias("doc_id"), "doc.text"), k=5, percent=80)
+    named = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc.doc_id"), "row")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
     gone = scratch.keep(named.select("row").join(first.select(F.col("first.row").alias("row")), "row", "left_anti"), "gone")
-    return rows.join(F.broadcast(gone) if bounded(gone, jaccard_join.BROADCAST_ROWS) else gone, "row", "left_anti").select(*docs.columns)
+    return rows.join(F.broadcast(gone) if bounded(gone, jaccard_join.BROADCAST_ROWS) else gone, "row", "left_anti").select("doc.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
