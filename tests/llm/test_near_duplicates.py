@@ -23,3 +23,10 @@ def test_one_row_of_each_group(spark):
 
 def test_no_rows(spark):
     assert corpus_pipeline.near_duplicates(spark, spark.createDataFrame([], NAMES), "").collect() == []
+
+
+def test_columns_of_the_same_names(spark):
+    rows = [(i, t, "en", "s", len(t), f"row{i}", f"doc{i}") for i, t in enumerate([WORDS, NEAR, OTHER])]
+    docs = spark.createDataFrame(rows, NAMES + ", row string, doc string")
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
