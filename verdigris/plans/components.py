@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.plans.scratch import Scratch
+from verdigris.plans import hot
+from verdigris.plans.scratch import Scratch, bounded
 
 
-def _star(pairs: DataFrame, small: bool) -> DataFrame:
-    """pairs: (u, v), the neighbours v of u.  Links them, or those above u, to the least of them and u."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    linked = pairs.join(least, "u")
+#: Pairs so few that one task may hold all of them.
+FEW = 1_000_000
+
+
+def _star(pairs: DataFrame, small: bool, scratch: Scratch, few: bool) -> DataFrame:
+    """pairs: (u, v), the neighbours v of u.  Links them, or those above u, to the least of them and u.  A u may have a
+    large share of all pairs: beyond FEW pairs in all, such hubs are joined by broadcast."""
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
+    if few:
+        linked = pairs.join(least.drop("n"), "u")
+    else:
+        least = scratch.keep(least, "least")
+        linked = hot.join_unique(pairs, least, ["u"], "n", small=hot.SMALL)
     if small:
         return linked.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u"), F.col("m"))).where("a > b")
     return linked.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a > b")
@@ -24,11 +34,11 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     the last one's."""
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = scratch.keep(e, "edges")
-    before = None
+    before, few = None, bounded(e, FEW)
     for _ in range(rounds):
         both = e.selectExpr("a as u", "b as v").union(e.selectExpr("b as u", "a as v"))
-        large = _star(both, small=False).distinct()
-        after = scratch.keep(_star(large.selectExpr("a as u", "b as v"), small=True).distinct(), "stars")
+        large = _star(both, False, scratch, few).distinct()
+        after = scratch.keep(_star(large.selectExpr("a as u", "b as v"), True, scratch, few).distinct(), "stars")
         scratch.drop(e)
         e = after
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
