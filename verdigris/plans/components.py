@@ -13,7 +13,7 @@ from verdigris.plans.scratch import Scratch, bounded
 FEW = 1_000_000
 
 
-def _star(pairs: DataFrame, small: bool, scratch: Scratch, few: bool) -> DataFrame:
+def _star(pairs: DataFrame, small: bool, scratch: Scratch, few: bool, held: list[DataFrame]) -> DataFrame:
     """pairs: (u, v), the neighbours v of u.  Links them, or those above u, to the least of them and u.  A u may have a
     large share of all pairs: beyond FEW pairs in all, such hubs are joined by broadcast."""
     least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
@@ -21,6 +21,7 @@ def _star(pairs: DataFrame, small: bool, scratch: Scratch, few: bool) -> DataFra
         linked = pairs.join(least.drop("n"), "u")
     else:
         least = scratch.keep(least, "least")
+        held.append(least)
         linked = hot.join_unique(pairs, least, ["u"], "n", small=hot.SMALL)
     if small:
         return linked.select(F.col("v").alias("a"), F.col("m").alias("b")).union(least.select(F.col("u"), F.col("m"))).where("a > b")
@@ -36,10 +37,11 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     e = scratch.keep(e, "edges")
     before, few = None, bounded(e, FEW)
     for _ in range(rounds):
+        held: list[DataFrame] = []
         both = e.selectExpr("a as u", "b as v").union(e.selectExpr("b as u", "a as v"))
-        large = _star(both, False, scratch, few).distinct()
-        after = scratch.keep(_star(large.selectExpr("a as u", "b as v"), True, scratch, few).distinct(), "stars")
-        scratch.drop(e)
+        large = _star(both, False, scratch, few, held).distinct()
+        after = scratch.keep(_star(large.selectExpr("a as u", "b as v"), True, scratch, few, held).distinct(), "stars")
+        scratch.drop(e, *held)
         e = after
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
