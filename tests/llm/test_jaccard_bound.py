@@ -57,3 +57,23 @@ def test_small_texts_at_the_threshold_are_linked(spark):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-cut]))]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
     assert got == brute.components(rows, 4, 85)
+
+
+def test_hot_sets_and_signatures(spark, monkeypatch):
+    """The same components where copies, signatures and hubs are joined as hot keys."""
+    from verdigris.plans import components, hot
+
+    monkeypatch.setattr(hot, "HOT_KEYS", 20)
+    monkeypatch.setattr(hot, "SMALL", 0)
+    monkeypatch.setattr(components, "FEW", 0)
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(base)) for i in range(60)]
+    for i in range(60, 200):
+        words = list(base)
+        for j in rng.integers(0, 80, int(rng.integers(0, 4))):
+            words[j] = f"x{int(rng.integers(0, 10**6))}"
+        rows.append((i, " ".join(words)))
+    rows += [(200 + i, " ".join(f"v{int(x)}" for x in rng.integers(0, 10**6, 30))) for i in range(40)] + [(240, None), (241, "")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 4, 85).collect()}
+    assert got == brute.components(rows, 4, 85)

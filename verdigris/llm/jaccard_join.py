@@ -13,9 +13,13 @@ one before, and a row is also dealt by the next class's blocks where a partner c
 empty in a row may be empty in its partner too: as these need not be seen to agree, a row needs as many fewer.  They are
 only written for rows so uneven that nothing else need agree; then the partner is as uneven and writes them too.
 
+Digests and signatures that hold a large share of all rows are joined by broadcast of these few keys, others by shuffle;
+of a set with very many copies one row stands for all.  A signature that meets many row blocks is a product of rows and
+blocks, which adaptive execution splits.
+
 A null, empty or wordless text has an empty set, is linked with nothing and is its own component.  Repeated rows of an
-id are returned as often as they come; under one id they are one document, linked by any of its texts.  A null id keeps its row and takes the least id
-of its component.  Other columns of the input are ignored.
+id are returned as often as they come; under one id they are one document, linked by any of its texts.  A null id keeps
+its row and takes the least id of its component.  Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.shingles import mix, shingle_sets
+from verdigris.plans import hot
 from verdigris.plans.components import components
 from verdigris.plans.scratch import Scratch, bounded
 
@@ -38,8 +43,8 @@ _GOLD = _U(0x9E3779B97F4A7C15)
 STEP_BYTES = 1 << 20
 #: Weight of a row block: a row weighs its elements and ROW more.
 BLOCK, ROW = 150_000, 256
-#: Rows of a table that may be broadcast: 2 million longs are 32 MB on an executor.
-BROADCAST_ROWS = 2_000_000
+#: Rows of a table that may be broadcast: a million longs are 16 MB on an executor.
+BROADCAST_ROWS = 1_000_000
 #: Columns with fewer rows than this are multiplied pair by pair, others as a dense block.
 DENSE = 8
 
@@ -231,20 +236,26 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     scratch = Scratch(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = scratch.keep(docs.mapInArrow(_rows(k, percent), "doc_id bigint, n int, k1 bigint, k2 bigint, again boolean, class int, need int, sigs array<bigint>"), "rows")
-    same = rows.where("n > 0 and not again").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
+    same = scratch.keep(rows.where("n > 0 and not again").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "same")
 
-    shared = rows.select("k1", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi")).where("lo < hi").select("sig")
+    # of sets with very many copies, only the representative's row is dealt
+    limit = (same.agg(F.sum("copies")).first()[0] or 0) // hot.HOT_KEYS
+    many = same.where(F.col("copies") > max(limit, 1)).select("k1", "k2", "rep") if limit else same.limit(0).select("k1", "k2", "rep")
+    dealt = rows.join(F.broadcast(many), ["k1", "k2"], "left").where("rep is null or doc_id = rep").drop("rep")
+    shared = dealt.select("k1", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("sig", "rows")
     shared = scratch.keep(shared, "shared")
-    agree = rows.select("k1", "k2", "n", "class", "need", F.explode("sigs").alias("sig")).join(_small(shared), "sig")
+    agree = hot.join_unique(dealt.select("k1", "k2", "n", "class", "need", F.explode("sigs").alias("sig")), shared, ["sig"], "rows")
     enough = agree.groupBy("k1", "k2", "class", "need").agg(F.collect_set("sig").alias("sigs"), F.first("n").alias("n")).where("size(sigs) >= need")
     kept = scratch.keep(enough.join(same, ["k1", "k2"]).select("rep", "n", "class", "need", F.explode("sigs").alias("sig")), "kept")
-    every = scratch.keep(rows.where("not again").select("doc_id", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), F.when(F.col("n") > 0, F.col("k2")).alias("k2")).join(same, ["k1", "k2"], "left").select("doc_id", "n", "rep"), "every")
-    scratch.drop(shared, rows)
+    named = rows.where("not again").select("doc_id", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), F.when(F.col("n") > 0, F.col("k2")).alias("k2"))
+    every = scratch.keep(hot.join_unique(named, same, ["k1", "k2"], "copies", "left").select("doc_id", "n", "rep"), "every")
+    scratch.drop(shared, rows, same)
 
     # Row blocks: rows whose least partner is the same stay together, as far as a block holds them.
-    least = kept.groupBy("sig").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").drop("most")
-    kept = kept.join(least, "sig")
-    members = scratch.keep(kept.groupBy("rep").agg(F.min("least").alias("pivot"), (F.max("n") + ROW).alias("weight")), "members")
+    least = kept.groupBy("sig").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("rows")).where("least < most").drop("most")
+    least = scratch.keep(least, "least")
+    near = hot.join_unique(kept, least, ["sig"], "rows")
+    members = scratch.keep(near.groupBy("rep").agg(F.min("least").alias("pivot"), (F.max("n") + ROW).alias("weight")), "members")
     light = max(1, -(-(members.agg(F.sum("weight")).first()[0] or 0) // BLOCK))
     of_pivot = members.groupBy("pivot").agg(F.sum("weight").alias("total"))
     own = F.xxhash64("pivot", F.pmod(F.xxhash64("rep"), F.ceil(F.col("total") / BLOCK)))
@@ -253,7 +264,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     # A row goes where it agrees with rows at home in as many column blocks as a partner must; each pair of row blocks is
     # one group.
-    at_home = kept.select("rep", "class", "need", "sig").join(homes, "rep")
+    at_home = scratch.keep(near.select("rep", "class", "need", "sig").join(homes, "rep"), "at_home")
+    scratch.drop(kept, least, homes)
     there = at_home.groupBy("sig", "home").agg(F.count("*").alias("rows")).withColumnRenamed("home", "to")
     meet = at_home.join(there, "sig").where("home <> to or rows > 1").groupBy("rep", "home", "to", "class", "need").agg(F.countDistinct("sig").alias("agreeing"))
     meet = meet.where("agreeing >= need").select("rep", "home", "to").distinct()
@@ -263,7 +275,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     sets = scratch.keep(texts.mapInArrow(_sets(k), "doc_id bigint, items array<bigint>"), "sets")
     blocks = pairs.join(sets, pairs["rep"] == sets["doc_id"]).select("pair", "left", "doc_id", "items")
     links = scratch.keep(blocks.groupBy("pair").applyInArrow(_multiply(percent), "a bigint, b bigint"), "links")
-    scratch.drop(sets)
+    scratch.drop(sets, at_home, members)
     found = components(links, scratch)
+    scratch.drop(links)
     out = every.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
     return out.select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), F.coalesce("rep", "doc_id").alias("representative"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
