@@ -35,6 +35,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
 #: Slots that one row of the slot plan stands for, and about as many that one bucket of their order holds.
 RUN = 4096
+#: Tasks that write out the slots, a few runs each; the runs are few rows, which nothing else would spread.
+MOST_TASKS = 20_000
 #: Rounds of a permutation of blocks.
 SHUFFLES = 32
 
@@ -97,7 +99,7 @@ def slots(sources: DataFrame, scratch: Scratch, shard_slots: int, most: float, s
     buckets = max(1, -(-(b.agg(F.sum("take")).first()[0] or 0) // RUN))
     laps = b.where("take > 0").withColumn("lap", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("take") - 1) / F.col("n_blocks")))))
     laps = laps.withColumn("key", F.xxhash64(F.lit(seed), "s", "lap")).withColumn("here", F.least(F.col("n_blocks"), F.col("take") - F.col("lap") * F.col("n_blocks")))
-    runs = laps.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("here") - 1) / RUN)))).repartition("s", "lap", "run")
+    runs = laps.withColumn("run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("here") - 1) / RUN)))).repartition(min(MOST_TASKS, buckets // 4 + 1), "s", "lap", "run")
     s = runs.withColumn("i", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("here")) - 1)))
     s = s.withColumn("at", F.col("before_take") + F.col("lap") * F.col("n_blocks") + F.col("i")).withColumn("drawn", F.xxhash64(F.lit(seed), "at"))
     s = s.select("s", _permuted(F.col("i"), F.col("n_blocks"), F.col("key")).alias("block_no"), "at", "drawn", F.pmod("drawn", F.lit(buckets)).alias("bucket"))
