@@ -22,25 +22,54 @@ def test_holes_and_report(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
+    """Batches fold together as one; a session delivered again, and what is broken, are set aside."""
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    rows = [(1, i % 7, i // 5, i, "AMD"[i % 3]) for i in range(60)]
+    rows = [(1 + i % 2, i % 7, i // 5, i, "AMD"[i * i % 3]) for i in range(60)]
     df = spark.createDataFrame(rows, updates.SCHEMA)
-    df.where("sesno < 6").write.mode("append").parquet(src)
-    updates.start(spark, src, out).awaitTermination()
-    df.where("sesno >= 6").write.mode("append").parquet(src)
-    updates.start(spark, src, out).awaitTermination()
-    parts = spark.read.parquet(f"{out}/net")
-    assert {r["batch"] for r in parts.select("batch").distinct().collect()} == {0, 1}
-    assert updates.control(spark, out).first()["applied_sesno"] == 11
-    folded = parts.groupBy("refno").agg(F.sum("n_ops").alias("n")).collect()
-    assert {r["refno"]: r["n"] for r in folded} == {r["refno"]: r["n_ops"] for r in changes.fold_net(df).collect()}
+    published = []
+    for part in (df.where("sesno < 6"), df.where("sesno >= 6"), df.where("sesno between 4 and 7").union(spark.createDataFrame([(1, None, 99, 1, "A"), (1, 5, 99, 1, "X")], updates.SCHEMA))):
+        part.coalesce(1).write.mode("append").parquet(src)
+        updates.start(spark, src, out, publish=lambda done, batch: published.append((batch, sorted(map(tuple, done.collect()))))).awaitTermination()
+    assert {r["dbnum"]: r["applied_sesno"] for r in updates.control(spark, out).collect()} == {1: 11, 2: 11}
+    assert published == [(0, [(1, 5), (2, 5)]), (1, [(1, 11), (2, 11)]), (2, [])]
+    whole = changes.fold_net(df.withColumn("refno", F.struct("dbnum", "refno"))).select("refno.dbnum", "refno.refno", "net", "n_ops", "last_sesno")
+    assert sorted(map(tuple, updates.net(spark, out).collect())) == sorted(map(tuple, whole.collect()))
+    aside = updates.rejected(spark, out).collect()
+    assert sorted(r["reason"] for r in aside) == ["broken"] * 2 + ["late"] * 20
+
+
+def test_replay_of_a_batch_writes_the_same(spark, tmp_path):
+    import shutil
+
+    src, out = str(tmp_path / "in"), tmp_path / "out"
+    df = spark.createDataFrame([(1, 2, 3, 4, "A"), (1, 2, 4, 5, "M")], updates.SCHEMA)
+    df.coalesce(1).write.parquet(src)
+    updates.start(spark, src, str(out)).awaitTermination()
+    before = updates.net(spark, str(out)).collect()
+    # the driver is lost after the writes, before the checkpoint's commit
+    shutil.rmtree(out / "checkpoint" / "commits")
+    updates.start(spark, src, str(out)).awaitTermination()
+    assert updates.net(spark, str(out)).collect() == before and updates.rejected(spark, str(out)).count() == 0
+
+
+def test_gate(spark):
+    rows = spark.createDataFrame([(1, 1, 5, 1, "A"), (1, 1, 6, 1, "A"), (2, 1, 1, 1, "M"), (3, 1, 1, 1, "D"), (4, 1, 9, 1, "D"), (None, 1, 9, 1, "D"), (1, 1, 9, 1, None)], updates.SCHEMA)
+    applied = spark.createDataFrame([(1, 5), (4, 1)], "dbnum int, applied_sesno bigint")
+    kinds = spark.createDataFrame([(1, "DESI"), (2, "SYST"), (3, "DESI")], "dbnum int, db_type string")
+    blocked = spark.createDataFrame([(4,)], "dbnum int")
+    got = {(r["dbnum"], r["sesno"]): r["reason"] for r in updates.gate(rows, applied, kinds, blocked).collect()}
+    assert got == {(1, 5): "late", (1, 6): None, (2, 1): None, (3, 1): "cold", (4, 9): "blocked", (None, 9): "broken", (1, 9): "broken"}
 
 
 def test_anomalies(spark):
-    files = spark.createDataFrame([(1, "D", "/a", 3), (2, "X", "/a", 9), (3, "D", "/b", 9), (4, "D", "/a", 1), (5, "D", "/a", 9)], "dbnum int, db_type string, path string, latest int")
-    applied = spark.createDataFrame([(1, "X", "/z", 5), (2, "D", "/a", 5), (3, "D", "/a", 5), (5, "D", "/a", 5)], "dbnum int, db_type string, path string, applied_sesno int")
-    got = {r["dbnum"]: (r["verdict"], r["blocked"]) for r in updates.anomalies(files, applied).collect()}
-    assert got == {1: ("rollback", True), 2: ("type_changed", True), 3: ("migrated", False), 4: ("new", False), 5: ("ok", False)}
+    rows = [(1, "D", "/a", 3, "p"), (2, "X", "/a", 9, "p"), (3, "D", "/b", 9, "p"), (4, "D", "/a", 1, "p"), (5, "D", "/a", 9, "p"), (6, "D", "/a", 9, "p"), (6, "D", "/c", 9, "p"), (7, "D", "/a", 9, "q"), (9, "D", "/a", 9, None)]
+    files = spark.createDataFrame(rows, "dbnum int, db_type string, path string, latest int, project string")
+    applied = spark.createDataFrame([(1, "X", "/z", 5), (2, "D", "/a", 5), (3, "D", "/a", 5), (5, "D", "/a", 5), (6, "D", "/a", 5), (7, "D", "/a", 5), (8, "D", "/a", 5)], "dbnum int, db_type string, path string, applied_sesno int")
+    want = {1: ("rollback", True), 2: ("type_changed", True), 3: ("migrated", False), 4: ("new", False), 5: ("ok", False), 6: ("duplicate", True), 8: ("missing", True)}
+    got = {r["dbnum"]: (r["verdict"], r["blocked"]) for r in updates.anomalies(files, applied, "p").collect()}
+    assert got == want | {7: ("foreign", True), 9: ("foreign", True)}
+    got = {r["dbnum"]: (r["verdict"], r["blocked"]) for r in updates.anomalies(files.drop("project"), applied).collect()}
+    assert got == want | {7: ("ok", False), 9: ("new", False)}
 
 
 def test_fold_table(spark):

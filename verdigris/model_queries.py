@@ -56,10 +56,14 @@ def _changes(spark, d):
     return _t(spark, d, "orders").select((k + 4 * LEVEL).alias("refno"), F.expr(_OPS.format(k="o_orderkey")).alias("op"), _names((k % 8).cast("int")).alias("attributes"), (k % 17 == 0).alias("children_changed"))
 
 
+_EFFECT_NAMES = [(n, e) for e, names in impact.EFFECTS.items() for n in names.split()[:3]] + [("att.pos.1", "transform"), ("para9", "geometry"), ("XYZ", "cascade"), ("uda:1", "unknown")]
+
+
 def q_attribute_effects(spark, d):
-    names = [" ".join(impact.EFFECTS[e].split()[:3]) for e in impact.EFFECTS] + ["att.pos.1 para9 XYZ uda:1"]
-    rows = _t(spark, d, "region").where("r_regionkey = 0").select(F.explode(F.split(F.lit(" ".join(names)), " ")).alias("name"))
-    return rows.select("name", impact.attribute_effect(F.col("name"), F.col("name") == "XYZ").alias("effect"))
+    """Each part's name is that of an attribute: some of each effect, and of no list."""
+    names = F.array(*(F.lit(n) for n, _ in _EFFECT_NAMES))
+    rows = _t(spark, d, "part").select("p_partkey", F.get(names, (F.col("p_partkey") % len(_EFFECT_NAMES)).cast("int")).alias("name"))
+    return rows.select("p_partkey", "name", impact.attribute_effect(F.col("name"), F.col("name") == "XYZ").alias("effect"))
 
 
 def q_change_impact(spark, d):
@@ -180,15 +184,21 @@ def q_world_position(spark, d):
     """Products of a quarter turn about z and a shift for each order of a customer, in order of their keys."""
     k = F.col("o_orderkey") % 10
     m = F.array(*(x.cast("double") for x in (F.lit(0), F.lit(-1), F.lit(0), k, F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(0), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0), F.lit(1))))
-    rows = _t(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("k"), "o_orderkey", m.alias("m"))
-    world = rows.groupBy("k").agg(instances.compose(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "m"))), lambda s: s["m"])).alias("w"))
+    rows = _t(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", m.alias("m"))
+    world = instances.products(rows, "k", "o_orderkey", "m").withColumnRenamed("m", "w")
     return world.select("k", F.get("w", F.lit(11)).cast("bigint").alias("z"), F.get("w", F.lit(0)).cast("bigint").alias("cos"), F.get("w", F.lit(4)).cast("bigint").alias("sin"))
 
 
 def _model(spark, d):
     e = scene(spark, d)
     p = _t(spark, d, "orders").selectExpr(f"o_orderkey + {4 * LEVEL} as refno", *(f"cast(o_orderkey % {n} {sign} 1 as double) as {side}_{a}" for side, sign in (("min", "-"), ("max", "+")) for a, n in (("x", 10), ("y", 20), ("z", 30))))
-    return tools.Model(elements=e, closed=tree.closure(e), boxes=p, changes=_changes(spark, d))
+    o = _t(spark, d, "orders")
+    k = F.col("o_orderkey") + 4 * LEVEL
+    values = o.select(k.alias("refno"), F.explode(F.create_map(F.lit("XLEN"), F.col("o_totalprice").cast("string"), F.lit("NAME"), F.col("o_orderstatus"), F.lit("POS"), F.col("o_custkey").cast("string"))).alias("key", "value"))
+    edges = _references(spark, d)
+    shift = F.array(*(F.lit(1.0 if i % 5 == 0 else 0.0) if i != 3 else (F.col("refno") % 10).cast("double") for i in range(16)))
+    room_edges = _t(spark, d, "lineitem").selectExpr(f"l_orderkey + {4 * LEVEL} as element", "l_partkey as room", "concat('K', l_partkey) as room_num", "cast(l_quantity % 9 as int) as inside_count", "l_extendedprice as center_dist")
+    return tools.Model(elements=e, boxes=p, changes=_changes(spark, d), attributes=values, references=edges.select("referrer", F.lit("SPRE").alias("attr"), "referenced"), transforms=e.select("refno", shift.alias("matrix")), rooms=room_edges, pending=_pending(spark, d))
 
 
 def _first(spark, d):
@@ -220,6 +230,67 @@ def q_tool_spatial_bounds(spark, d):
     return tools.run("spatial.bounds", _model(spark, d), refno=LEVEL + 2)
 
 
+def q_tool_attributes(spark, d):
+    return tools.run("element.attributes", _model(spark, d), refno=_first(spark, d), keys=["XLEN", "NAME"])
+
+
+def q_tool_geometry_parameters(spark, d):
+    return tools.run("geometry.parameters", _model(spark, d), refno=_first(spark, d))
+
+
+def q_tool_transform(spark, d):
+    found = tools.run("element.transform", _model(spark, d), refno=_first(spark, d))
+    return found.select("refno", F.get("matrix", F.lit(3)).alias("x"), F.get("matrix", F.lit(0)).alias("cos"))
+
+
+def q_tool_references(spark, d):
+    return tools.run("catalog.references", _model(spark, d), refno=_first(spark, d)).distinct()
+
+
+def q_tool_room(spark, d):
+    return tools.run("room.lookup", _model(spark, d), refno=_first(spark, d))
+
+
+def q_tool_pending(spark, d):
+    return tools.run("model.pending_units", _model(spark, d), action="room", limit=20)
+
+
+def q_container_moves(spark, d):
+    """Every nation has moved: the branches below it are made again."""
+    e = scene(spark, d)
+    c = tree.closure(e)
+    moved = e.where("noun = 'ZONE'").select("refno", F.lit("M").alias("op"), F.lit("transform").alias("impact"))
+    return impact.work_plan(moved, impact.generation_roots(e, c), e.select("refno", "noun"), c)
+
+
+def q_null_impacts(spark, d):
+    """Operations without attributes, children or operation."""
+    o = _t(spark, d, "orders")
+    op, names = F.when(F.col("o_orderkey") % 5 > 0, "M"), F.when(F.col("o_orderkey") % 3 > 0, F.array(F.lit("POS"), F.when(F.col("o_orderkey") % 4 > 0, "ORI")))
+    return o.select("o_orderkey", impact.operation_impact(op, names, F.lit(None).cast("boolean"), F.lit(None).cast("string")).alias("impact"))
+
+
+def q_classify_by_many(spark, d):
+    """More rules than an array holds: the first letters of all part types."""
+    p = _t(spark, d, "part")
+    rules = p.select(F.explode(F.sequence(F.lit(3), F.lit(9))).alias("n"), "p_type", "p_brand").select(F.expr("substring(p_type, n % 4 + 1, n)").alias("part"), F.col("p_brand").alias("code")).distinct()
+    return reports.classify_by_name(p.select("p_partkey", "p_name"), "p_partkey", "p_name", rules.union(p.selectExpr("substring(p_name, 2, 5)", "p_brand")), "else", most_rules=0).select("p_partkey", "code")
+
+
+def q_room_codes(spark, d):
+    """Rooms of the parts by the plants' codes."""
+    p = _t(spark, d, "part")
+    number = F.concat(F.lit("K"), F.lpad((F.col("p_partkey") % 1000).cast("string"), 3, "0"), F.when(F.col("p_partkey") % 3 == 0, "5").when(F.col("p_partkey") % 3 == 1, "").otherwise("77"))
+    return p.select("p_partkey", rooms.room_code(F.concat(F.lit("/"), "p_brand", F.lit("-R-"), number), number).alias("code"))
+
+
+def q_room_numbers(spark, d):
+    e = scene(spark, d)
+    edges = e.where("refno % 3 > 0").select(F.col("refno").alias("element"), F.concat(F.lit("K"), F.col("refno") % 7).alias("room_num"))
+    own = e.where("refno % 11 = 0").select("refno", F.lit("OWN").alias("room_num"))
+    return rooms.room_numbers(e, tree.closure(e), edges, own)
+
+
 def q_branch_surface(spark, d):
     li = _t(spark, d, "lineitem").selectExpr("l_orderkey as branch", "l_linenumber as seq", "l_quantity as length").groupBy("branch", "seq").agg(F.sum("length").alias("length"))
     li = li.selectExpr("*", "case when seq % 3 = 0 then 'REDU' else 'TUBI' end as noun", "cast(seq as double) as own_bore")
@@ -322,14 +393,14 @@ def q_room_panels(spark, d):
 _OBS = "o as (select user_id as dbnum, event_id as seq, cast(user_id % 7 as bigint) as applied, case when event_id % 4 <> 3 then cast(floor(event_id % 100 + event_id / 10) as bigint) end as latest from events)"
 _PEND = "p as (select case when p_partkey % 3 = 0 then 'room' else 'regen' end as action, p_partkey as target, cast(p_size as bigint) as revision, cast(p_partkey % 6 as int) as attempts from part)"
 _CHANGED = f"changed as (select refno, op, {_IMPACT} as impact from (select {4 * LEVEL} + o_orderkey as refno, {_OPS.format(k='o_orderkey')} as op, o_orderkey % 8 as k, o_orderkey % 17 = 0 as again, {_ORDER.format(k='o_orderkey')} as noun from orders))"
-_EFFECT_ROWS = ", ".join(f"('{n}', '{e}')" for e, names in impact.EFFECTS.items() for n in names.split()[:3]) + ", ('att.pos.1', 'transform'), ('para9', 'geometry'), ('XYZ', 'cascade'), ('uda:1', 'unknown')"
+_EFFECT_ROWS = ", ".join(f"({i}, '{n}', '{e}')" for i, (n, e) in enumerate(_EFFECT_NAMES))
 
 _REFS = f"select l_orderkey + {4 * LEVEL} as referrer, l_partkey + {6 * LEVEL} as referenced from lineitem union all select o_orderkey + {4 * LEVEL}, o_orderkey - 1 + {4 * LEVEL} from orders where o_orderkey % 10 = 1"
 _HISTORY = f"h as (select user_id as refno, user_id % 5 as dbnum, event_id // 100 as sesno, event_id as seq, {_OPS.format(k='event_id')} as op, value from events)"
 
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 SQL = {
-    "attribute_effects": f"select * from (values {_EFFECT_ROWS}) as t(name, effect)",
+    "attribute_effects": f"select p_partkey, name, effect from part join (values {_EFFECT_ROWS}) as t(i, name, effect) on i = p_partkey % {len(_EFFECT_NAMES)}",
     "change_impact": f"with {_CHANGED} select * from changed",
     "generation_roots": f"with {_CLOSED}, {_ROOTS} select refno, root, kind from roots",
     "root_cover": f"with {_CLOSED}, {_COVER} select * from cover",
@@ -338,6 +409,19 @@ SQL = {
     "roots_todo": f"with {_CLOSED}, {_COVER} select * from cover where root % 4 > 1 order by subtree desc, root",
     "work_plan": f"""with {_CLOSED}, {_ROOTS}, {_CHANGED}, j as (select c.*, r.root, s.noun as root_noun, impact = 'regen' or coalesce(s.noun in ('BRAN', 'HANG'), false) as whole from changed c left join roots r using (refno) left join scene s on s.refno = r.root)
  select 'delete' as action, refno as target from j where op = 'D' union select 'regen', root from j where impact <> 'skip' and whole and root is not null and not (op = 'D' and root = refno) union select 'transform', refno from j where impact = 'transform' and not whole""",
+    "tool_attributes": f"select 'XLEN' as key, o_totalprice::varchar as value from orders where o_orderkey = 1 union all select 'NAME', o_orderstatus from orders where o_orderkey = 1",
+    "tool_geometry_parameters": "select 'XLEN' as key, o_totalprice::varchar as value from orders where o_orderkey = 1",
+    "tool_transform": f"with {_CLOSED} select {4 * LEVEL} + 1 as refno, cast(sum(anc % 10) as double) as x, 1.0::double as cos from closed where refno = {4 * LEVEL} + 1",
+    "tool_references": f"select distinct 'SPRE' as attr, referenced from (select l_orderkey + {4 * LEVEL} as referrer, l_partkey + {6 * LEVEL} as referenced from lineitem union all select o_orderkey + {4 * LEVEL}, o_orderkey - 1 + {4 * LEVEL} from orders where o_orderkey % 10 = 1) where referrer = {4 * LEVEL} + 1",
+    "tool_room": "select l_partkey as room, 'K' || l_partkey as room_num, cast(l_quantity % 9 as int) as inside_count, l_extendedprice as center_dist from lineitem where l_orderkey = 1",
+    "tool_pending": f"with {_PEND} select action, target, revision, attempts from p where action = 'room' order by target limit 20",
+    "container_moves": f"with {_CLOSED} select 'transform' as action, refno as target from scene where noun = 'ZONE' union select 'regen', c.refno from closed c join scene e on e.refno = c.refno join scene a on a.refno = c.anc where c.depth > 0 and a.noun = 'ZONE' and e.noun in ('BRAN', 'HANG')",
+    "null_impacts": "select o_orderkey, case when o_orderkey % 5 = 0 or o_orderkey % 3 = 0 or o_orderkey % 4 = 0 then 'regen' else 'transform' end as impact from orders",
+    "classify_by_many": """with r as (select distinct substr(p_type, n % 4 + 1, n) as part, p_brand as code from part, range(3, 10) t(n) union select substr(p_name, 2, 5), p_brand from part), h as (select p_partkey, code, length(part) as l from part join r on contains(p_name, part) and part <> '')
+ select p_partkey, coalesce(code, 'else') as code from part left join (select * from h qualify row_number() over (partition by p_partkey order by l desc, code) = 1) using (p_partkey)""",
+    "room_codes": "select p_partkey, case p_partkey % 3 when 1 then p_brand || '-' || n when 0 then p_brand || '-K' || substr(n, 3) || '5' end as code from (select *, 'K' || lpad((p_partkey % 1000)::varchar, 3, '0') as n from part)",
+    "room_numbers": f"""with {_CLOSED}, t as (select refno from scene where refno % 11 = 0), reach as (select refno, noun, case when noun in ('EQUI', 'STRU', 'BRAN') then 1 else 0 end as low, case when noun in ('EQUI', 'STRU') then 2 when noun = 'BRAN' then 1 else 0 end as high from scene where refno not in (select refno from t))
+ select refno, 'OWN' as room_num from t union select r.refno, 'K' || (c.refno % 7) from reach r join closed c on c.anc = r.refno and c.depth between r.low and r.high where c.refno % 3 > 0""",
     "children_delta": """with l as (select l_orderkey, l_linenumber, min(l_partkey) as l_partkey from lineitem group by 1, 2), x as (select l_orderkey, coalesce(list(l_linenumber order by l_linenumber) filter (l_linenumber <> 2), []) as old, coalesce(list(l_linenumber order by l_partkey, l_linenumber) filter (l_linenumber <> 3), []) as new from l group by 1)
  select l_orderkey, array_to_string(list_sort(list_filter(new, lambda i: not list_contains(old, i))), ',') as came, array_to_string(list_sort(list_filter(old, lambda i: not list_contains(new, i))), ',') as went, list_filter(old, lambda i: list_contains(new, i)) <> list_filter(new, lambda i: list_contains(old, i)) as reordered from x""",
     "batch_queue": f"""with {_OBS}, a as (select *, count(*) filter (latest is null) over w as round, max(case when latest > applied then latest end) over w as top from o window w as (partition by dbnum order by seq rows between unbounded preceding and 1 preceding)),
@@ -352,7 +436,7 @@ SQL = {
     "shared_contents": "select p_brand, p_size, count(*) as n from part group by 1, 2",
     "unreferenced_nodes": "select p_partkey from part where p_partkey not in (select l_partkey from lineitem l where l_orderkey * 10 + l_linenumber not in (select l_orderkey * 10 + l_linenumber from lineitem where l_quantity > 2))",
     "prune_stale": "select o_custkey as root, o_orderkey as refno from orders where not (o_custkey % 2 = 0 and o_orderkey % 3 = 0)",
-    "world_position": "select o_custkey as k, count(*) as z, cast(case count(*) % 4 when 0 then 1 when 2 then -1 else 0 end as bigint) as cos, cast(case count(*) % 4 when 1 then 1 when 3 then -1 else 0 end as bigint) as sin from orders where o_orderkey % 5 = 0 group by 1",
+    "world_position": "select o_custkey as k, count(*) as z, cast(case count(*) % 4 when 0 then 1 when 2 then -1 else 0 end as bigint) as cos, cast(case count(*) % 4 when 1 then 1 when 3 then -1 else 0 end as bigint) as sin from orders group by 1",
     "tool_identity": f"with {_SCENE} select refno, noun, '/' || refno as name from scene where refno = {4 * LEVEL + 1}",
     "tool_owner_chain": f"with {_CLOSED} select c.depth, e.refno, e.noun, '/' || e.refno as name, true as complete, false as truncated from closed c join scene e on e.refno = c.anc where c.refno = {4 * LEVEL + 1}",
     "tool_members": f"with {_SCENE} select refno, noun, '/' || refno as name, seq from scene where owner = {2 * LEVEL + 3} order by seq, refno limit 10 offset 2",
@@ -367,7 +451,7 @@ SQL = {
     "step_function": "select p_partkey, cast(case when p_size <= 10 then 1.5 when p_size <= 20 then 2.5 when p_size <= 40 then 4.0 else 8.0 end as double) as loss from part",
     "cascade_roots": f"""with {_CLOSED}, {_ROOTS}, edges as ({_REFS}), seeds as (select unnest([{6 * LEVEL} + 1, {6 * LEVEL} + 2, {6 * LEVEL} + 3]) as refno),
  walk as (select refno as root, 'none' as kind, 0 as hops from seeds union select coalesce(r.root, e.referrer), coalesce(r.kind, 'none'), w.hops + 1 from walk w join edges e on e.referenced = w.root left join roots r on r.refno = e.referrer where w.kind <> 'unit' and w.hops < 8)
- select root, kind, min(hops) as hops from walk where kind <> 'none' group by 1, 2""",
+ select root, kind, min(hops) as hops, false as truncated from walk where kind <> 'none' group by 1, 2""",
     "reverse_index": f"select distinct * from ({_REFS}) where (referrer - {4 * LEVEL}) % 3 <> 0 or referrer not in (select o_orderkey + {4 * LEVEL} from orders) union select o_orderkey + {4 * LEVEL}, {6 * LEVEL} + 1 from orders where o_orderkey % 3 = 0",
     "reference_along_path": f"with {_CLOSED} select c.refno, arg_min(c.anc, c.depth) as holder, arg_min(c.anc, c.depth) % 97 as referenced from closed c join scene e on e.refno = c.anc where e.noun in ('STRU', 'ZONE') group by 1",
     "version_at": f"with {_HISTORY} select refno, sesno, op, value from h where sesno <= 4 qualify row_number() over (partition by refno order by sesno desc, seq desc) = 1 and op <> 'D'",

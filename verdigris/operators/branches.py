@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BULK_NOUNS = ("ELBO", "TEE", "FLAN", "GASK", "OLET", "REDU", "CAP", "COUP")
+from verdigris.plans.scratch import Scratch
+
 #: Places in a valve's catalogue parameters (from 0) by the letter in its name.  Fixed values.
 VALVE_PLACES = {"weight": (14, 10), "x": (11, 7), "y": (12, 8), "z": (13, 9)}
+#: Materials by the number in the fourth part of a branch's name.  Fixed values.
 VALVE_MATERIALS = ("SS", "GS", "CS", "ACS", "ASS", "AS", "FP")
 
 
@@ -73,18 +75,24 @@ def valve_material(branch_name: Column) -> Column:
     return F.get(F.array(*map(F.lit, VALVE_MATERIALS)), at - 1)
 
 
-def first_branch_by_site(starts: DataFrame, hops: DataFrame, sites: DataFrame, word: str = "PIPE", max_hops: int = 5) -> DataFrame:
+def first_branch_by_site(starts: DataFrame, hops: DataFrame, sites: DataFrame, word: str = "PIPE", max_hops: int | None = None) -> DataFrame:
     """starts: refno, target.  hops: refno, target (each element's onward reference, one at most).  sites: refno, branch,
     site_name.  Follows references until the element reached lies under a site whose name holds `word`; refno, branch and
-    hops of the first.  A refno without one within max_hops has no row.  Each hop is one join and starts only from those
-    not yet settled."""
-    here = starts.select(F.col("refno").alias("start"), F.col("target").alias("at"))
+    hops of the first, truncated false.  A path that ends, or meets itself, has no row; one that is still under way after
+    max_hops has a row without branch, truncated true.  Each hop is one join, kept, from those not yet settled."""
+    scratch = Scratch(starts.sparkSession)
     good = sites.where(F.contains("site_name", F.lit(word))).select(F.col("refno").alias("at"), "branch")
     onward = hops.select(F.col("refno").alias("at"), F.col("target").alias("to"))
-    out = None
-    for n in range(1, max_hops + 1):
-        reached = here.join(good, "at", "left")
-        found = reached.where("branch is not null").select(F.col("start").alias("refno"), "branch", F.lit(n).alias("hops"))
+    here = starts.select(F.col("refno").alias("start"), F.col("target").alias("at"), F.array().cast(f"array<{starts.schema['target'].dataType.simpleString()}>").alias("path")).where("at is not null")
+    out, n = None, 0
+    while True:
+        n += 1
+        reached = scratch.keep(here.join(good, "at", "left"), "reached")
+        found = reached.where("branch is not null").select(F.col("start").alias("refno"), "branch", F.lit(n).alias("hops"), F.lit(False).alias("truncated"))
         out = found if out is None else out.union(found)
-        here = reached.where("branch is null").join(onward, "at").select("start", F.col("to").alias("at"))
-    return out
+        moves = reached.where("branch is null").join(onward, "at").where(F.col("to").isNotNull() & (F.col("to") != F.col("at")) & ~F.array_contains("path", F.col("to")))
+        here = scratch.keep(moves.select("start", F.col("to").alias("at"), F.concat("path", F.array("at")).alias("path")), "here")
+        if here.isEmpty():
+            return out
+        if n == max_hops:
+            return out.union(here.select("start", F.lit(None).cast(out.schema["branch"].dataType), F.lit(n), F.lit(True)))

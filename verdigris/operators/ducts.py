@@ -101,15 +101,19 @@ def total(bolts: Column) -> Column:
     return F.aggregate(bolts, F.lit(0.0), add)
 
 
-#: Numbers that stand for words in a part's description, materials by number and branch, kilograms a metre of flange by
-#: its kind and size.  Fixed values.
+#: Numbers that stand for words in a part's description, and materials by number.  Fixed values.
 SHAPES = {927441: "RECT", 603858: "CIRC"}
 FLANGES = {531717: "FJ", 531501: "FB"}
+FLEXIBLE = 614823
 MATERIALS = {1: "GS", 2: "CS", 3: "ACS", 4: "SS", 5: "GS", 6: "FP"}
-KG_PER_METRE = {
-    "FJ": {25: 1.124, 303: 1.373, 30: 1.786, 35: 1.656, 40: 2.422, 45: 2.736, 50: 3.77, 60: 5.369, 608: 7.081, 6550: 5.134, 65: 5.3694, 63: 5.721, 70: 7.398, 7550: 5.699, 75: 7.976, 8060: 6.311, 80: 9.658, 8010: 11.874, 90: 5.661, 9056: 5.661, 10065: 9.8596, 10080: 10.946, 100: 12.276},
-    "FB": {253: 0.59, 254: 0.78, 304: 0.94, 305: 1.18, 354: 1.10, 404: 1.26, 405: 1.57, 505: 1.96, 606: 2.826, 608: 3.77, 6010: 4.71, 808: 5.02, 8010: 6.28, 8012: 7.54},
-}
+#: Flanges: code, type, kilograms a metre.  Fixed values.
+FLANGE_TYPES = [
+    ("FJ25", "L25X3", 1.124), ("FJ303", "L30X3", 1.373), ("FJ30", "L30X4", 1.786), ("FJ35", "L35X4", 1.656), ("FJ40", "L40X4", 2.422), ("FJ45", "L45X4", 2.736), ("FJ50", "L50X5", 3.77), ("FJ60", "L60X6", 5.369),
+    ("FJ608", "L60X8", 7.081), ("FJ6550", "L65X50X6", 5.134), ("FJ65", "L65X6", 5.3694), ("FJ63", "L63X6", 5.721), ("FJ70", "L70X7", 7.398), ("FJ7550", "L75X50X6", 5.699), ("FJ75", "L75X7", 7.976), ("FJ8060", "L80X60X6", 6.311),
+    ("FJ80", "L80X8", 9.658), ("FJ8010", "L80X10", 11.874), ("FJ90", "L90X9", 5.661), ("FJ9056", "L90X56X5", 5.661), ("FJ10065", "L100X65X8", 9.8596), ("FJ10080", "L100X80X8", 10.946), ("FJ100", "L100X8", 12.276),
+    ("FB253", "FB25X3", 0.59), ("FB254", "FB25X4", 0.78), ("FB304", "FB30X4", 0.94), ("FB305", "FB30X5", 1.18), ("FB354", "FB35X4", 1.1), ("FB404", "FB40X4", 1.26), ("FB405", "FB40X5", 1.57), ("FB505", "FB50X5", 1.96),
+    ("FB606", "FB60X6", 2.826), ("FB608", "FB60X8", 3.77), ("FB6010", "FB60X10", 4.71), ("FB808", "FB80X8", 5.02), ("FB8010", "FB80X10", 6.28), ("FB8012", "FB80X12", 7.54),
+]
 
 
 def _look_up(table: dict, key: Column, otherwise) -> Column:
@@ -145,10 +149,18 @@ def flange_length(shape: Column, kind: Column, material: Column, width: Column,
     return F.coalesce(F.when(material == FIRE_BOARD, fire).otherwise(usual), F.lit(0.0))
 
 
-def flange_weight(kind: Column, size: Column, length: Column) -> Column:
-    """Kilograms of a flange of that length in metres; 0 for a size that is not listed."""
-    listed = {f"{k}{s}": kg for k, sizes in KG_PER_METRE.items() for s, kg in sizes.items()}
-    return _or_zero(length) * _look_up(listed, F.concat(kind, size.cast("int").cast("string")), 0.0)
+def flange_code(kind: Column, size: Column) -> Column:
+    return F.concat(kind, size.cast("int").cast("string"))
+
+
+def flange_name(code: Column) -> Column:
+    """Type of a flange; unset where it is not listed."""
+    return _look_up({c: name for c, name, _ in FLANGE_TYPES}, code, "unset")
+
+
+def flange_weight(code: Column, length: Column) -> Column:
+    """Kilograms of a flange of that length in metres; 0 for one that is not listed."""
+    return _or_zero(length) * _look_up({c: kg for c, _, kg in FLANGE_TYPES}, code, 0.0)
 
 
 def washer_length(circle: Column, material: Column, prev: tuple[Column, Column], next: tuple[Column, Column], length: Column) -> Column:
@@ -178,3 +190,112 @@ def washer_lengths_at_ends(circle: Column, ends: list[tuple[Column, Column, Colu
 def washer_type_at_fan(fan: Column, material: Column) -> Column:
     """Of a cap or an end of a branch piece: a fan's own, else by material in two groups."""
     return F.when(F.coalesce(fan, F.lit(False)), FAN_WASHER).when(material.isin(1, 2, 4), "B型").otherwise("A型")
+
+
+def taper_flange_lengths(shape: Column, width: Column, height: Column, diameter: Column, flange: Column, other: Column) -> Column:
+    """Array of the metres of flange at a taper's two ends, to two decimals; 0 for other shapes.  width, height and diameter
+    are the first, second and third size of its description, flange and other the flange widths of its ends."""
+    w, h, d, f, o = map(_or_zero, (width, height, diameter, flange, other))
+    rect = F.array((w + h * 2) * 2, (d + o * 2) * 2)
+    circ = F.array((w + f * 2) * 3.14, (d + o * 2) * 3.14)
+    found = F.when(shape == "RECT", rect).when(shape == "CIRC", circ).otherwise(F.array(F.lit(0.0), F.lit(0.0)))
+    return F.transform(found, lambda x: F.round(x / 1000, 2))
+
+
+def flexible_flange_length(shape: Column, width: Column, height: Column, flange: Column) -> Column:
+    """Metres of flange at both ends of a flexible duct."""
+    w, h, f = map(_or_zero, (width, height, flange))
+    return F.when(shape == "RECT", (w + h + f * 2) * 4 / 1000).when(shape == "CIRC", (w + f * 2) * 6.28 / 1000).otherwise(0.0)
+
+
+def gasket_length(shape: Column, material: Column, prev: tuple[Column, Column], next: tuple[Column, Column], length: Column, flange: Column) -> Column:
+    """Metres of gasket of a straight duct, by what stands at its ends: prev and next are the noun there and the number of
+    its kind.  length is that of its flanges.  The first case that holds counts; fire board has none."""
+    (p, pk), (n, nk) = prev, next
+    flex, flex_next = (F.coalesce(k == FLEXIBLE, F.lit(False)) for k in (pk, nk))
+    (pd, nd), (pm, nm) = ([F.coalesce(x == noun, F.lit(False)) for x in (p, n)] for noun in ("DAMP", "MESH"))
+    whole, f = _or_zero(length), _or_zero(flange)
+    frame, square = (whole + f * 8) / 1000, (whole + f * f * 8) / 1000
+    cases = [
+        (flex & flex_next, frame, whole),
+        (flex, frame / 2, whole / 2),
+        (flex_next & ~pd & ~pm, square, whole / 4),
+        (flex_next & pd, square, whole / 2),
+        (flex_next, frame / 2, whole / 2),
+        ((pd | ~pm) & (nd | nm), frame, whole),
+        ((~pd & ~pm & ~nd) | nm, frame * 0.75, whole / 2 * 0.75),
+        ((pd | pm) & ~nd & ~nm, frame * 0.75, whole * 0.75),
+    ]
+    out = F.when(material == FIRE_BOARD, 0.0)
+    for holds, rect, circ in cases:
+        out = out.when(holds & (shape == "RECT"), rect).when(holds & (shape == "CIRC"), circ)
+    return out.otherwise(0.0)
+
+
+def bend_bolts(shape: Column, material: Column, prev: Column, next: Column, width: Column, height: Column, flange: Column, flange_length: Column) -> Column:
+    """Bolts at both ends of a bend, as a number that reports round: four quarters of the holes with two dressed ends, three
+    with one, two with none.  Where only the end after it is dressed, a frame counts one and a half holes more; where only
+    the one before, a round flange counts by its width."""
+    w, h, f = map(_or_zero, (width, height, flange))
+    holes = (w + f * 2 + 75) / 150 + (h + f * 2 + 75) / 150 - 2
+    before, after = dressed(prev), dressed(next)
+    rect = F.when(before & after, holes * 4).when(before, holes * 3).when(after, (holes + 1.5) * 3).otherwise(holes * 2)
+    circ = F.when(before & after, _holes(flange_length)).when(before, _holes(flange) * 0.75).when(after, _holes(flange_length) * 0.75).otherwise(_holes(flange_length) / 2)
+    return F.when(material == FIRE_BOARD, 0.0).when(shape == "RECT", rect).when(shape == "CIRC", circ).otherwise(0.0)
+
+
+#: Nuts of a rectangular bend: least angle above which a table holds, then widths up to which a row holds, with the nuts
+#: for heights above 500, 1000 and 1500.  Fixed values.
+BEND_NUTS = [
+    (60, [(900, (3, 6, 9)), (1400, (11, 10, 13)), (2000, (19, 14, 0)), (None, (27, 18, 21))]),
+    (30, [(600, (3, 6, 6)), (900, (11, 10, 13)), (1200, (11, 14, 17)), (1500, (27, 18, 21)), (None, (35, 22, 25))]),
+]
+
+
+def bend_nuts(shape: Column, material: Column, angle: Column, width: Column, height: Column) -> Column:
+    """Nuts of a bend's plates, by bands of angle, width and height; 0 for other shapes and fire board."""
+    a, w, h = map(_or_zero, (angle, width, height))
+
+    def by_height(nuts: tuple[int, int, int]) -> Column:
+        return F.when(h > 1500, nuts[2]).when(h > 1000, nuts[1]).when(h > 500, nuts[0]).otherwise(0)
+
+    def by_width(rows: list) -> Column:
+        out = F.when(w < rows[0][0], by_height(rows[0][1]))
+        for top, nuts in rows[1:-1]:
+            out = out.when(w < top, by_height(nuts))
+        return out.otherwise(by_height(rows[-1][1]))
+
+    out = F.when((shape != "RECT") | (material == FIRE_BOARD), 0)
+    for least, rows in BEND_NUTS:
+        out = out.when(a > least, by_width(rows))
+    return F.coalesce(out.otherwise(0), F.lit(0))
+
+
+def insulation_thickness(material: Column, first: Column) -> Column:
+    """Half of the first number of the insulation's description, for the numbered materials; null without one."""
+    return F.when(material.between(1, 6) & (first > 0), first / 2)
+
+
+#: Sides up to which a rectangular duct needs no frame, and one; by its pressure class.  Fixed values.
+FRAME_SIDES = {"L": (800, 2000), "M": (800, 2000), "H": (600, 1800)}
+
+
+def frame_length(shape: Column, pressure: Column, material: Column, length: Column, width: Column, height: Column) -> Column:
+    """Metres of stiffening frames of a duct by its pressure class: none for small sides, one for middle ones, one each
+    800 of length, less half, for large ones.  Fire board has none, but for large ducts of the classes L and H."""
+    side, around = F.greatest(width, height), width + height
+    out = F.lit(0.0)
+    for name, (small, middle) in FRAME_SIDES.items():
+        fire = F.coalesce(material == FIRE_BOARD, F.lit(False))
+        one = F.when(fire, 0.0).otherwise((around + (82 if name == "L" else 83)) / 500)
+        many = (around + 103) * (length / 800 - 0.5) / 500
+        many = F.when(fire, 0.0).otherwise(many) if name == "M" else many
+        out = F.when((shape == "RECT") & (pressure == name), F.when(side <= small, 0.0).when(side <= middle, one).otherwise(many)).otherwise(out)
+    return out
+
+
+def frame_weight(shape: Column, pressure: Column, metres: Column, width: Column, height: Column) -> Column:
+    """Kilograms of these frames: a heavier section for large sides, but not in class M."""
+    side = F.greatest(width, height)
+    heavy = ((pressure == "L") & (side > 2000)) | ((pressure == "H") & (side > 1800))
+    return F.when((shape == "RECT") & pressure.isin(*FRAME_SIDES), metres * F.when(heavy, 3.77).otherwise(2.422)).otherwise(0.0)

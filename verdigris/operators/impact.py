@@ -58,11 +58,13 @@ def attribute_effect(raw: Column, is_reference: Column | None = None) -> Column:
 
 def operation_impact(op: Column, attributes: Column, children_changed: Column, noun: Column) -> Column:
     """regen, transform or skip.  Additions, deletions, changed children and changes without a known attribute
-    regenerate; a change of pose alone moves, but a loop container's regenerates; mere data is skipped."""
-    effects = F.transform(attributes, lambda a: attribute_effect(a))
-    regen = (op != "M") | children_changed | (F.size(attributes) < 1) | F.exists(effects, lambda e: ~e.isin("data", "transform"))
+    regenerate; a change of pose alone moves, but a loop container's regenerates; mere data is skipped.  A null list of
+    attributes is an empty one, null operations and attributes are unknown ones, null children have not changed."""
+    names = F.coalesce(attributes, F.array().cast("array<string>"))
+    effects = F.transform(names, lambda a: attribute_effect(F.coalesce(a, F.lit(""))))
+    regen = F.coalesce(op != "M", F.lit(True)) | F.coalesce(children_changed, F.lit(False)) | (F.size(names) < 1) | F.exists(effects, lambda e: ~e.isin("data", "transform"))
     pose = F.array_contains(effects, "transform")
-    return F.when(regen | (pose & is_loop(noun)), "regen").when(pose, "transform").otherwise("skip")
+    return F.when(regen | (pose & is_loop(F.coalesce(noun, F.lit("")))), "regen").when(pose, "transform").otherwise("skip")
 
 
 def generation_roots(elements: DataFrame, closed: DataFrame, units: tuple[str, ...] = UNITS) -> DataFrame:
@@ -121,10 +123,11 @@ def roots_todo(cover: DataFrame, status: DataFrame) -> DataFrame:
     return cover.join(ended, "root", "left_anti").orderBy(F.desc("subtree"), "root")
 
 
-def work_plan(changes: DataFrame, roots: DataFrame, nouns: DataFrame) -> DataFrame:
+def work_plan(changes: DataFrame, roots: DataFrame, nouns: DataFrame, closed: DataFrame | None = None) -> DataFrame:
     """changes: refno, op, impact.  roots: refno, root.  nouns: refno, noun.  Distinct (action, target): delete of what
     went, regen of the roots that are touched; a change of pose moves its element, but under a branch or hanger it
-    regenerates the root."""
+    regenerates the root.  With closed (refno, anc, depth), branches and hangers below whatever moves regenerate too: their
+    tubes follow from where their members are."""
     j = changes.join(roots, "refno", "left").join(nouns.select(F.col("refno").alias("root"), F.col("noun").alias("root_noun")), "root", "left")
     whole = (F.col("impact") == "regen") | F.coalesce(F.col("root_noun").isin(*DERIVED), F.lit(False))
     items = F.array(
@@ -132,7 +135,13 @@ def work_plan(changes: DataFrame, roots: DataFrame, nouns: DataFrame) -> DataFra
         F.when((F.col("impact") != "skip") & whole & F.col("root").isNotNull() & ~((F.col("op") == "D") & (F.col("root") == F.col("refno"))), F.struct(F.lit("regen").alias("action"), F.col("root").alias("target"))),
         F.when((F.col("impact") == "transform") & ~whole, F.struct(F.lit("transform").alias("action"), F.col("refno").alias("target"))),
     )
-    return j.select(F.explode(F.array_compact(items)).alias("x")).select("x.*").distinct()
+    plan = j.select(F.explode(F.array_compact(items)).alias("x")).select("x.*")
+    if closed is not None:
+        moved = changes.where("impact = 'transform'").select(F.col("refno").alias("anc"))
+        derived = nouns.where(F.col("noun").isin(*DERIVED)).select("refno")
+        below = closed.where("depth > 0").join(moved, "anc", "left_semi").join(derived, "refno", "left_semi")
+        plan = plan.union(below.select(F.lit("regen"), "refno"))
+    return plan.distinct()
 
 
 def children_delta(old: Column, new: Column) -> Column:

@@ -55,6 +55,15 @@ def compose(matrices: Column) -> Column:
     return F.aggregate(matrices, one, times)
 
 
+def products(rows: DataFrame, key: str, order: str, matrix: str, span: int = 256) -> DataFrame:
+    """(key, matrix): the product of each key's matrices in the order of a whole number, each number once a key.  Products
+    are made over spans of the numbers first, then over these, so that no array holds all matrices of a key that has many."""
+    spans = rows.select(key, F.floor(F.col(order) / span).alias("span"), F.struct(F.col(order).alias("at"), F.col(matrix).alias("m")).alias("one"))
+    product = lambda c: compose(F.transform(F.array_sort(F.collect_list(c)), lambda s: s["m"]))
+    part = spans.groupBy(key, "span").agg(product("one").alias("m"))
+    return part.groupBy(key).agg(product(F.struct(F.col("span").alias("at"), "m")).alias(matrix))
+
+
 def bearing(x: Column, y: Column) -> Column:
     """Whole degrees from the x axis, 0 to 359."""
     return F.pmod(F.round(F.degrees(F.atan2(y, x))).cast("int"), F.lit(360))

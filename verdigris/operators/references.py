@@ -21,26 +21,28 @@ def replace_edges(edges: DataFrame, fresh: DataFrame, touched: DataFrame) -> Dat
     return kept.union(fresh.select(*cols)).distinct()
 
 
-def cascade_roots(edges: DataFrame, seeds: DataFrame, roots: DataFrame, max_hops: int = 8) -> DataFrame:
-    """edges: referrer, referenced.  seeds: refno.  roots: refno, root, kind.  (root, kind, hops): generation roots that a
-    change of the seeds reaches through their referrers, with the fewest hops.  A delivery unit ends its path; the
-    referrers of a normal root, and of an element without one, are followed.  Each round joins its new rows only."""
+def cascade_roots(edges: DataFrame, seeds: DataFrame, roots: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """edges: referrer, referenced.  seeds: refno.  roots: refno, root, kind.  (root, kind, hops, truncated): generation
+    roots that a change of the seeds reaches through their referrers, with the fewest hops.  A delivery unit ends its path;
+    the referrers of a normal root, and of an element without one, are followed until nothing new comes, or for max_hops
+    rounds; truncated tells of a root whose referrers were left out then.  Each round joins its new rows only."""
     scratch = Scratch(edges.sparkSession)
     back = edges.select(F.col("referenced").alias("refno"), "referrer").distinct()
     of = roots.select(F.col("refno").alias("referrer"), "root", "kind")
-    front = scratch.keep(seeds.select("refno").distinct(), "front")
-    seen, found = front, []
-    for hop in range(1, max_hops + 1):
-        met = scratch.keep(front.join(back, "refno").select("referrer").distinct().join(of, "referrer", "left").select(F.coalesce("root", "referrer").alias("root"), F.coalesce("kind", F.lit("none")).alias("kind")).distinct(), "met")
-        found.append(met.select("root", "kind", F.lit(hop).alias("hops")))
-        front = scratch.keep(met.where("kind <> 'unit'").select(F.col("root").alias("refno")).join(seen, "refno", "left_anti"), "front")
-        if front.isEmpty():
+    # kind: unit, normal, none (an element without a root), or seed
+    seen = scratch.keep(seeds.select(F.col("refno").alias("root"), F.lit("seed").alias("kind"), F.lit(0).alias("hops")).where("root is not null").distinct(), "seen")
+    hop = 0
+    while True:
+        front = seen.where((F.col("hops") == hop) & (F.col("kind") != "unit")).select(F.col("root").alias("refno"))
+        if hop == max_hops or front.isEmpty():
             break
-        seen = seen.union(front)
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
-    return out.where("kind <> 'none'").groupBy("root", "kind").agg(F.min("hops").alias("hops"))
+        hop += 1
+        met = front.join(back, "refno").select("referrer").distinct().join(of, "referrer", "left").select(F.coalesce("root", "referrer").alias("root"), F.coalesce("kind", F.lit("none")).alias("kind"))
+        seen = scratch.append(seen, met.distinct().join(seen, ["root", "kind"], "left_anti").withColumn("hops", F.lit(hop)))
+    found = seen.where("kind <> 'seed'")
+    out = found.where("kind <> 'none'").groupBy("root", "kind").agg(F.min("hops").alias("hops"))
+    left = front.where(F.lit(hop == max_hops)).join(back, "refno", "left_semi").select(F.col("refno").alias("root"), F.lit(True).alias("truncated")).distinct()
+    return out.join(left, "root", "left").select("root", "kind", "hops", F.coalesce("truncated", F.lit(False)).alias("truncated"))
 
 
 def first_reference_along_path(closed: DataFrame, references: DataFrame) -> DataFrame:
@@ -79,30 +81,38 @@ def uncovered_nouns(elements: DataFrame, routed: list[str]) -> DataFrame:
 CONTAINERS = ("GMSE", "GMSS", "NGMS", "PTSE", "PSTR", "SPRO", "DTSE", "SEXT", "NSEX", "SREV", "NSRE", "SLOO")
 
 
-def reference_closure(elements: DataFrame, edges: DataFrame, seeds: DataFrame, containers: tuple[str, ...] = CONTAINERS, max_rounds: int = 64) -> DataFrame:
+def reference_closure(elements: DataFrame, edges: DataFrame, seeds: DataFrame, containers: tuple[str, ...] = CONTAINERS, max_rounds: int | None = None) -> DataFrame:
     """elements: refno, owner, noun, dbnum (those in scope, an id once).  edges: referrer, referenced.  seeds: refno.  All that the
     seeds need: what they refer to, their owners, and the members of containers, and so on.  refno, dbnum and the round
-    that reached it; dbnum is null where it is in no table (missing).  Each round joins only what the last one added."""
+    that reached it; dbnum is null where it is in no table (missing).  Each round joins only what the last one added, until
+    nothing new comes, or for max_rounds rounds: truncated tells of rows from which more would have followed then."""
     scratch = Scratch(elements.sparkSession)
     elements = scratch.keep(elements.select("refno", "owner", "noun", "dbnum").dropDuplicates(["refno"]), "elements")
     edges = scratch.keep(edges.select("referrer", "referenced").distinct(), "edges")
     members = elements.select(F.col("owner").alias("refno"), F.col("refno").alias("member"))
-    new = seeds.select("refno").where("refno is not null").distinct()
-    seen, rounds = None, 0
-    while True:
-        found = scratch.keep(new.join(elements, "refno", "left").select("refno", "owner", "noun", "dbnum", F.lit(rounds).alias("round")), "found")
-        if found.isEmpty():
-            break
-        seen = found if seen is None else seen.union(found)
-        rounds += 1
-        if rounds >= max_rounds:
-            break
+    columns = ["refno", "owner", "noun", "dbnum"]
+
+    def reach(refs: DataFrame, no: int) -> DataFrame:
+        return refs.where("refno is not null").distinct().join(elements, "refno", "left").select(*columns, F.lit(no).alias("round"))
+
+    def onward(found: DataFrame, seen: DataFrame) -> DataFrame:
+        """(refno, to): what the rows found need and nothing has reached."""
         here = found.where("dbnum is not null")
-        out = here.join(edges, here["refno"] == edges["referrer"]).select(F.col("referenced").alias("refno"))
-        up = here.select(F.col("owner").alias("refno"))
-        down = here.where(F.col("noun").isin(*containers)).join(members, "refno").select(F.col("member").alias("refno"))
-        new = out.union(up).union(down).where("refno is not null").distinct().join(seen.select("refno"), "refno", "left_anti")
-    return (found if seen is None else seen).select("refno", "dbnum", "round")
+        out = here.join(edges, here["refno"] == edges["referrer"]).select("refno", F.col("referenced").alias("to"))
+        up = here.select("refno", F.col("owner").alias("to"))
+        down = here.where(F.col("noun").isin(*containers)).join(members, "refno").select("refno", F.col("member").alias("to"))
+        return out.union(up).union(down).where("to is not null").join(seen.select(F.col("refno").alias("to")), "to", "left_anti")
+
+    seen, no = scratch.keep(reach(seeds.select("refno"), 0), "seen"), 0
+    while True:
+        found = seen.where(F.col("round") == no)
+        no += 1
+        if no == max_rounds:
+            left = onward(found, seen).select("refno", F.lit(True).alias("truncated")).distinct()
+            return seen.join(left, "refno", "left").select("refno", "dbnum", "round", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+        seen = scratch.append(seen, reach(onward(found, seen).select(F.col("to").alias("refno")), no))
+        if seen.where(F.col("round") == no).isEmpty():
+            return seen.select("refno", "dbnum", "round", F.lit(False).alias("truncated"))
 
 
 def user_values(elements: DataFrame, values: DataFrame, definitions: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
-"""Rooms by name: which panels bound them."""
+"""Rooms: which panels bound them by name, what lies in them, and their codes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from verdigris.operators import instances
+from verdigris.operators.relate import AXES, box_overlap
+
 
 def room_panels(elements: DataFrame, closed: DataFrame, keywords: list[str], number: str = "^[A-Z][0-9]{3}$") -> DataFrame:
     """(room, room_num, panel).  Rooms are frameworks (FRMW, panels one or two levels below) and subframes (SBFR, panels one
@@ -17,3 +20,68 @@ def room_panels(elements: DataFrame, closed: DataFrame, keywords: list[str], num
     rooms = elements.where(F.col("noun").isin("FRMW", "SBFR") & named & num.rlike(number)).select(F.col("refno").alias("room"), num.alias("room_num"), F.when(F.col("noun") == "FRMW", 2).otherwise(1).alias("reach"))
     below = closed.where("depth between 1 and 2").join(rooms, F.col("anc") == F.col("room")).where("depth <= reach")
     return below.join(elements.where("noun = 'PANE'").select("refno"), "refno", "left_semi").select("room", "room_num", F.col("refno").alias("panel"))
+
+
+def _inside(point: list[Column], panel: str) -> Column:
+    """Whether a point lies in the panel with this prefix: in its box, and on the inner side of its planes, if it has any
+    (array of structs a, b, c, d with a x + b y + c z <= d inside)."""
+    out = F.lit(True)
+    for a, at in zip(AXES, point, strict=True):
+        out = out & (at >= F.col(f"{panel}min_{a}")) & (at <= F.col(f"{panel}max_{a}"))
+    planes = F.forall(F.coalesce(F.col(f"{panel}planes"), F.array().cast(PLANES)), lambda p: p["a"] * point[0] + p["b"] * point[1] + p["c"] * point[2] <= p["d"])
+    return out & planes
+
+
+#: Type of a panel's planes.
+PLANES = "array<struct<a:double,b:double,c:double,d:double>>"
+
+
+def room_members(parts: DataFrame, panels: DataFrame, points: DataFrame, cell: float, least: float = 0.9) -> DataFrame:
+    """parts: element and a box.  panels: panel, room_num, a box and, if they are no boxes themselves, planes.  points:
+    element, x, y, z, its geometry in the world.  (panel, element, inside_count, center_dist, room_num).  Of a part's eight
+    corners, all inside make it a member, none leave it out, and with one to seven inside it is a member if any of its
+    points is.  Panels are no members.  Boxes that are not finite are in no room; a build that sees fewer than `least` of
+    the parts' boxes is refused, as it could not tell an empty room from an unknown one."""
+    seen = parts.agg(F.count("*").alias("n"), F.count_if(instances.usable()).alias("usable")).first()
+    instances.require_coverage(seen["usable"], seen["n"], least)
+    own = panels if "planes" in panels.columns else panels.withColumn("planes", F.lit(None).cast(PLANES))
+    real = parts.join(own.select(F.col("panel").alias("element")), "element", "left_anti")
+    pairs = box_overlap(real.select(F.col("element").alias("id"), *instances.BOX), own.select(F.col("panel").alias("id"), *instances.BOX), cell)
+    pairs = pairs.select(F.col("left_id").alias("element"), F.col("right_id").alias("panel"))
+    j = pairs.join(real.select("element", *instances.BOX), "element")
+    j = j.join(own.select("panel", "room_num", F.col("planes").alias("p_planes"), *(F.col(c).alias(f"p_{c}") for c in instances.BOX)), "panel")
+    corners = [[F.col(f"{e}_{a}") for e in ("min", "max")] for a in AXES]
+    inside = sum((_inside([x, y, z], "p_").cast("int") for x in corners[0] for y in corners[1] for z in corners[2]), F.lit(0))
+    apart = sum((((F.col(f"min_{a}") + F.col(f"max_{a}")) - (F.col(f"p_min_{a}") + F.col(f"p_max_{a}"))) / 2) ** 2 for a in AXES)
+    j = j.withColumn("inside_count", inside).withColumn("center_dist", F.sqrt(apart)).where("inside_count > 0")
+    at = [F.col(f"at_{a}") for a in AXES]
+    doubtful = j.where("inside_count < 8").join(points.select("element", *(F.col(a).alias(f"at_{a}") for a in AXES)), "element")
+    proved = doubtful.where(_inside(at, "p_")).select("panel", "element").distinct()
+    out = ["panel", "element", "inside_count", "center_dist", "room_num"]
+    return j.where("inside_count = 8").select(*out).union(j.where("inside_count < 8").join(proved, ["panel", "element"], "left_semi").select(*out))
+
+
+def room_code(frame_name: Column, room_num: Column) -> Column:
+    """PREFIX-NUMBER: what stands between the first sign and the first hyphen of the frame's name, and the room's number of
+    four signs; of five, the second is left out; null for any other."""
+    prefix = F.get(F.split(F.substr(frame_name, F.lit(2)), "-"), F.lit(0))
+    number = F.when(F.length(room_num) == 4, room_num).when(F.length(room_num) == 5, F.concat(F.substring(room_num, 1, 1), F.substr(room_num, F.lit(3))))
+    return F.concat(prefix, F.lit("-"), number)
+
+
+def room_numbers(elements: DataFrame, closed: DataFrame, rooms: DataFrame, own: DataFrame) -> DataFrame:
+    """elements: refno, noun.  rooms: element, room_num, the strongest of each.  own: refno, room_num, as the element's own
+    attribute names it.  (refno, room_num), each once: an element's own numbers; else those of its children and their
+    children (equipment, structures, restraints), of its children (branches), of itself (all others); supports take those
+    of what lies three levels below in any case."""
+    wide, support, branch = F.col("noun").isin("EQUI", "STRU", "REST"), F.col("noun") == "SUPPO", F.col("noun") == "BRAN"
+    told = own.where("room_num is not null").select("refno", "room_num")
+    plain = elements.select("refno", "noun").join(told.select("refno").distinct().withColumn("told", F.lit(True)), "refno", "left")
+    asked = plain.where(support | F.col("told").isNull())
+    low = F.when(wide | branch, 1).when(support, 3).otherwise(0)
+    high = F.when(wide, 2).when(branch, 1).when(support, 3).otherwise(0)
+    reach = asked.select(F.col("refno").alias("anc"), low.alias("low"), high.alias("high"))
+    found = closed.where("depth <= 3").join(reach, "anc").where("depth between low and high").select(F.col("anc").alias("of"), "refno")
+    numbers = found.join(rooms.where("room_num is not null").select(F.col("element").alias("refno"), "room_num"), "refno").select(F.col("of").alias("refno"), "room_num")
+    said = told.join(elements.where(~support).select("refno"), "refno", "left_semi")
+    return numbers.union(said.select("refno", "room_num")).distinct()

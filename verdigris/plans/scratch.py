@@ -47,6 +47,14 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def append(self, table: DataFrame, df: DataFrame) -> DataFrame:
+        """The kept table with the rows of df, of the same columns, written beside its own: one scan, however often it
+        grows.  df may read the table."""
+        df.select(*table.columns).write.mode("append").parquet(table._scratch_path)
+        out = self.spark.read.schema(table.schema).parquet(table._scratch_path)
+        out._scratch_path = table._scratch_path
+        return out
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             path, files = self._files(df._scratch_path)

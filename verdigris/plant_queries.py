@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.functions import texts
-from verdigris.operators import changes, relate, tree
+from verdigris.operators import changes, instances, relate, rooms, tree
 
 LEVEL = 1_000_000_000_000
 _EVENTS_OP = "case pmod(event_id, 5) when 0 then 'A' when 4 then 'D' else 'M' end"
@@ -52,8 +52,7 @@ def q_closure(spark, d):
 
 
 def q_ancestor_arrays(spark, d):
-    e = elements(spark, d, lines=False)
-    return tree.with_ancestors(e, tree.closure(e)).select("refno", F.concat_ws(",", "anc").alias("anc"))
+    return tree.paths(elements(spark, d)).select("refno", F.array_join(F.transform("path", lambda x: x["anc"].cast("string")), ",").alias("anc"))
 
 
 def q_descendants(spark, d):
@@ -63,8 +62,7 @@ def q_descendants(spark, d):
 
 
 def q_nearest_ancestor(spark, d):
-    e = elements(spark, d, lines=False)
-    return tree.nearest_ancestor(e, tree.closure(e), F.col("noun").isin("EQUI", "ZONE"))
+    return tree.nearest_in_path(tree.paths(elements(spark, d), ["noun"]), lambda x: x["noun"].isin("EQUI", "ZONE"))
 
 
 def q_siblings(spark, d):
@@ -103,9 +101,36 @@ def q_change_runs(spark, d):
 def q_unit_rollup(spark, d):
     """Net changes of customers' elements by their zone."""
     net = changes.fold_net(change_stream(spark, d)).withColumn("refno", F.col("refno") + F.lit(3 * LEVEL))
-    e = elements(spark, d, lines=False)
-    roots = tree.nearest_ancestor(e, tree.closure(e.where("noun <> 'BRAN'")), F.col("noun") == "ZONE").select("refno", "root")
-    return changes.rollup(net, roots, roots)
+    return changes.rollup(net, *[_nearest(spark, d, "ZONE")] * 2)
+
+
+def _nearest(spark, d, noun):
+    """Nearest owner of that noun, of the elements down to the customers, which the events are about."""
+    e = elements(spark, d).where("noun in ('SITE', 'ZONE', 'EQUI')")
+    return tree.nearest_in_path(tree.paths(e, ["noun"]), lambda x: x["noun"] == noun).select("refno", "root")
+
+
+def q_site_rollup(spark, d):
+    """Net changes by site; a half of the events are about customers that there are not."""
+    known = F.when(F.col("sesno") % 2 == 0, F.col("refno") + 3 * LEVEL).otherwise(F.col("refno") + 9 * LEVEL)
+    net = changes.fold_net(change_stream(spark, d).withColumn("refno", known))
+    names = _t(spark, d, "region").selectExpr(f"r_regionkey + {LEVEL} as refno", "r_name as name")
+    return changes.labelled(changes.rollup(net, *[_nearest(spark, d, "SITE")] * 2), names, "SITE")
+
+
+def q_net_details(spark, d):
+    """Events of type view have no impact."""
+    rows = _t(spark, d, "events").selectExpr("user_id as refno", "event_id div 100 as sesno", "event_id as seq", f"{_EVENTS_OP} as op", "case when event_id % 3 > 0 then 'skip' when event_id % 2 = 0 then 'regen' end as impact")
+    return changes.net_details(rows)
+
+
+def q_fold_attributes(spark, d):
+    """Events write one name each; every third one a second time, as deleted."""
+    e = _t(spark, d, "events")
+    kind = F.element_at(F.array(F.lit("added"), F.lit("modified"), F.lit("deleted")), (F.col("event_id") % 3 + 1).cast("int"))
+    writes = e.select(F.col("user_id").alias("refno"), F.expr("event_id div 100").alias("sesno"), F.col("event_id").alias("seq"), F.lit("own").alias("namespace"), F.col("event_type").alias("name"), kind.alias("kind"), F.col("user_id").cast("string").alias("old"), F.col("event_id").cast("string").alias("new"))
+    again = writes.where("kind = 'modified'").withColumn("kind", F.lit("deleted"))
+    return changes.fold_attributes(change_stream(spark, d), writes.union(again))
 
 
 def q_moved_rollup(spark, d):
@@ -150,15 +175,21 @@ def q_box_overlap(spark, d):
 
 
 def q_room_members(spark, d):
-    """Boxes of even ids as parts, of odd ids as rooms: verdict by corners, then the strongest room of each part."""
-    parts, rooms = (_boxes(spark, d, h) for h in (0.05, 0.2))
-    pairs = relate.box_overlap(parts.where("id % 2 = 0"), rooms.where("id % 2 = 1"), 0.4)
-    for side, b in (("left", parts), ("right", rooms)):
-        pairs = pairs.join(b.select(F.col("id").alias(f"{side}_id"), *(F.col(c).alias(f"{side}_{c}") for c in b.columns if c != "id")), f"{side}_id")
-    centre = lambda s, a: (F.col(f"{s}_min_{a}") + F.col(f"{s}_max_{a}")) / 2
-    dist = F.round(F.sqrt(sum((centre("left", a) - centre("right", a)) ** 2 for a in relate.AXES)), 6)
-    edges = pairs.select(F.col("left_id").alias("element"), F.col("right_id").alias("room"), relate.corners_inside("left", "right").alias("inside_count"), dist.alias("center_dist"), F.concat(F.lit("R"), "right_id").alias("room_num"))
-    return relate.strongest(edges.where("inside_count > 0")).select("element", "room", "inside_count", "center_dist")
+    """Boxes about all points as parts, larger ones about the odd ids as panels, which are no members themselves; of each
+    part two points count.  The strongest room of each part."""
+    p = _points(spark, d)
+    panels = _boxes(spark, d, 0.2).where("id % 2 = 1").select(F.col("id").alias("panel"), F.concat(F.lit("R"), "id").alias("room_num"), *instances.BOX)
+    points = p.select(F.col("id").alias("element"), F.explode(F.array(*(F.struct(*((F.col(a) + s * 0.04).alias(a) for a in relate.AXES)) for s in (-1, 1)))).alias("at")).select("element", "at.*")
+    found = rooms.room_members(_boxes(spark, d, 0.05).withColumnRenamed("id", "element"), panels, points, 0.4)
+    best = relate.strongest(found.select("element", F.col("panel").alias("room"), "inside_count", F.round("center_dist", 6).alias("center_dist"), "room_num"))
+    return best.select("element", "room", "inside_count", "center_dist")
+
+
+def q_nested_boxes(spark, d):
+    """Boxes of very different sizes: all about the points, and one each label about all of its points."""
+    p = _points(spark, d).join(_t(spark, d, "embeddings").selectExpr("vec_id as id", "label"), "id")
+    large = p.groupBy("label").agg(*(f(a).alias(f"{e}_{a}") for a in relate.AXES for e, f in (("min", F.min), ("max", F.max)))).withColumnRenamed("label", "id")
+    return relate.box_overlap(_boxes(spark, d, 0.01), large, 0.02)
 
 
 def q_nearest_level(spark, d):
@@ -168,8 +199,9 @@ def q_nearest_level(spark, d):
 
 
 def q_within_radius(spark, d):
+    """Pairs of any two points."""
     p = _points(spark, d)
-    return relate.within_radius(p, p.where("id % 50 = 0"), 0.4).select("id", "centre", F.round("dist", 6).alias("dist"))
+    return relate.within_radius(p, p, 0.2).select("id", "centre", F.round("dist", 6).alias("dist"))
 
 
 def q_reverse_closure(spark, d):
@@ -243,9 +275,9 @@ _C = _CLOSED
 QUERIES = {k[2:]: v for k, v in list(globals().items()) if k.startswith("q_")}
 SQL = {
     "closure": f"{_C} select depth, count(*) as n, count(distinct anc) as n_anc from closed group by depth",
-    "ancestor_arrays": f"with recursive elements as ({_UPPER}), closed as (select refno, refno as anc, 0 as depth from elements union all select c.refno, e.owner, c.depth + 1 from closed c join elements e on e.refno = c.anc where e.owner is not null) select refno, string_agg(cast(anc as varchar), ',' order by depth) as anc from closed group by refno",
+    "ancestor_arrays": f"with recursive {_ELEMENTS}, closed as (select refno, refno as anc, 0 as depth from elements union all select c.refno, e.owner, c.depth + 1 from closed c join elements e on e.refno = c.anc where e.owner is not null) select refno, string_agg(cast(anc as varchar), ',' order by depth) as anc from closed group by refno",
     "descendants": f"{_C} select anc as root, count(*) as n, max(depth) as deepest from closed where anc < {2 * LEVEL} group by anc",
-    "nearest_ancestor": f"with recursive elements as ({_UPPER}), closed as (select refno, refno as anc, 0 as depth from elements union all select c.refno, e.owner, c.depth + 1 from closed c join elements e on e.refno = c.anc where e.owner is not null) select c.refno, arg_min(c.anc, c.depth) as root, min(c.depth) as depth from closed c join elements e on e.refno = c.anc and e.noun in ('EQUI', 'ZONE') group by c.refno",
+    "nearest_ancestor": f"with recursive {_ELEMENTS}, closed as (select refno, refno as anc, 0 as depth from elements union all select c.refno, e.owner, c.depth + 1 from closed c join elements e on e.refno = c.anc where e.owner is not null) select c.refno, arg_min(c.anc, c.depth) as root, min(c.depth) as depth from closed c join elements e on e.refno = c.anc and e.noun in ('EQUI', 'ZONE') group by c.refno",
     "siblings": f"with {_ELEMENTS} select refno, row_number() over w as ordinal, row_number() over (partition by owner, noun order by seq, refno) as same_noun_ordinal, lag(refno) over w as prev, lead(refno) over w as next, first_value(refno) over (partition by owner order by seq, refno rows between unbounded preceding and unbounded following) as first_child, last_value(refno) over (partition by owner order by seq, refno rows between unbounded preceding and unbounded following) as last_child from elements where owner is not null window w as (partition by owner order by seq, refno)",
     "neighbours_skipping": f"with {_ELEMENTS} select refno, last_value(case when seq % 3 <> 0 then refno end ignore nulls) over (partition by owner order by seq, refno rows between unbounded preceding and 1 preceding) as prev_kept, first_value(case when seq % 3 <> 0 then refno end ignore nulls) over (partition by owner order by seq, refno rows between 1 following and unbounded following) as next_kept from elements where owner is not null",
     "refno_forms": "select n_nationkey, (cast(n_regionkey as bigint) << 32) | n_nationkey as refno, n_regionkey || '_' || n_nationkey as text from nation",
@@ -257,11 +289,27 @@ SQL = {
  x as (select new as root, net = 'A' as a, false as d, net = 'M' as m, net = 'M' and coalesce(old <> new, false) as i, false as o from j union all select old, false, net = 'D', net = 'M' and coalesce(old <> new, false), false, net = 'M' and coalesce(old <> new, false) from j)
  select cast(root as bigint) as root, count(*) filter (a) as added, count(*) filter (d) as deleted, count(*) filter (m) as modified, count(*) filter (i) as moved_in, count(*) filter (o) as moved_out from x where a or d or m or i or o group by 1""",
     "as_of": "with o as (select o_custkey as k, o_orderdate as t, max(o_orderkey) as o_orderkey from orders group by 1, 2) select e.event_id, o.o_orderkey from events e asof left join o on e.user_id = o.k and e.ts >= o.t",
+    "site_rollup": f"""with recursive changes as (select case when event_id // 100 % 2 = 0 then user_id else user_id + {9 * LEVEL} end as refno, event_id // 100 as sesno, event_id as seq, case event_id % 5 when 0 then 'A' when 4 then 'D' else 'M' end as op from events), {_NET}
+ select case when r_regionkey is null then '' else cast({LEVEL} + r_regionkey as varchar) end as id, case when r_regionkey is null then 'SITE unknown' else any_value(r_name) end as name, count(*) filter (net = 'A') as added, count(*) filter (net = 'D') as deleted, count(*) filter (net = 'M') as modified, 0::bigint as moved_in, 0::bigint as moved_out
+ from net left join customer on c_custkey = refno left join nation on n_nationkey = c_nationkey left join region on r_regionkey = n_regionkey where net <> 'C' group by r_regionkey""",
+    "net_details": f"with recursive {_CHANGES}, {_NET} select net.*, net <> 'C' and s as model_affecting from net join (select user_id as refno, bool_or(event_id % 3 = 0) as s from events group by 1) using (refno)",
+    "fold_attributes": f"""with {_CHANGES}, m as (select *, case when op = 'M' and coalesce(lag(op) over w, '') <> 'M' then 1 else 0 end as start from changes window w as (partition by refno order by sesno, seq)), r as (select *, cast(sum(start) over (partition by refno order by sesno, seq) as bigint) as run from m),
+ k as (select r.*, event_type as name, case seq % 3 when 0 then 'added' else 'deleted' end as kind from r join events on event_id = seq where r.op = 'M')
+ select refno, run, max(max(sesno)) over (partition by refno, run) as sesno, max(max(seq)) over (partition by refno, run) as seq, 'own' as namespace, name, arg_max(kind, seq) as kind, cast(refno as varchar) as old, cast(max(seq) as varchar) as new from k group by refno, run, name""",
+    "nested_boxes": f"with {_POINTS}, large as (select label, min(cast(embedding[1] as double)) as min_x, max(cast(embedding[1] as double)) as max_x, min(cast(embedding[2] as double)) as min_y, max(cast(embedding[2] as double)) as max_y, min(cast(embedding[3] as double)) as min_z, max(cast(embedding[3] as double)) as max_z from embeddings group by 1) select id as left_id, label as right_id from points join large on x + 0.01 >= min_x and x - 0.01 <= max_x and y + 0.01 >= min_y and y - 0.01 <= max_y and z + 0.01 >= min_z and z - 0.01 <= max_z",
+    "room_members": f"""with {_POINTS}, pairs as (select p.id as element, c.id as room, p.x - c.x as dx, p.y - c.y as dy, p.z - c.z as dz,
+ p.x - 0.05::double >= c.x - 0.2::double and p.x - 0.05::double <= c.x + 0.2::double as x0, p.x + 0.05::double >= c.x - 0.2::double and p.x + 0.05::double <= c.x + 0.2::double as x1,
+ p.y - 0.05::double >= c.y - 0.2::double and p.y - 0.05::double <= c.y + 0.2::double as y0, p.y + 0.05::double >= c.y - 0.2::double and p.y + 0.05::double <= c.y + 0.2::double as y1,
+ p.z - 0.05::double >= c.z - 0.2::double and p.z - 0.05::double <= c.z + 0.2::double as z0, p.z + 0.05::double >= c.z - 0.2::double and p.z + 0.05::double <= c.z + 0.2::double as z1,
+ greatest(abs(p.x - 0.04::double - c.x), abs(p.y - 0.04::double - c.y), abs(p.z - 0.04::double - c.z)) <= 0.2::double or greatest(abs(p.x + 0.04::double - c.x), abs(p.y + 0.04::double - c.y), abs(p.z + 0.04::double - c.z)) <= 0.2::double as point
+ from points p join points c on p.id % 2 = 0 and c.id % 2 = 1 and abs(p.x - c.x) < 0.3 and abs(p.y - c.y) < 0.3 and abs(p.z - c.z) < 0.3),
+ e as (select element, room, (x0::int + x1::int) * (y0::int + y1::int) * (z0::int + z1::int) as inside_count, round(sqrt(dx * dx + dy * dy + dz * dz), 6) as center_dist, point from pairs)
+ select element, room, inside_count, center_dist from e where inside_count = 8 or (inside_count > 0 and point) qualify row_number() over (partition by element order by inside_count desc, center_dist, 'R' || room) = 1""",
     "range_rules": "select p_partkey, band from part join (values " + ", ".join(map(str, _BANDS)) + ") as r(lo, hi, band) on p_size between lo and hi",
     "box_overlap": f"with {_POINTS}, {_BOXES} select l.id as left_id, r.id as right_id from boxes l join boxes r on l.h = 0.05 and r.h = 0.2 and l.id % 2 = 0 and r.id % 2 = 1 and greatest(l.min_x, r.min_x) <= least(l.max_x, r.max_x) and greatest(l.min_y, r.min_y) <= least(l.max_y, r.max_y) and greatest(l.min_z, r.min_z) <= least(l.max_z, r.max_z)",
     "nearest_level": "with f as (select p_brand, p_retailprice as level, min(p_partkey) as floor from part where p_partkey % 10 = 0 group by 1, 2) select p_partkey, floor, level from part p asof left join f on p.p_brand = f.p_brand and p.p_retailprice >= f.level",
-    "within_radius": f"with {_POINTS} select p.id, c.id as centre, round(sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2 + (p.z - c.z) ** 2), 6) as dist from points p join points c on c.id % 50 = 0 and sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2 + (p.z - c.z) ** 2) <= 0.4",
-    "reverse_closure": f"with s as (select unnest([1, 2, 3]) as p), l as (select distinct l_orderkey as o from lineitem where l_partkey in (select p from s)), c as (select distinct o_custkey as c from orders where o_orderkey in (select o from l)) select {6 * LEVEL} + p as refno, 0 as hops from s union all select {4 * LEVEL} + o, 1 from l union all select {3 * LEVEL} + c, 2 from c",
+    "within_radius": f"with {_POINTS} select p.id, c.id as centre, round(sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2 + (p.z - c.z) ** 2), 6) as dist from points p join points c on sqrt((p.x - c.x) ** 2 + (p.y - c.y) ** 2 + (p.z - c.z) ** 2) <= 0.2",
+    "reverse_closure": f"with s as (select unnest([1, 2, 3]) as p), l as (select distinct l_orderkey as o from lineitem where l_partkey in (select p from s)), c as (select distinct o_custkey as c from orders where o_orderkey in (select o from l)) select {6 * LEVEL} + p as refno, 0 as hops, false as truncated from s union all select {4 * LEVEL} + o, 1, false from l union all select {3 * LEVEL} + c, 2, false from c",
     "golden_compare": "select p_partkey, case when p_partkey % 7 = 0 then 'missing' when p_partkey % 11 = 0 then 'extra' when p_partkey % 5 = 0 then 'changed' else 'same' end as verdict from part where p_partkey % 7 <> 0 or p_partkey % 11 <> 0",
     "ordered_rules": "select p_partkey, case when contains(p_type, 'BRASS') or contains(p_name, 'brass') then 'brass' when p_size > 40 then 'large' when p_size > 20 then 'middle' else 'small' end as kind from part",
     "page": "select o_orderkey, o_totalprice, (select count(*) from orders) as total, (select count(*) from orders) > 60 as truncated from orders order by o_totalprice desc, o_orderkey limit 20 offset 40",
@@ -271,5 +319,7 @@ SQL = {
     "with_large_orders": "select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 200000)",
     "crowded_groups": "select p_brand, p_size, count(*) as n from part group by 1, 2 having count(*) > 1",
     "overlay": "with b as (select p_partkey as k, p_size as v from part where p_partkey % 4 <> 0), p as (select p_partkey as k, p_size + 100 as w, p_partkey % 9 = 0 as gone from part where p_partkey % 3 = 0) select k, coalesce(w, v) as v from b full join p using (k) where not coalesce(gone, false)",
+    "array_functions": """with l as (select n_nationkey, range(n_regionkey, n_regionkey + 4) as xs, [n_nationkey, 2, 2] as ys, n_regionkey as r from nation), t as (select *, list_distinct(xs || ys) as u, list_distinct(list_filter(xs, lambda x: not list_contains(ys, x))) as c, list_distinct(list_filter(xs, lambda x: list_contains(ys, x))) as i, list_distinct(ys) as d from l)
+ select n_nationkey, array_to_string(list_sort(u), ',') as u, array_to_string(list_sort(c), ',') as c, array_to_string(list_sort(i), ',') as i, array_to_string(list_sort(d), ',') as d, case when r <= 2 then 2 - r end as at from t""",
     "text_functions": "select n_nationkey, right(n_name, 3) as tail, substr(n_name, 2, 2) as mid, try_cast(left(n_name, 1) as double) is not null as num, n_name like '%A%' as has_a from nation",
 }

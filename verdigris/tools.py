@@ -1,8 +1,10 @@
 """Named query tools: tools.run(name, model, **arguments) -> DataFrame.
 
 A Model names the tables that the tools read; a tool that needs a table that is not given raises DB_UNAVAILABLE.  Each
-tool filters by the ids it is asked for, so that the filter reaches the scan.  Errors carry a code: INVALID_ARGUMENT,
-NOT_FOUND or DB_UNAVAILABLE.
+tool filters by the ids it is asked for, so that the filter reaches the scan.  Without a closure, the tools that follow
+owners climb from the one element, and go down from it level by level.  Errors carry a code: INVALID_ARGUMENT,
+NOT_FOUND, DB_UNAVAILABLE, CHAIN_INCOMPLETE (an owner is missing), PARSE_ERROR (a value is not what its kind asks for) or
+ATTR_NOT_APPLICABLE (the element has no such attribute).
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.operators import impact, instances
+from verdigris.operators import impact, instances, tree
 
 
 class ToolError(ValueError):
@@ -57,22 +59,39 @@ def _one(table: DataFrame, refno: int, column: str = "refno") -> DataFrame:
     return table.where(F.col(column) == refno)
 
 
+def _up(m: Model, refno: int, max_hops: int = 64) -> DataFrame:
+    return _one(m.closed, refno) if m.closed is not None else tree.climb(m.table("elements"), refno, max_hops)
+
+
+def _down(m: Model, refno: int) -> DataFrame:
+    return _one(m.closed, refno, "anc") if m.closed is not None else tree.below(m.table("elements"), refno)
+
+
 def identity(m: Model, refno: int) -> DataFrame:
     return _one(m.table("elements"), refno).select("refno", "noun", "name")
 
 
-def owner_chain(m: Model, refno: int, max_hops: int = 64) -> DataFrame:
-    """The element and its owners upward; complete tells that the last one has no owner, truncated that hops ran out."""
-    up = _one(m.table("closed"), refno)
+def owner_chain(m: Model, refno: int, max_hops: int = 64, strict: bool = False) -> DataFrame:
+    """The element and its owners upward; complete tells that the last one has no owner, truncated that hops ran out.
+    strict: an owner that is missing is an error."""
+    up = _up(m, refno, max_hops)
     chain = up.where(F.col("depth") <= max_hops).join(m.table("elements").select(F.col("refno").alias("anc"), "owner", "noun", "name"), "anc")
     ends = chain.agg(F.max_by(F.col("owner").isNull(), "depth").alias("complete"))
     cut = up.agg((F.coalesce(F.max("depth"), F.lit(0)) > max_hops).alias("truncated"))
+    if strict and not ends.first()["complete"] and not cut.first()["truncated"]:
+        raise ToolError("CHAIN_INCOMPLETE", str(refno))
     return chain.select("depth", F.col("anc").alias("refno"), "noun", "name").join(F.broadcast(ends)).join(F.broadcast(cut))
 
 
 def attributes(m: Model, refno: int, keys: list[str] | None = None) -> DataFrame:
     rows = _one(m.table("attributes"), refno)
-    return (rows.where(F.col("key").isin(*keys)) if keys else rows).select("key", "value")
+    if not keys:
+        return rows.select("key", "value")
+    found = rows.where(F.col("key").isin(*keys)).select("key", "value")
+    known = {r["key"] for r in found.select("key").distinct().collect()}
+    if missing := [k for k in keys if k not in known]:
+        raise ToolError("ATTR_NOT_APPLICABLE", ", ".join(missing))
+    return found
 
 
 def members(m: Model, refno: int, limit: int = 100, start: int = 0) -> DataFrame:
@@ -82,8 +101,12 @@ def members(m: Model, refno: int, limit: int = 100, start: int = 0) -> DataFrame
 
 
 def transform(m: Model, refno: int) -> DataFrame:
-    """World matrix: the product of the owners' matrices from the top down to the element."""
-    up = _one(m.table("closed"), refno).join(m.table("transforms").select(F.col("refno").alias("anc"), "matrix"), "anc")
+    """World matrix: the product of the owners' matrices from the top down to the element.  A matrix that has not sixteen
+    numbers is an error."""
+    bad = _up(m, refno).join(m.table("transforms").where("size(matrix) <> 16 or exists(matrix, x -> x is null)").select(F.col("refno").alias("anc")), "anc", "left_semi")
+    if found := bad.select("anc").first():
+        raise ToolError("PARSE_ERROR", f"matrix of {found['anc']}")
+    up = _up(m, refno).join(m.table("transforms").select(F.col("refno").alias("anc"), "matrix"), "anc")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("level"), "matrix"))), lambda s: s["matrix"])
     return up.groupBy("refno").agg(instances.compose(ordered).alias("matrix"))
 
@@ -102,7 +125,7 @@ def room_lookup(m: Model, refno: int) -> DataFrame:
 
 
 def generation_root(m: Model, refno: int) -> DataFrame:
-    return impact.generation_roots(m.table("elements"), _one(m.table("closed"), refno))
+    return impact.generation_roots(m.table("elements"), _up(m, refno))
 
 
 def change_impact(m: Model, refno: int) -> DataFrame:
@@ -117,7 +140,7 @@ def pending_units(m: Model, action: str | None = None, limit: int = 100) -> Data
 
 def spatial_bounds(m: Model, refno: int) -> DataFrame:
     """The box around the usable boxes of the element's subtree."""
-    below = _one(m.table("closed"), refno, "anc").select("refno", F.col("anc").alias("root"))
+    below = _down(m, refno).select("refno", F.col("anc").alias("root"))
     return instances.union_boxes(m.table("boxes").join(below, "refno"), "root")
 
 
