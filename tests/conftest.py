@@ -10,7 +10,6 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "6g")
-        .config("spark.sql.sources.parallelPartitionDiscovery.threshold", "1000")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
