@@ -65,6 +65,7 @@ def test_hot_sets_and_signatures(spark, monkeypatch):
 
     monkeypatch.setattr(hot, "HOT_KEYS", 20)
     monkeypatch.setattr(hot, "SMALL", 0)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(components, "FEW", 0)
     rng = np.random.default_rng(6)
     base = [f"w{i}" for i in range(80)]

@@ -13,8 +13,8 @@ one before, and a row is also dealt by the next class's blocks where a partner c
 empty in a row may be empty in its partner too: as these need not be seen to agree, a row needs as many fewer.  They are
 only written for rows so uneven that nothing else need agree; then the partner is as uneven and writes them too.
 
-Digests and signatures that hold a large share of all rows are joined by broadcast of these few keys, others by shuffle;
-of a set with very many copies one row stands for all.  A signature that meets many row blocks is a product of rows and
+Digests and signatures that hold a large share of all rows are joined by broadcast of these few keys, others by
+shuffle.  A signature that meets many row blocks is a product of rows and
 blocks, which adaptive execution splits.
 
 A null, empty or wordless text has an empty set, is linked with nothing and is its own component.  Repeated rows of an
@@ -43,8 +43,8 @@ _GOLD = _U(0x9E3779B97F4A7C15)
 STEP_BYTES = 1 << 20
 #: Weight of a row block: a row weighs its elements and ROW more.
 BLOCK, ROW = 150_000, 256
-#: Rows of a table that may be broadcast: a million longs are 16 MB on an executor.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a table that may be broadcast: 2 million longs are 32 MB on an executor.
+BROADCAST_ROWS = 2_000_000
 #: Columns with fewer rows than this are multiplied pair by pair, others as a dense block.
 DENSE = 8
 
@@ -238,13 +238,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     rows = scratch.keep(docs.mapInArrow(_rows(k, percent), "doc_id bigint, n int, k1 bigint, k2 bigint, again boolean, class int, need int, sigs array<bigint>"), "rows")
     same = scratch.keep(rows.where("n > 0 and not again").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "same")
 
-    # of sets with very many copies, only the representative's row is dealt
-    limit = (same.agg(F.sum("copies")).first()[0] or 0) // hot.HOT_KEYS
-    many = same.where(F.col("copies") > max(limit, 1)).select("k1", "k2", "rep") if limit else same.limit(0).select("k1", "k2", "rep")
-    dealt = rows.join(F.broadcast(many), ["k1", "k2"], "left").where("rep is null or doc_id = rep").drop("rep")
-    shared = dealt.select("k1", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("sig", "rows")
+    shared = rows.select("k1", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("sig", "rows")
     shared = scratch.keep(shared, "shared")
-    agree = hot.join_unique(dealt.select("k1", "k2", "n", "class", "need", F.explode("sigs").alias("sig")), shared, ["sig"], "rows")
+    agree = hot.join_unique(rows.select("k1", "k2", "n", "class", "need", F.explode("sigs").alias("sig")), shared, ["sig"], "rows", small=BROADCAST_ROWS)
     enough = agree.groupBy("k1", "k2", "class", "need").agg(F.collect_set("sig").alias("sigs"), F.first("n").alias("n")).where("size(sigs) >= need")
     kept = scratch.keep(enough.join(same, ["k1", "k2"]).select("rep", "n", "class", "need", F.explode("sigs").alias("sig")), "kept")
     named = rows.where("not again").select("doc_id", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), F.when(F.col("n") > 0, F.col("k2")).alias("k2"))
@@ -254,7 +250,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # Row blocks: rows whose least partner is the same stay together, as far as a block holds them.
     least = kept.groupBy("sig").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("rows")).where("least < most").drop("most")
     least = scratch.keep(least, "least")
-    near = hot.join_unique(kept, least, ["sig"], "rows")
+    near = hot.join_unique(kept, least, ["sig"], "rows", small=BROADCAST_ROWS)
     members = scratch.keep(near.groupBy("rep").agg(F.min("least").alias("pivot"), (F.max("n") + ROW).alias("weight")), "members")
     light = max(1, -(-(members.agg(F.sum("weight")).first()[0] or 0) // BLOCK))
     of_pivot = members.groupBy("pivot").agg(F.sum("weight").alias("total"))
