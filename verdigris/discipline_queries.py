@@ -70,7 +70,7 @@ def q_duct_pieces(spark, d):
         "frames": frames,
         "frame_weight": ducts.frame_weight(a["shape"], a["class"], frames, a["w"], a["h"]),
     }
-    return n.select("branch", "seq", ducts.bend_nuts(a["shape"], a["material"], a["angle"], a["w"], a["h"]).alias("nuts"), *(F.round(c, 4).alias(k) for k, c in numbers.items()))
+    return n.select("branch", "seq", ducts.bend_nuts(a["shape"], a["material"], a["angle"], a["w"], a["h"]).alias("nuts"), *(F.round(c, 8).alias(k) for k, c in numbers.items()))
 
 
 def q_gaskets(spark, d):
@@ -216,9 +216,9 @@ SQL = {
  k as (select *, case when s <> 0 or c = 3 or side <= case when c = 2 then 600 else 800 end then 0 when side <= case when c = 2 then 1800 else 2000 end then case when m = 6 then 0 else (around + case when c = 0 then 82 else 83 end) / 500 end when c = 1 and m = 6 then 0 else (around + 103) * (len / 800 - 0.5::double) / 500 end as frames from e)
  select branch, seq, case when s <> 0 or m = 6 or band = 0 or g <= 30 then 0 when g > 60 then case when w < 900 then [3, 6, 9][band] when w < 1400 then [11, 10, 13][band] when w < 2000 then [19, 14, 0][band] else [27, 18, 21][band] end
   else case when w < 600 then [3, 6, 6][band] when w < 900 then [11, 10, 13][band] when w < 1200 then [11, 14, 17][band] when w < 1500 then [27, 18, 21][band] else [35, 22, 25][band] end end as nuts,
- round(case s when 0 then round((w + h * 2) * 2 / 1000, 2) when 1 then round((w + f * 2) * 3.14::double / 1000, 2) else 0 end, 4) as taper_1, round(case s when 0 then round((q + o * 2) * 2 / 1000, 2) when 1 then round((q + o * 2) * 3.14::double / 1000, 2) else 0 end, 4) as taper_2, round(flexible, 4) as flexible,
- round(case when m = 6 then 0 when s = 0 then case when b and t then holes * 4 when b then holes * 3 when t then (holes + 1.5::double) * 3 else holes * 2 end when s = 1 then case when b and t then (flexible + 75) / 150 when b then (f + 75) / 150 * 0.75::double when t then (flexible + 75) / 150 * 0.75::double else (flexible + 75) / 150 / 2 end else 0 end, 4) as bolts,
- round(case when m between 1 and 6 and o > 0 then o / 2 end, 4) as thickness, round(frames, 4) as frames, round(case when s = 0 and c < 3 then frames * case when (c = 0 and side > 2000) or (c = 2 and side > 1800) then 3.77::double else 2.422::double end else 0 end, 4) as frame_weight from k""",
+ round(case s when 0 then round((w + h * 2) * 2 / 1000, 2) when 1 then round((w + f * 2) * 3.14::double / 1000, 2) else 0 end, 8) as taper_1, round(case s when 0 then round((q + o * 2) * 2 / 1000, 2) when 1 then round((q + o * 2) * 3.14::double / 1000, 2) else 0 end, 8) as taper_2, round(flexible, 8) as flexible,
+ round(case when m = 6 then 0 when s = 0 then case when b and t then holes * 4 when b then holes * 3 when t then (holes + 1.5::double) * 3 else holes * 2 end when s = 1 then case when b and t then (flexible + 75) / 150 when b then (f + 75) / 150 * 0.75::double when t then (flexible + 75) / 150 * 0.75::double else (flexible + 75) / 150 / 2 end else 0 end, 8) as bolts,
+ round(case when m between 1 and 6 and o > 0 then o / 2 end, 8) as thickness, round(frames, 8) as frames, round(case when s = 0 and c < 3 then frames * case when (c = 0 and side > 2000) or (c = 2 and side > 1800) then 3.77::double else 2.422::double end else 0 end, 8) as frame_weight from k""",
     "gaskets": f"""with {_PARTS}, a as (select *, {_DUCT_NOUN} as noun, p % 5 < 2 as flex, (p % 40)::double as f from parts), n as (select *, coalesce(lag(noun) over x, '') as pn, coalesce(lead(noun) over x, '') as nn, coalesce(lag(flex) over x, false) as pf, coalesce(lead(flex) over x, false) as nf from a window x as (partition by branch order by seq)),
  k as (select *, case when pf and nf then 1 when pf then 2 when nf and pn not in ('DAMP', 'MESH') then 3 when nf and pn = 'DAMP' then 4 when nf then 5 when pn <> 'MESH' and nn in ('DAMP', 'MESH') then 6 when nn = 'MESH' or (pn not in ('DAMP', 'MESH') and nn <> 'DAMP') then 7 when pn in ('DAMP', 'MESH') and nn not in ('DAMP', 'MESH') then 8 else 9 end as c, (q + f * 8) / 1000 as frame, (q + f * f * 8) / 1000 as square from n)
  select branch, seq, round(case when p % 7 = 6 then 0 when p % 3 = 0 then case c when 1 then frame when 2 then frame / 2 when 3 then square when 4 then square when 5 then frame / 2 when 6 then frame when 7 then frame * 0.75::double when 8 then frame * 0.75::double else 0 end
