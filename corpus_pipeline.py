@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm import jaccard_join, mixing, packing, quality_rules, secret_scan
@@ -21,14 +22,38 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_documents(docs, "v1")
 
 
+def _placed(docs: DataFrame) -> DataFrame | None:
+    """(file, at, doc) of a table as it was read from Parquet; None of any other."""
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return None
+    # the columns of docs stand apart, whatever they are called
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    try:
+        place = docs.metadataColumn("_metadata")
+        return docs.select(place.getField("file_path").alias("file"), place.getField("row_index").alias("at"), whole)
+    except AnalysisException:
+        return None
+
+
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, doc): every row of docs, as a struct, under a number of its own that each read finds again: its file's number
+    (below 2^23) and its place in the file (below 2^40).  The table is not copied, unless docs is no Parquet table as
+    read.  The window has one row for each file."""
+    placed = _placed(docs)
+    if placed is None:
+        placed = _placed(scratch.keep(docs, "documents"))
+    files = scratch.keep(placed.select("file").distinct().select("file", F.row_number().over(Window.orderBy("file")).alias("no")), "files")
+    if bounded(files, jaccard_join.BROADCAST_ROWS):
+        files = F.broadcast(files)
+    return placed.join(files, "file").select((F.shiftleft(F.col("no").cast("bigint"), 40) + F.col("at")).alias("row"), "doc")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8), one row: the one with the least id, or any of them where that id's
     row is repeated or the group has null ids only.  Groups are of rows, each under a number of its own, so that null ids
     and repeated ids tell no rows apart or together; a row without words is a group of its own."""
     scratch = Scratch(spark)
-    # the columns of docs stand apart, whatever they are called
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
-    rows = scratch.keep(docs.select(F.monotonically_increasing_id().alias("row"), whole), "documents")
+    rows = numbered(docs, scratch)
     groups = jaccard_join.jaccard_components(rows.select(F.col("row").alias("doc_id"), "doc.text"), k=5, percent=80)
     named = groups.select(F.col("doc_id").alias("row"), "component_id").join(rows.select("row", "doc.doc_id"), "row")
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first"))
