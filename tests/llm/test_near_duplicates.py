@@ -1,6 +1,7 @@
 """The pipeline keeps one row of each group of near copies, whatever the ids are."""
 
 import corpus_pipeline
+from verdigris.plans.scratch import Scratch
 
 WORDS = " ".join(f"w{i}" for i in range(60))
 NEAR = WORDS.replace("w59", "x59")
@@ -30,3 +31,17 @@ def test_columns_of_the_same_names(spark):
     docs = spark.createDataFrame(rows, NAMES + ", row string, doc string")
     out = corpus_pipeline.near_duplicates(spark, docs, "")
     assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [rows[0], rows[2]]
+
+
+def test_numbers_of_rows(spark, tmp_path):
+    """Every read of a table finds the same numbers, all different, over several files and with clashing names."""
+    rows = [(i % 7, f"t{i}", i, "mine", "file") for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string, row long, _metadata string, file string").repartition(4).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    out = corpus_pipeline.numbered(docs, Scratch(spark))
+    first = {r["row"]: tuple(r["doc"]) for r in out.collect()}
+    assert sorted(first.values()) == sorted(rows) and len(first) == 100
+    assert {r["row"]: r["text"] for r in out.select("row", "doc.text").repartition(3).collect()} == {k: v[1] for k, v in first.items()}
+    # a table that is no Parquet table as read is written first
+    again = corpus_pipeline.numbered(docs.union(docs), Scratch(spark))
+    assert again.select("row").distinct().count() == again.count() == 200
