@@ -43,13 +43,14 @@ def odd_dir(spark, tmp_path_factory):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, n_words int, kept string").write.parquet(f"{d}/documents.parquet")
     turns = [(1, 0, "user", "a"), (1, 1, "assistant", None), (1, 1, "assistant", "b"), (2, None, None, "x"), (3, 0, "us\ner<s>", ODD[10]), (None, 0, "user", "q")]
     spark.createDataFrame([(*t, 9, 1) for t in turns], "conv_id long, turn long, role string, text string, valid int, turns int").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([(1, [0.5, 1.0], 3)], "vec_id long, embedding array<float>, component int").write.parquet(f"{d}/embeddings.parquet")
     return str(d)
 
 
 @pytest.fixture(scope="module")
 def empty_dir(spark, odd_dir, tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         spark.read.parquet(f"{odd_dir}/{t}.parquet").limit(0).write.parquet(f"{d}/{t}.parquet")
     return str(d)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import chat_format, jaccard_join, language_id, media, mixing, packing, pii, quality_rules, secret_scan, spans, token_counts
+from verdigris.llm import chat_format, jaccard_join, language_id, license_scan, media, mixing, packing, pii, quality_rules, secret_scan, spans, spelling, token_counts, whitening
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +81,33 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spans.told("spans", secret_scan.BASE, by_start=True), 256).alias("base_sha256"), spans.told("spans", secret_scan.KINDS, by_start=True).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_best_fit_packing, op4_quality_rules, op5_pii, op6_mixing, op7_media_columns, op8_token_counts, op9_ngram_jaccard_join, op10_secret_scan)}
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan_licenses(_documents(spark, sf_dir))
+    base = F.filter("places", lambda p: p["base"])
+    starts = F.transform(base, lambda p: p["start"])
+
+    def labels(places):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(places, lambda p: p["label"]))), ",")
+
+    score = F.coalesce(F.array_max(F.transform("places", lambda p: p["weight"])), F.lit(0.0))
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("bigint").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("places")).alias("labels"),
+        score.alias("score"),
+    )
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), keep=4)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_language_id, op3_best_fit_packing, op4_quality_rules, op5_pii, op6_mixing, op7_media_columns, op8_token_counts, op9_ngram_jaccard_join, op10_secret_scan, op11_license_scan, op12_embedding_whitening, op13_spelling_variants)}
