@@ -14,7 +14,9 @@ ends of runs, never again within one.  Repeated rows are searched like any row.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "local")
@@ -89,6 +91,13 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(last, at + 1))
 
 
+def _apart(numbers: list[tuple[str, int, int]], spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Numbers that overlap no span.  Of the spans that start before a number's end, the greatest end decides."""
+    by_start = sorted((s, e) for _, s, e in spans)
+    starts, ends = [s for s, _ in by_start], list(accumulate((e for _, e in by_start), max))
+    return [n for n in numbers if not (k := bisect_left(starts, n[2])) or ends[k - 1] <= n[1]]
+
+
 def find(text: str) -> list[tuple[str, int, int, float]]:
     spans = [("email", s, e) for s, e in emails(text)]
     # a long run of digits is no address part
@@ -100,7 +109,7 @@ def find(text: str) -> list[tuple[str, int, int, float]]:
     spans += [("iban", m.start(), m.end()) for m in _IBAN.finditer(text) if mod97(m[0].replace(" ", ""))]
     numbers = [("local", m.start(), m.end()) for m in _NUMBER.finditer(text)]
     if numbers:
-        spans += [n for n in numbers if not any(s < n[2] and n[1] < e for _, s, e in spans)]
+        spans += _apart(numbers, spans)
     out = []
     for kind, s, e in spans:
         score = SCORES[kind]

@@ -32,7 +32,8 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    # a row without an id is held out: nothing is learned from it
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
     model = language_id.fit(docs.where(~held_out).select("doc_id", "text", "lang"))
     return language_id.predict_languages(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 

@@ -9,6 +9,7 @@ does by its defaults; else their strings in a text are ordinary text.
 from __future__ import annotations
 
 import json
+import re
 from functools import cache
 
 import numpy as np
@@ -43,8 +44,28 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: White space as the pattern means it, in runs of two and more; and how long a run is a piece of its own here.
+_BLANKS = re.compile(r"[\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{2,}")
+LONG = 100_000
+
+
 def ids(path: str, text: str | None, added: bool = False) -> np.ndarray:
     """added: strings of added tokens are these tokens.  Very long words take time beyond proportion in merging, so
-    nothing but the pattern and the added tokens cuts a text."""
-    e = encoder(path)
-    return np.array(e.encode(text or "", allowed_special="all") if added else e.encode_ordinary(text or ""), np.uint32)
+    nothing but the pattern and the added tokens cuts a text.  The pattern takes a run of white space as one piece, all
+    of it at the end of what it reads (a text, or what stands before an added token), else all but its last character;
+    its look-ahead overflows on very long runs, so those of LONG and more are cut out by this rule and merged alone."""
+    e, text = encoder(path), text or ""
+
+    def part(s: str) -> list[int]:
+        return e.encode(s, allowed_special="all") if added else e.encode_ordinary(s)
+
+    if len(text) < LONG:
+        return np.array(part(text), np.uint32)
+    out, at = [], 0
+    for m in _BLANKS.finditer(text):
+        if m.end() - m.start() >= LONG:
+            ends = m.end() == len(text) or (added and any(text.startswith(s, m.end()) for s in e.special_tokens_set))
+            stop = m.end() if ends else m.end() - 1
+            out += [part(text[at : m.start()]), e._encode_single_piece(text[m.start() : stop])]
+            at = stop
+    return np.array([i for ids_ in (*out, part(text[at:])) for i in ids_], np.uint32)
