@@ -1,8 +1,9 @@
 """Spelling variants of a corpus's words, by full neighbourhood generation.
 
 Words are counted over whole texts; then every word emits all distinct strings that one deletion, replacement or
-insertion over the observed alphabet makes of it, and these meet the vocabulary by an equi-join on the string itself.  A
-string that is found is a near word by construction, so no distance is ever computed.  The alphabet has at most 90 letters
+insertion over the observed alphabet makes of it, as 64-bit keys, and these meet the vocabulary by an equi-join; of those
+that meet, the string is made and must be the vocabulary's.  It is a near word by construction, so no distance is ever
+computed.  The alphabet has at most 90 letters
 (a to z and U+00C0 to U+00FF), so a word of L letters has at most L + 90 L + 91 (L + 1) candidates.
 
 Null and empty texts have no words; a null id is written as nothing before the colon; repeated rows count again.  Of ties
@@ -16,8 +17,9 @@ from collections import Counter
 from collections.abc import Iterator
 from math import ceil
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.plans.scratch import Scratch, bounded
@@ -26,7 +28,7 @@ from verdigris.plans.scratch import Scratch, bounded
 BROADCAST_ROWS = 2_000_000
 #: Words whose candidates one task makes.
 TASK_WORDS = 2_000
-#: Distinct words that a task holds before it hands its counts on.
+#: Distinct words, or keys of candidates, that a task holds before it hands them on.
 HELD = 200_000
 
 
@@ -77,31 +79,94 @@ def vocabulary(docs: DataFrame, least_chars: int = 5, least_n: int = 3) -> DataF
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_n)
 
 
-def neighbours(word: str, alphabet: str) -> set[str]:
-    """All that one deletion, replacement or insertion over the alphabet makes of a word, but itself."""
-    out = set()
-    for i in range(len(word) + 1):
-        head, tail = word[:i], word[i:]
-        out.update([head + a + tail for a in alphabet])
-        if tail:
-            rest = tail[1:]
-            out.add(head + rest)
-            out.update([head + a + rest for a in alphabet])
-    out.discard(word)
+#: Keys of words are polynomials mod 2^64 in BASE, an odd number, over pseudorandom values of the letters.
+_U = np.uint64
+_BASE = 0x9E3779B97F4A7C15
+_VALUES = np.random.default_rng(13).integers(1, 2**63, 256, dtype=np.uint64)
+
+
+def _powers(n: int) -> np.ndarray:
+    return np.array([pow(_BASE, i, 2**64) for i in range(n)], np.uint64)
+
+
+def _sums(letters: np.ndarray, powers: np.ndarray) -> np.ndarray:
+    """letters: words of one length as rows of Latin-1.  Keys of all beginnings, from the empty one to the whole word."""
+    k, n = letters.shape
+    out = np.zeros((k, n + 1), np.uint64)
+    np.cumsum(_VALUES[letters] * powers[:n], axis=1, out=out[:, 1:])
     return out
 
 
+def _rows(words: list[str]) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Words by length: their places, and their letters as rows."""
+    by_length: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        by_length.setdefault(len(w), []).append(i)
+    for n, at in by_length.items():
+        yield at, np.frombuffer("".join(words[i] for i in at).encode("latin-1"), np.uint8).reshape(-1, n)
+
+
+def neighbour_keys(letters: np.ndarray, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all deletions, then replacements, then insertions, the latter two by place and letter, of words of one
+    length; and which of them to leave out, so that each string but the word comes once: of deletions and insertions
+    that make the same string the first is kept."""
+    k, n = letters.shape
+    powers = _powers(n + 1)
+    upto = _sums(letters, powers)
+    after = upto[:, -1:] - upto
+    put = _VALUES[alphabet][None, None, :] * powers[None, :, None]
+    deleted = upto[:, :-1] + after[:, 1:] * _U(pow(_BASE, -1, 2**64))
+    replaced = (upto[:, :-1] + after[:, 1:])[:, :, None] + put[:, :-1]
+    inserted = (upto + after * _U(_BASE))[:, :, None] + put
+    same = letters[:, :, None] == alphabet
+    again = np.zeros((k, n), bool)
+    again[:, 1:] = letters[:, 1:] == letters[:, :-1]
+    # a letter put behind its like makes what it makes before it
+    behind = np.concatenate([np.zeros((k, 1, len(alphabet)), bool), same], axis=1)
+    keys = np.concatenate([deleted, replaced.reshape(k, -1), inserted.reshape(k, -1)], axis=1)
+    return keys.view(np.int64), np.concatenate([again, same.reshape(k, -1), behind.reshape(k, -1)], axis=1)
+
+
+def keyed(words: DataFrame) -> DataFrame:
+    """words: word, n.  Adds key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = np.zeros(batch.num_rows, np.int64)
+            for at, letters in _rows(batch.column(0).to_pylist()):
+                out[at] = _sums(letters, _powers(letters.shape[1] + 1))[:, -1].view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["word", "n", "key"])
+
+    return words.select("word", "n").mapInArrow(run, "word string, n bigint, key bigint")
+
+
 def candidates(words: DataFrame, alphabet: str) -> DataFrame:
-    """words: word, n.  (word, n, near) with every candidate of every word once."""
+    """words: word, n.  (word, n, change, key): the key of every candidate of every word once, and which change makes it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        letters_of = np.frombuffer(alphabet.encode("latin-1"), np.uint8)
         for batch in batches:
-            for at in range(0, batch.num_rows, 100):
-                part = batch.slice(at, 100)
-                made = [list(neighbours(w, alphabet)) for w in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.list_(pa.string()))], ["word", "n", "made"])
+            for places, letters in _rows(batch.column(0).to_pylist()):
+                width = letters.shape[1] + (2 * letters.shape[1] + 1) * len(letters_of)
+                step = max(1, HELD // width)
+                for i in range(0, len(places), step):
+                    keys, out = neighbour_keys(letters[i : i + step], letters_of)
+                    part = batch.take(pa.array(places[i : i + step]))
+                    made = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * width, pa.int32()), pa.array(keys.ravel(), mask=out.ravel()))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), made], ["word", "n", "made"])
+
+    return words.select("word", "n").mapInArrow(run, "word string, n bigint, made array<bigint>").select("word", "n", F.posexplode("made").alias("change", "key")).where("key is not null")
+
 
-    return words.select("word", "n").mapInArrow(run, "word string, n bigint, made array<string>").select("word", "n", F.explode("made").alias("near"))
+def changed(alphabet: str) -> Column:
+    """The string that a change makes of a word."""
+    n, size = F.length("word"), len(alphabet)
+    kept = F.col("change") - n  # from 0: replacements, then insertions
+    puts = F.when(kept < n * size, kept).otherwise(kept - n * size)
+    at = F.when(kept < 0, F.col("change")).otherwise(F.floor(puts / size)).cast("int")
+    letter = F.when(kept < 0, F.lit("")).otherwise(F.substring(F.lit(alphabet), F.pmod(puts, F.lit(size)) + 1, F.lit(1)))
+    gone = F.when(kept < n * size, 1).otherwise(0)
+    return F.concat(F.substring(F.col("word"), F.lit(1), at), letter, F.substring(F.col("word"), at + 1 + gone, n))
 
 
 def _roots(links: DataFrame, scratch: Scratch, small: bool) -> DataFrame:
@@ -126,16 +191,17 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
     counted = scratch.keep(vocabulary(docs), "counted")
     size = counted.count()
     # generation is dealt by number of words, whatever the files of the counts are
-    words = scratch.keep(counted.repartition(max(1, ceil(size / TASK_WORDS)), "word"), "words")
+    words = scratch.keep(keyed(counted.repartition(max(1, ceil(size / TASK_WORDS)), "word")), "words")
     scratch.drop(counted)
     small = bounded(words, BROADCAST_ROWS)
     alphabet = "".join(sorted(r[0] for r in words.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().collect()))
-    known = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
-    met = candidates(words, alphabet).join(F.broadcast(known) if small else known, "near")
+    known = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "key")
+    # equal keys of different strings are told apart by the strings
+    met = candidates(words, alphabet).join(F.broadcast(known) if small else known, "key").where(changed(alphabet) == F.col("near"))
     # the largest n first, then the smallest word
     best = met.groupBy("word", "n").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), "near")).alias("b"))
     form = F.when(-F.col("b.m") >= 2 * F.col("n"), F.col("b.near"))
     near = scratch.keep(best.select("word", "n_near", form.alias("form"), F.when(form.isNotNull(), -F.col("b.m")).alias("form_n")), "near")
     roots = _roots(near.where("form is not null"), scratch, small)
-    out = words.join(near, "word", "left").join(roots, "word", "left")
+    out = words.drop("key").join(near, "word", "left").join(roots, "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).cast("bigint").alias("n_near"), "form_n")
