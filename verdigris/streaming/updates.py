@@ -2,14 +2,15 @@
 
 A batch may come again after a failure: its output folders are named by its id and overwritten, and what it holds is
 gated by the batches before it alone, so a replay writes the same.  A session that is delivered again in another file is
-late by then and is set aside.  What is set aside stays under folder/rejected with its reason.
+late by then and is set aside, and so are operations that come twice within a batch: each (dbnum, sesno, seq, refno)
+counts once.  What is set aside stays under folder/rejected with its reason.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -18,7 +19,7 @@ from verdigris.operators.changes import fold_maps, join_windows
 SCHEMA = "dbnum int, refno bigint, sesno bigint, seq bigint, op string"
 #: Kinds of databases that may begin without a watermark.  Fixed values.
 COLD_START = ("SYST", "DICT", "GLB", "GLOB")
-_CONTROL = "dbnum int, applied_sesno bigint, batch bigint"
+_CONTROL = "dbnum int, applied_sesno bigint, db_type string, path string, batch bigint"
 
 
 def anomalies(files: DataFrame, applied: DataFrame, project: str | None = None) -> DataFrame:
@@ -40,19 +41,23 @@ def anomalies(files: DataFrame, applied: DataFrame, project: str | None = None)
 def gate(batch: DataFrame, applied: DataFrame, kinds: DataFrame | None = None, blocked: DataFrame | None = None) -> DataFrame:
     """batch: rows of SCHEMA.  applied: dbnum, applied_sesno.  kinds: dbnum, db_type.  blocked: dbnum.  Adds reason, null for
     rows that may be applied: broken (no key, session or known operation: a dead letter), blocked, cold (a database of a
-    kind that may not begin without a watermark, where kinds are given) or late (its session is applied already)."""
+    kind that may not begin without a watermark, where kinds are given), late (its session is applied already) or repeated
+(an operation of its session, number and element comes earlier in the batch).  Sides are broadcast by Spark's own check
+of their sizes."""
     known = [batch[c].isNotNull() for c in ("dbnum", "refno", "sesno", "seq")]
     sound = known[0] & known[1] & known[2] & known[3] & F.coalesce(batch["op"].isin("A", "M", "D"), F.lit(False))
-    j = batch.withColumn("__sound", sound).join(F.broadcast(applied.select("dbnum", "applied_sesno")), "dbnum", "left")
+    j = batch.withColumn("__sound", sound).join(applied.select("dbnum", "applied_sesno"), "dbnum", "left")
     stop, cold = F.lit(False), F.lit(False)
     if blocked is not None:
-        j = j.join(F.broadcast(blocked.select("dbnum", F.lit(True).alias("__blocked")).distinct()), "dbnum", "left")
+        j = j.join(blocked.select("dbnum", F.lit(True).alias("__blocked")).distinct(), "dbnum", "left")
         stop = F.coalesce("__blocked", F.lit(False))
     if kinds is not None:
-        j = j.join(F.broadcast(kinds.select("dbnum", F.col("db_type").alias("__kind"))), "dbnum", "left")
+        j = j.join(kinds.select("dbnum", F.col("db_type").alias("__kind")), "dbnum", "left")
         cold = F.col("applied_sesno").isNull() & ~F.coalesce(F.col("__kind").isin(*COLD_START), F.lit(False))
     late = F.coalesce(F.col("sesno") <= F.col("applied_sesno"), F.lit(False))
     reason = F.when(~F.col("__sound"), "broken").when(stop, "blocked").when(cold, "cold").when(late, "late")
+    first = F.row_number().over(Window.partitionBy("dbnum", "sesno", "seq", "refno").orderBy("op"))
+    reason = reason.when((first > 1) & F.col("__sound"), "repeated")
     return j.select(*batch.columns, reason.alias("reason"))
 
 
@@ -71,6 +76,18 @@ def control(spark: SparkSession, folder: str, before: int | None = None) -> Data
     return rows.groupBy("dbnum").agg(F.max("applied_sesno").alias("applied_sesno"))
 
 
+def _known(spark: SparkSession, folder: str, before: int) -> DataFrame:
+    """dbnum, db_type, path, applied_sesno, as `anomalies` asks: kind and path are those of the last batch that knew them."""
+    rows = _read(spark, f"{folder}/control", _CONTROL).where(F.col("batch") < before)
+    at = F.when(F.col("path").isNotNull(), F.col("batch"))
+    return rows.groupBy("dbnum").agg(F.max_by("db_type", at).alias("db_type"), F.max_by("path", at).alias("path"), F.max("applied_sesno").alias("applied_sesno"))
+
+
+def verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """dbnum, verdict, blocked, batch: what `anomalies` said before each batch."""
+    return _read(spark, f"{folder}/verdicts", "dbnum int, verdict string, blocked boolean, batch bigint")
+
+
 def net(spark: SparkSession, folder: str) -> DataFrame:
     """dbnum, refno, net, n_ops, last_sesno: the fold over all batches, as if they had been one."""
     rows = _read(spark, f"{folder}/net", "dbnum int, refno bigint, map array<string>, n_ops bigint, last_sesno bigint, batch bigint")
@@ -83,22 +100,43 @@ def rejected(spark: SparkSession, folder: str) -> DataFrame:
     return _read(spark, f"{folder}/rejected", f"{SCHEMA}, reason string, batch bigint")
 
 
-def start(spark: SparkSession, source: str, folder: str, kinds: DataFrame | None = None, blocked: DataFrame | None = None, publish: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Reads new change files under source and gates each batch by the sessions that earlier ones applied.  Writes what is
-    set aside under folder/rejected, folds of operations under folder/net and applied sessions under folder/control, the latter
-    last; then publish(applied sessions of the batch, its id), if given, which may come more than once for a batch."""
+def start(
+    spark: SparkSession,
+    source: str,
+    folder: str,
+    kinds: DataFrame | None = None,
+    blocked: DataFrame | None = None,
+    publish: Callable[[DataFrame, int], None] | None = None,
+    files: Callable[[], DataFrame] | None = None,
+    project: str | None = None,
+) -> StreamingQuery:
+    """Reads new change files under source and gates each batch by the sessions that earlier ones applied.  files(), if
+    given, lists the databases' files as `anomalies` reads them; it is asked anew before each batch, and databases whose
+    verdict blocks are set aside.  Writes what is set aside under folder/rejected, verdicts under folder/verdicts, folds of
+    operations under folder/net and applied sessions under folder/control, the latter last; then publish(applied sessions of
+    the batch, its id), if given, which may come more than once for a batch."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        gated = gate(batch, control(spark, folder, before=batch_id), kinds, blocked).persist()
+        stopped, seen = None if blocked is None else blocked.select("dbnum"), None
+        if files is not None:
+            listed = files()
+            found = anomalies(listed, _known(spark, folder, batch_id), project)
+            found.write.mode("overwrite").parquet(f"{folder}/verdicts/batch={batch_id}")
+            mine = spark.read.parquet(f"{folder}/verdicts/batch={batch_id}").where("blocked").select("dbnum")
+            stopped = mine if stopped is None else stopped.union(mine)
+            seen = listed.groupBy("dbnum").agg(F.max("db_type").alias("db_type"), F.max("path").alias("path"))
+        gated = gate(batch, control(spark, folder, before=batch_id), kinds, stopped).persist()
         try:
             gated.where("reason is not null").write.mode("overwrite").parquet(f"{folder}/rejected/batch={batch_id}")
             good = gated.where("reason is null")
             folded = fold_maps(good.withColumn("refno", F.struct("dbnum", "refno"))).select("refno.dbnum", "refno.refno", "map", "n_ops", "last_sesno")
             folded.write.mode("overwrite").parquet(f"{folder}/net/batch={batch_id}")
             done = good.groupBy("dbnum").agg(F.max("sesno").alias("applied_sesno"))
+            none = F.lit(None).cast("string")
+            done = done.select("dbnum", "applied_sesno", none.alias("db_type"), none.alias("path")) if seen is None else done.join(seen, "dbnum", "left")
             done.write.mode("overwrite").parquet(f"{folder}/control/batch={batch_id}")
             if publish is not None:
-                publish(spark.read.parquet(f"{folder}/control/batch={batch_id}"), batch_id)
+                publish(spark.read.parquet(f"{folder}/control/batch={batch_id}").select("dbnum", "applied_sesno"), batch_id)
         finally:
             gated.unpersist()
 
