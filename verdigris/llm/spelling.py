@@ -1,7 +1,8 @@
 """Spelling variants of a corpus's words, by full neighbourhood generation.
 
 Words are counted over whole texts; then every word emits all distinct strings that one deletion, replacement or
-insertion over the observed alphabet makes of it, as 64-bit keys, and these meet the vocabulary by an equi-join; of those
+insertion over the observed alphabet makes of it, as 64-bit keys, and these meet the vocabulary by an equi-join, before
+which a map of the vocabulary's keys, of fixed size, leaves out most of those that meet nothing; of those
 that meet, the string is made and must be the vocabulary's.  It is a near word by construction, so no distance is ever
 computed.  The alphabet has at most 90 letters
 (a to z and U+00C0 to U+00FF), so a word of L letters has at most L + 90 L + 91 (L + 1) candidates.
@@ -19,6 +20,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,22 +142,40 @@ def keyed(words: DataFrame) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "word string, n bigint, key bigint")
 
 
-def candidates(words: DataFrame, alphabet: str) -> DataFrame:
-    """words: word, n.  (word, n, change, key): the key of every candidate of every word once, and which change makes it."""
+#: 64-bit parts of the map of the vocabulary's keys: 16 MB, however large the vocabulary is.
+MAP_PARTS = 1 << 21
+
+
+def key_map(words: DataFrame) -> np.ndarray:
+    """words: key.  A bit for each value of a key's first 27 bits, set if a word's key begins so.  Spark folds the bits,
+    and at most MAP_PARTS rows come to the driver."""
+    part = F.shiftrightunsigned("key", 43)
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(key, 37) & 63 as int))")
+    folded = words.groupBy(part.alias("part")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(MAP_PARTS, np.uint64)
+    out[folded.column("part").to_numpy()] = folded.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def candidates(words: DataFrame, alphabet: str, seen: Broadcast) -> DataFrame:
+    """words: word, n.  (word, n, change, key): which change makes a candidate, and its key.  Every candidate of every word
+    is made once; those whose key begins as no word's does can meet none in the join, and are left out before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters_of = np.frombuffer(alphabet.encode("latin-1"), np.uint8)
+        letters_of, bits = np.frombuffer(alphabet.encode("latin-1"), np.uint8), seen.value
         for batch in batches:
             for places, letters in _rows(batch.column(0).to_pylist()):
                 width = letters.shape[1] + (2 * letters.shape[1] + 1) * len(letters_of)
                 step = max(1, HELD // width)
                 for i in range(0, len(places), step):
                     keys, out = neighbour_keys(letters[i : i + step], letters_of)
-                    part = batch.take(pa.array(places[i : i + step]))
-                    made = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * width, pa.int32()), pa.array(keys.ravel(), mask=out.ravel()))
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), made], ["word", "n", "made"])
+                    first = keys.view(np.uint64) >> _U(37)
+                    met = (bits[first >> _U(6)] >> (first & _U(63)) & _U(1)).astype(bool)
+                    row, change = np.nonzero(met & ~out)
+                    part = batch.take(pa.array(np.array(places[i : i + step])[row]))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(change.astype(np.int32)), pa.array(keys[row, change])], ["word", "n", "change", "key"])
 
-    return words.select("word", "n").mapInArrow(run, "word string, n bigint, made array<bigint>").select("word", "n", F.posexplode("made").alias("change", "key")).where("key is not null")
+    return words.select("word", "n").mapInArrow(run, "word string, n bigint, change int, key bigint")
 
 
 def changed(alphabet: str) -> Column:
@@ -197,7 +217,7 @@ def spelling_variants(docs: DataFrame) -> DataFrame:
     alphabet = "".join(sorted(r[0] for r in words.select(F.explode(F.split("word", "")).alias("c")).where("c <> ''").distinct().collect()))
     known = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "key")
     # equal keys of different strings are told apart by the strings
-    met = candidates(words, alphabet).join(F.broadcast(known) if small else known, "key").where(changed(alphabet) == F.col("near"))
+    met = candidates(words, alphabet, docs.sparkSession.sparkContext.broadcast(key_map(words))).join(F.broadcast(known) if small else known, "key").where(changed(alphabet) == F.col("near"))
     # the largest n first, then the smallest word
     best = met.groupBy("word", "n").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), "near")).alias("b"))
     form = F.when(-F.col("b.m") >= 2 * F.col("n"), F.col("b.near"))
