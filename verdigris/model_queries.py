@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from verdigris import reports, tools
-from verdigris.operators import impact, instances, pending, references, rooms, tree
+from verdigris.operators import impact, instances, meshes, pending, references, rooms, tree
 from verdigris.plant_queries import LEVEL, _t, elements
 
 _CUSTOMER = "case {k} % 3 when 0 then 'EQUI' when 1 then 'STRU' else 'PANE' end"
@@ -390,6 +390,30 @@ def q_room_panels(spark, d):
     return rooms.room_panels(e.select("refno", noun.alias("noun"), name.alias("name")), tree.closure(e), ["-R-"])
 
 
+#: An L of eight by eight seen from above; its floor and roof are fans from the first corner.
+_L = [(0, 0), (8, 0), (8, 4), (4, 4), (4, 8), (0, 8)]
+
+
+def _l_triangles():
+    """Corners of the floor, roof and walls of an L as (x, y, roof or floor)."""
+    flat = [((*_L[0], z), (*_L[i], z), (*_L[i + 1], z)) for z in (0, 1) for i in range(1, 5)]
+    sides = list(zip(_L, _L[1:] + _L[:1], strict=True))
+    return flat + [((*p, 0), (*q, 0), (*q, 1)) for p, q in sides] + [((*p, 0), (*q, 1), (*p, 1)) for p, q in sides]
+
+
+def q_mesh_rooms(spark, d):
+    """Parts' L-shaped rooms, ten apart, and the orders whose boxes lie in them; lines are the orders' points."""
+    p = _t(spark, d, "part").selectExpr(f"p_partkey + {6 * LEVEL} as panel", "concat('K', p_partkey) as room_num", "p_partkey % 50 * 10D as x", "p_partkey div 50 * 10D as y", "p_size % 5 + 4D as z")
+    ends = [F.struct(*((F.col(a) * t[2] if a == "z" else F.col(a) + F.lit(float(t["xyz".index(a)]))).alias(f"{v}{a}") for v, t in zip("abc", tri, strict=True) for a in "xyz")) for tri in _l_triangles()]
+    triangles = p.select("panel", F.inline(F.array(*ends)))
+    centre = {"x": "o_orderkey * 37 % 500", "y": "o_orderkey div 40", "z": "o_custkey % 10"}
+    o = _t(spark, d, "orders")
+    boxes = o.selectExpr("o_orderkey as element", *(f"cast({c} {s} (1 + o_orderkey % 3) as double) as {e}_{a}" for e, s in (("min", "-"), ("max", "+")) for a, c in centre.items()))
+    line = _t(spark, d, "lineitem").join(o.select("o_orderkey", *(F.expr(c).alias(a) for a, c in centre.items())), F.col("l_orderkey") == F.col("o_orderkey"))
+    points = line.selectExpr("l_orderkey as element", "cast(x + l_linenumber % 3 - 1 as double) as x", "cast(y + l_quantity % 3 - 1 as double) as y", "cast(z as double) as z")
+    return meshes.mesh_members(boxes, p.select("panel", "room_num"), triangles, points, 16.0)
+
+
 _OBS = "o as (select user_id as dbnum, event_id as seq, cast(user_id % 7 as bigint) as applied, case when event_id % 4 <> 3 then cast(floor(event_id % 100 + event_id / 10) as bigint) end as latest from events)"
 _PEND = "p as (select case when p_partkey % 3 = 0 then 'room' else 'regen' end as action, p_partkey as target, cast(p_size as bigint) as revision, cast(p_partkey % 6 as int) as attempts from part)"
 _CHANGED = f"changed as (select refno, op, {_IMPACT} as impact from (select {4 * LEVEL} + o_orderkey as refno, {_OPS.format(k='o_orderkey')} as op, o_orderkey % 8 as k, o_orderkey % 17 = 0 as again, {_ORDER.format(k='o_orderkey')} as noun from orders))"
@@ -462,6 +486,15 @@ SQL = {
  r as (select *, greatest(w, h) as g, case when shape = 'RECT/L' then case when greatest(w, h) < 800 then 0 when greatest(w, h) < 2000 and m <> 6 then 1 when greatest(w, h) >= 1200 then 2 end when greatest(w, h) >= 500 and greatest(w, h) < 2000 and m not in (1, 2) then 1 end as expr from p),
  x as (select *, case expr when 1 then (w + h + 83) * 2 / 1000 when 2 then (w + h + 103) * round(l / 800 - 0.5) * 2 / 1000 else 0 end as metres, case when shape = 'RECT/L' and g < 2000 then 2.5::double else 3.5::double end as scale from r)
  select refno, case expr when 2 then 'B' when 0 then 'A' when 1 then 'A' else '-' end as section, round(metres, 4) as metres, round(scale * metres, 4) as weight from x""",
+    "mesh_rooms": f"""with p as (select p_partkey + {6 * LEVEL} as panel, 'K' || p_partkey as room_num, p_partkey % 50 * 10 as px, (p_partkey // 50) * 10 as py, p_size % 5 + 4 as h from part),
+ o as (select o_orderkey as element, o_orderkey * 37 % 500 as x, o_orderkey // 40 as y, o_custkey % 10 as z, 1 + o_orderkey % 3 as r from orders),
+ c as (select element, x + i * r as x, y + j * r as y, z + k * r as z from o, (values (-1), (1)) a(i), (values (-1), (1)) b(j), (values (-1), (1)) e(k)),
+ held as (select panel, element from c join p on x >= px and x < px + 8 and y >= py and y < py + 8 and (x < px + 4 or y < py + 4) and z between 0 and h),
+ n as (select panel, element, cast(count(*) as int) as inside_count from held group by 1, 2),
+ l as (select l_orderkey as element, x + l_linenumber % 3 - 1 as x, y + l_quantity % 3 - 1 as y, z from lineitem join o on element = l_orderkey),
+ proved as (select distinct panel, element from n join l using (element) join p using (panel) where x >= px and x < px + 8 and y >= py and y < py + 8 and (x < px + 4 or y < py + 4) and z between 0 and h)
+ select panel, element, inside_count, sqrt((x - px - 4)::double ** 2 + (y - py - 4)::double ** 2 + (z - h / 2.0)::double ** 2) as center_dist, room_num from n join p using (panel) join o using (element)
+ where inside_count = 8 or (panel, element) in (select (panel, element) from proved)""",
     "room_panels": f"""with rooms as (select n_nationkey, {2 * LEVEL} + n_nationkey as room, 'K' || (n_nationkey + 100) as room_num from nation where n_nationkey % 4 <> 0),
  c as (select room, room_num, n_nationkey, c_custkey from rooms join customer on c_nationkey = n_nationkey)
  select room, room_num, {3 * LEVEL} + c_custkey as panel from c where ({3 * LEVEL} + c_custkey) % 3 = 0 union all select room, room_num, {4 * LEVEL} + o_orderkey from c join orders on o_custkey = c_custkey where n_nationkey % 2 = 0 and ({4 * LEVEL} + o_orderkey) % 3 = 0""",
