@@ -409,7 +409,7 @@ def q_mesh_rooms(spark, d):
     centre = {"x": "o_orderkey * 37 % 500", "y": "o_orderkey div 40", "z": "o_custkey % 10"}
     o = _t(spark, d, "orders")
     boxes = o.selectExpr("o_orderkey as element", *(f"cast({c} {s} (1 + o_orderkey % 3) as double) as {e}_{a}" for e, s in (("min", "-"), ("max", "+")) for a, c in centre.items()))
-    line = _t(spark, d, "lineitem").join(o.select("o_orderkey", *(F.expr(c).alias(a) for a, c in centre.items())), F.col("l_orderkey") == F.col("o_orderkey"))
+    line = _t(spark, d, "lineitem").join(o.select("o_orderkey", *(F.expr(c).alias(a) for a, c in centre.items())).hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
     points = line.selectExpr("l_orderkey as element", "cast(x + l_linenumber % 3 - 1 as double) as x", "cast(y + l_quantity % 3 - 1 as double) as y", "cast(z as double) as z")
     return meshes.mesh_members(boxes, p.select("panel", "room_num"), triangles, points, 16.0)
 
