@@ -1,6 +1,6 @@
 """Queries whose tables grow: what is broadcast, what is joined, and the same results by plainer rules."""
 
-from verdigris import model_queries
+from verdigris import model_queries, reports
 
 SF = "/root/testdata/sf0.001"
 
@@ -11,3 +11,13 @@ def _plan(df):
 
 def test_mesh_members_broadcast_nothing(spark):
     assert "Broadcast" not in _plan(model_queries.QUERIES["mesh_rooms"](spark, SF))
+
+
+def test_classification_broadcasts_no_stretches(spark, monkeypatch):
+    monkeypatch.setattr(reports, "MOST_PARTS", 0, raising=False)
+    names = ["abcdef", "xabc", None, "", "zz", "éab"]
+    rows = spark.createDataFrame([(i, names[i % 6]) for i in range(600)], "id int, name string")
+    rules = spark.createDataFrame([("p", "abc"), ("o", "abc"), ("q", "bcde"), ("r", "b"), ("s", ""), ("t", None), ("u", "é")], "code string, part string")
+    df = reports.classify_by_name(rows, "id", "name", rules, "else", 0)
+    assert "Broadcast" not in _plan(df)
+    assert {r["id"]: r["code"] for r in df.collect()} == {i: ["q", "o", "else", "else", "else", "r"][i % 6] for i in range(600)}

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.texts import like_star
-from verdigris.plans.scratch import bounded
+from verdigris.plans.scratch import Scratch, bounded
+
+#: Parts and names that may be broadcast.
+MOST_PARTS = 200_000
 
 
 def branch_surface(components: DataFrame, bores: DataFrame) -> DataFrame:
@@ -51,19 +54,26 @@ def vague_search(rows: DataFrame, name: str, every: list[str] = (), some: list[s
 def classify_by_name(rows: DataFrame, key: str, name: str, rules: DataFrame, otherwise: str, most_rules: int = 1000) -> DataFrame:
     """rules: code, part.  Adds code: that of the longest part that the name holds (ties: the least), else `otherwise`.
     key tells the rows apart.  Up to most_rules rules are one array that every row is held against; beyond that, the
-    stretches of each name that are as long as some part are joined to the parts."""
+    stretches of each different name that are as long as some part are joined to the parts.  Parts and names are broadcast
+    up to MOST_PARTS, by count; Spark's own guess takes the stretches for as small as the names and would broadcast them."""
     used = rules.select("code", "part").where("length(part) > 0")
     if bounded(rules, most_rules):
         listed = used.agg(F.array_sort(F.collect_set(F.struct((-F.length("part")).alias("l"), "code", "part"))).alias("__rules"))
         first = F.get(F.filter("__rules", lambda r: F.contains(F.col(name), r["part"])), F.lit(0))["code"]
         return rows.join(F.broadcast(listed)).withColumn("code", F.coalesce(first, F.lit(otherwise))).drop("__rules")
+    scratch = Scratch(rows.sparkSession)
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if bounded(df, MOST_PARTS) else df.hint("merge")
+
+    best = scratch.keep(used.groupBy("part").agg(F.min("code").alias("code")), "parts")
     # as many lengths as the longest part has characters, at most
-    lengths = F.array(*(F.lit(r[0]) for r in used.select(F.length("part")).distinct().collect()))
-    long = rows.select(key, F.col(name).alias("__name"), F.explode(F.filter(lengths, lambda n: n <= F.length(F.col(name)))).alias("__n"))
-    stretches = long.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length("__name") - F.col("__n") + 1), lambda i: F.substring(F.col("__name"), i, F.col("__n")))).alias("part")).distinct()
-    best = used.groupBy("part").agg(F.min("code").alias("code"))
-    found = stretches.join(best, "part").groupBy(key).agg(F.min_by("code", F.struct(-F.length("part"), "code")).alias("__code"))
-    return rows.join(found, key, "left").withColumn("code", F.coalesce("__code", F.lit(otherwise))).drop("__code").select(*rows.columns, "code")
+    lengths = F.array(*(F.lit(r[0]) for r in best.select(F.length("part")).distinct().collect())).cast("array<int>")
+    long = rows.select(F.col(name).alias("__name")).where("__name is not null").distinct().withColumn("__n", F.explode(F.filter(lengths, lambda n: n <= F.length("__name"))))
+    stretches = F.transform(F.sequence(F.lit(1), F.length("__name") - F.col("__n") + 1), lambda i: F.substring(F.col("__name"), i, F.col("__n")))
+    held = long.select("__name", F.explode(F.array_distinct(stretches)).alias("part"))
+    found = scratch.keep(held.join(small(best), "part").groupBy("__name").agg(F.min_by("code", F.struct(-F.length("part"), "code")).alias("__code")), "found")
+    return rows.join(small(found), F.col(name) == F.col("__name"), "left").select(*rows.columns, F.coalesce("__code", F.lit(otherwise)).alias("code"))
 
 
 def step_value(value: Column, steps: list[tuple[float, float]], beyond: float) -> Column:
