@@ -1,6 +1,11 @@
 """Queries whose tables grow: what is broadcast, what is joined, and the same results by plainer rules."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from verdigris import model_queries, reports
+from verdigris.operators import relate
 
 SF = "/root/testdata/sf0.001"
 
@@ -9,6 +14,21 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def _joined(df):
+    """Rows that the joins of the last plan made."""
+    df.collect()
+
+    def walk(p):
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            return walk(p.executedPlan())
+        if "QueryStage" in p.nodeName():
+            return walk(p.plan())
+        below = sum(walk(p.children().apply(i)) for i in range(p.children().size()))
+        return below + (p.metrics().apply("numOutputRows").value() if "Join" in p.nodeName() else 0)
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
 def test_mesh_members_broadcast_nothing(spark):
     assert "Broadcast" not in _plan(model_queries.QUERIES["mesh_rooms"](spark, SF))
 
@@ -21,3 +41,22 @@ def test_classification_broadcasts_no_stretches(spark, monkeypatch):
     df = reports.classify_by_name(rows, "id", "name", rules, "else", 0)
     assert "Broadcast" not in _plan(df)
     assert {r["id"]: r["code"] for r in df.collect()} == {i: ["q", "o", "else", "else", "else", "r"][i % 6] for i in range(600)}
+
+
+def test_two_ranges_of_common_questions(spark):
+    rng = random.Random(3)
+    null = lambda x: None if rng.random() < 0.05 else x
+    rows = [(i, null(rng.randrange(3)), null(rng.randrange(9)), null(float(rng.randrange(9)))) for i in range(300)]
+    selections = [(rng.randrange(3), rng.randrange(6), lo := rng.randrange(9), lo + rng.randrange(5)) for _ in range(20)]
+    answers = [(rng.randrange(5), rng.randrange(40), lo := rng.randrange(9), lo + rng.randrange(4), null(float(rng.randrange(99)))) for _ in range(40)]
+    want = {}
+    for i, spec, first, second in rows:
+        hit = [(e, q, a is not None, a) for s, e, lo, hi in selections for e2, q, lo2, hi2, a in answers if e == e2 and None not in (spec, first, second) and spec == s and lo <= first <= hi and lo2 <= second <= hi2]
+        want[i] = min(hit)[-1] if hit else None
+    tables = [spark.createDataFrame(*x) for x in ((rows, "id int, spec int, first int, second double"), (selections, "spec int, sele int, lo int, hi int"), (answers, "sele int, seq int, lo int, hi int, answer double"))]
+    for most in (100_000, 0):
+        assert {r["id"]: r["answer"] for r in relate.two_ranges(*tables, "id", "first", "second", most).collect()} == want
+    same = spark.range(2000).select("id", F.lit(1).alias("spec"), F.lit(1).alias("first"), F.lit(1).alias("second"))
+    many = spark.range(500).select(F.lit(1).alias("sele"), F.col("id").alias("seq"), F.lit(0).alias("lo"), F.lit(5).alias("hi"), F.col("id").alias("answer"))
+    df = relate.two_ranges(same, same.limit(1).select("spec", F.lit(1).alias("sele"), F.lit(0).alias("lo"), F.lit(5).alias("hi")), many, "id", "first", "second")
+    assert _joined(df) <= 10_000 and {r["answer"] for r in df.collect()} == {0}
