@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from verdigris import model_queries, reports
-from verdigris.operators import relate
+from verdigris.operators import instances, references, relate, rooms, tree
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +60,66 @@ def test_two_ranges_of_common_questions(spark):
     many = spark.range(500).select(F.lit(1).alias("sele"), F.col("id").alias("seq"), F.lit(0).alias("lo"), F.lit(5).alias("hi"), F.col("id").alias("answer"))
     df = relate.two_ranges(same, same.limit(1).select("spec", F.lit(1).alias("sele"), F.lit(0).alias("lo"), F.lit(5).alias("hi")), many, "id", "first", "second")
     assert _joined(df) <= 10_000 and {r["answer"] for r in df.collect()} == {0}
+
+
+def _box(i, at, h):
+    return (i, *(c - h for c in at), *(c + h for c in at))
+
+
+def test_crowded_cells_in_blocks(spark, monkeypatch):
+    """Cells of more rows than a block: every pair once, and tasks that no cell fills."""
+    monkeypatch.setattr(relate, "BLOCK", 7, raising=False)
+    rng = random.Random(4)
+    box = "id long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
+    left, right = ([_box(i, [rng.uniform(-0.5, 0.5) for _ in range(3)], h) for i in range(n)] for n, h in ((150, 0.05), (130, 0.2)))
+    got = relate.box_overlap(spark.createDataFrame(left, box), spark.createDataFrame(right, box), 0.4)
+    want = sorted((a[0], b[0]) for a in left for b in right if all(max(a[i], b[i]) <= min(a[i + 3], b[i + 3]) for i in (1, 2, 3)))
+    assert sorted(map(tuple, got.collect())) == want and "__lb" in _plan(got)
+    points = [(i, *(rng.uniform(-0.5, 0.5) for _ in range(3))) for i in range(120)]
+    p = spark.createDataFrame(points, "id long, x double, y double, z double")
+    near = relate.within_radius(p, p, 0.2)
+    assert sorted((r["id"], r["centre"]) for r in near.collect()) == sorted((a[0], b[0]) for a in points for b in points if sum((a[i] - b[i]) ** 2 for i in (1, 2, 3)) ** 0.5 <= 0.2) and "__lb" in _plan(near)
+
+
+def test_pairs_of_rooms_are_not_shuffled(spark):
+    """All parts in all rooms: the join of boxes is the last one, and what it makes goes straight to the result."""
+    box = ", ".join(f"{c} double" for c in instances.BOX)
+    parts = spark.createDataFrame([_box(i, (0.0, 0.0, 0.0), 0.05) for i in range(60)], f"element long, {box}")
+    panels = spark.createDataFrame([(r[0], f"R{r[0]}", *r[1:]) for r in (_box(i, (0.01 * (i - 100), 0.0, 0.0), 0.2) for i in range(100, 130))], f"panel long, room_num string, {box}")
+    points = spark.createDataFrame([(i, 0.04, 0.0, 0.0) for i in range(0, 60, 2)] + [(1, None, 0.0, 0.0), (3, float("nan"), 0.0, 0.0)], "element long, x double, y double, z double")
+    found = rooms.room_members(parts, panels, points, 0.4)
+    want = {(p, e) for p in range(100, 130) for e in range(60) if 0.01 * (p - 100) - 0.2 <= -0.05 or (e % 2 == 0 and 0.01 * (p - 100) - 0.2 <= 0.04)}
+    assert {(r["panel"], r["element"]) for r in found.collect()} == want
+    assert _plan(found).index("Join") < _plan(found).index("Exchange")
+    best = relate.strongest(found.withColumnRenamed("panel", "room"))
+    assert {(r["element"], r["room"]) for r in best.collect()} == {(e, 100) for e in range(60)}
+
+
+def test_closure_broadcasts_no_table(spark, monkeypatch):
+    elements = spark.range(3000).selectExpr("id as refno", "if(id % 9 = 0, null, id div 3) as owner", "if(id % 4 = 0, 'GMSE', 'SPEC') as noun", "1 as dbnum")
+    edges, seeds = spark.range(0, 3000, 5).selectExpr("id as referrer", "id * 2 + 1 as referenced"), spark.range(0, 125, 5).withColumnRenamed("id", "refno")
+    asked, real = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: asked.append(df.count()) or real(df))
+    few = {r["refno"] for r in references.reference_closure(elements, edges, seeds).collect()}
+    assert asked and max(asked) <= 200
+    monkeypatch.setattr(references, "FRONT", -1)
+    assert {r["refno"] for r in references.reference_closure(elements, edges, seeds).collect()} == few and len(few) > 100
+
+
+def test_children_in_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(tree, "CHILDREN", 100, raising=False)
+    rng = random.Random(8)
+    rows = [(i, None if i % 97 == 0 else rng.randrange(40), None if i % 13 == 0 else rng.randrange(5), "AB"[i % 2]) for i in range(2000)]
+    e = spark.createDataFrame(rows, "refno long, owner long, seq long, noun string")
+    got = tree.siblings(e)
+    assert got.rdd.getNumPartitions() >= 20
+    want = {}
+    for o in range(40):
+        mine = sorted((r for r in rows if r[1] == o), key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        kept = [r[0] if r[0] % 3 else None for r in mine]
+        for i, r in enumerate(mine):
+            want[r[0]] = (i + 1, next((k for k in kept[:i][::-1] if k), None), next((k for k in kept[i + 1 :] if k), None))
+    assert {r["refno"]: r["ordinal"] for r in got.collect()} == {k: v[0] for k, v in want.items()}
+    near = tree.neighbours_skipping(e, F.col("refno") % 3 == 0)
+    assert {r["refno"]: (r["prev_kept"], r["next_kept"]) for r in near.collect()} == {k: v[1:] for k, v in want.items()}
+    assert "1 following" not in _plan(near) and "currentrow$(), 1, unboundedfollowing" not in _plan(near).lower()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.operators import instances
-from verdigris.operators.relate import AXES, box_overlap
+from verdigris.operators.relate import AXES, box_pairs
 
 
 def room_panels(elements: DataFrame, closed: DataFrame, keywords: list[str], number: str = "^[A-Z][0-9]{3}$") -> DataFrame:
@@ -22,14 +22,15 @@ def room_panels(elements: DataFrame, closed: DataFrame, keywords: list[str], num
     return below.join(elements.where("noun = 'PANE'").select("refno"), "refno", "left_semi").select("room", "room_num", F.col("refno").alias("panel"))
 
 
-def _inside(point: list[Column], panel: str) -> Column:
+def _inside(point: list[Column], panel: str, planes: bool) -> Column:
     """Whether a point lies in the panel with this prefix: in its box, and on the inner side of its planes, if it has any
     (array of structs a, b, c, d with a x + b y + c z <= d inside)."""
     out = F.lit(True)
     for a, at in zip(AXES, point, strict=True):
         out = out & (at >= F.col(f"{panel}min_{a}")) & (at <= F.col(f"{panel}max_{a}"))
-    planes = F.forall(F.coalesce(F.col(f"{panel}planes"), F.array().cast(PLANES)), lambda p: p["a"] * point[0] + p["b"] * point[1] + p["c"] * point[2] <= p["d"])
-    return out & planes
+    if planes:
+        out = out & F.forall(F.coalesce(F.col(f"{panel}planes"), F.array().cast(PLANES)), lambda p: p["a"] * point[0] + p["b"] * point[1] + p["c"] * point[2] <= p["d"])
+    return out
 
 
 #: Type of a panel's planes.
@@ -41,24 +42,33 @@ def room_members(parts: DataFrame, panels: DataFrame, points: DataFrame, cell: f
     element, x, y, z, its geometry in the world.  (panel, element, inside_count, center_dist, room_num).  Of a part's eight
     corners, all inside make it a member, none leave it out, and with one to seven inside it is a member if any of its
     points is.  Panels are no members.  Boxes that are not finite are in no room; a build that sees fewer than `least` of
-    the parts' boxes is refused, as it could not tell an empty room from an unknown one."""
+    the parts' boxes is refused, as it could not tell an empty room from an unknown one.  An element's points are one array."""
     seen = parts.agg(F.count("*").alias("n"), F.count_if(instances.usable()).alias("usable")).first()
     instances.require_coverage(seen["usable"], seen["n"], least)
-    own = panels if "planes" in panels.columns else panels.withColumn("planes", F.lit(None).cast(PLANES))
-    real = parts.join(own.select(F.col("panel").alias("element")), "element", "left_anti")
-    pairs = box_overlap(real.select(F.col("element").alias("id"), *instances.BOX), own.select(F.col("panel").alias("id"), *instances.BOX), cell)
-    pairs = pairs.select(F.col("left_id").alias("element"), F.col("right_id").alias("panel"))
-    j = pairs.join(real.select("element", *instances.BOX), "element")
-    j = j.join(own.select("panel", "room_num", F.col("planes").alias("p_planes"), *(F.col(c).alias(f"p_{c}") for c in instances.BOX)), "panel")
-    corners = [[F.col(f"{e}_{a}") for e in ("min", "max")] for a in AXES]
-    inside = sum((_inside([x, y, z], "p_").cast("int") for x in corners[0] for y in corners[1] for z in corners[2]), F.lit(0))
-    apart = sum((((F.col(f"min_{a}") + F.col(f"max_{a}")) - (F.col(f"p_min_{a}") + F.col(f"p_max_{a}"))) / 2) ** 2 for a in AXES)
-    j = j.withColumn("inside_count", inside).withColumn("center_dist", F.sqrt(apart)).where("inside_count > 0")
-    at = [F.col(f"at_{a}") for a in AXES]
-    doubtful = j.where("inside_count < 8").join(points.select("element", *(F.col(a).alias(f"at_{a}") for a in AXES)), "element")
-    proved = doubtful.where(_inside(at, "p_")).select("panel", "element").distinct()
-    out = ["panel", "element", "inside_count", "center_dist", "room_num"]
-    return j.where("inside_count = 8").select(*out).union(j.where("inside_count < 8").join(proved, ["panel", "element"], "left_semi").select(*out))
+    planes = "planes" in panels.columns
+    real = parts.where("element is not null").join(panels.select(F.col("panel").alias("element")).hint("merge"), "element", "left_anti")
+    whole = points.where(" and ".join(f"{a} is not null and not isnan({a})" for a in AXES)).groupBy("element")
+    whole = whole.agg(*(f(a).alias(f"at_{n}_{a}") for n, f in (("min", F.min), ("max", F.max)) for a in AXES), F.collect_list(F.struct(*AXES)).alias("at"))
+    real = real.select(F.col("element").alias("id"), "element", *instances.BOX).join(whole.hint("merge"), "element", "left").drop("element")
+    own = panels.select(F.col("panel").alias("id"), "room_num", *instances.BOX, *(["planes"] if planes else []))
+    # pairs carry all that is asked of them: there may be many more pairs than parts, and none of them is shuffled
+    j = box_pairs(real, own, cell)
+    corners = [[F.col(f"left_{e}_{a}") for e in ("min", "max")] for a in AXES]
+    if planes:
+        inside = sum((_inside([x, y, z], "right_", True).cast("int") for x in corners[0] for y in corners[1] for z in corners[2]), F.lit(0))
+    else:
+        within = [sum(((at >= F.col(f"right_min_{a}")) & (at <= F.col(f"right_max_{a}"))).cast("int") for at in ends) for a, ends in zip(AXES, corners, strict=True)]
+        inside = within[0] * within[1] * within[2]
+    apart = sum((((F.col(f"left_min_{a}") + F.col(f"left_max_{a}")) - (F.col(f"right_min_{a}") + F.col(f"right_max_{a}"))) / 2) ** 2 for a in AXES)
+    met, held = F.lit(True), F.lit(not planes)
+    for a in AXES:
+        low, high = (F.col(f"left_at_{e}_{a}") for e in ("min", "max"))
+        met = met & (low <= F.col(f"right_max_{a}")) & (high >= F.col(f"right_min_{a}"))
+        held = held & (low >= F.col(f"right_min_{a}")) & (high <= F.col(f"right_max_{a}"))
+    # the points' own box tells of most pairs whether one of them is inside
+    proved = met & (held | F.exists("left_at", lambda at: _inside([at[a] for a in AXES], "right_", planes)))
+    j = j.select(F.col("right_id").alias("panel"), F.col("left_id").alias("element"), inside.alias("inside_count"), F.sqrt(apart).alias("center_dist"), F.col("right_room_num").alias("room_num"), proved.alias("proved"))
+    return j.where("inside_count = 8 or (inside_count > 0 and proved)").drop("proved")
 
 
 def room_code(frame_name: Column, room_num: Column) -> Column:
