@@ -81,6 +81,10 @@ def uncovered_nouns(elements: DataFrame, routed: list[str]) -> DataFrame:
 CONTAINERS = ("GMSE", "GMSS", "NGMS", "PTSE", "PSTR", "SPRO", "DTSE", "SEXT", "NSEX", "SREV", "NSRE", "SLOO")
 
 
+#: Ids of a round that may be broadcast.
+FRONT = 50_000
+
+
 def reference_closure(elements: DataFrame, edges: DataFrame, seeds: DataFrame, containers: tuple[str, ...] = CONTAINERS, max_rounds: int | None = None) -> DataFrame:
     """elements: refno, owner, noun, dbnum (those in scope, an id once).  edges: referrer, referenced.  seeds: refno.  All that the
     seeds need: what they refer to, their owners, and the members of containers, and so on.  refno, dbnum and the round
@@ -89,30 +93,41 @@ def reference_closure(elements: DataFrame, edges: DataFrame, seeds: DataFrame, c
     scratch = Scratch(elements.sparkSession)
     elements = scratch.keep(elements.select("refno", "owner", "noun", "dbnum").dropDuplicates(["refno"]), "elements")
     edges = scratch.keep(edges.select("referrer", "referenced").distinct(), "edges")
-    members = elements.select(F.col("owner").alias("refno"), F.col("refno").alias("member"))
     columns = ["refno", "owner", "noun", "dbnum"]
 
-    def reach(refs: DataFrame, no: int) -> DataFrame:
-        return refs.where("refno is not null").distinct().join(elements, "refno", "left").select(*columns, F.lit(no).alias("round"))
-
-    def onward(found: DataFrame, seen: DataFrame) -> DataFrame:
-        """(refno, to): what the rows found need and nothing has reached."""
+    def little(df: DataFrame, n: int) -> DataFrame:
+        """What a round adds is broadcast where it is little; the tables never are, however small their files look."""
+        return F.broadcast(df) if n <= FRONT else df.hint("merge")
+
+    def reach(to: DataFrame, seen: DataFrame | None, no: int) -> DataFrame:
+        """The ids (refno) that nothing has reached, with the elements' columns."""
+        to = scratch.keep(to.where("refno is not null").distinct(), "to")
+        n = to.count()
+        if seen is not None:
+            to = to.join(seen.select("refno").join(little(to, n), "refno", "left_semi").hint("merge"), "refno", "left_anti")
+        there = elements.join(little(to, n), "refno", "left_semi")
+        return to.join(there.hint("merge"), "refno", "left").select(*columns, F.lit(no).alias("round"))
+
+    def onward(found: DataFrame, n: int) -> DataFrame:
+        """(refno, to): what the rows found need."""
         here = found.where("dbnum is not null")
-        out = here.join(edges, here["refno"] == edges["referrer"]).select("refno", F.col("referenced").alias("to"))
+        out = edges.join(little(here.select(F.col("refno").alias("referrer")), n), "referrer").select(F.col("referrer").alias("refno"), F.col("referenced").alias("to"))
         up = here.select("refno", F.col("owner").alias("to"))
-        down = here.where(F.col("noun").isin(*containers)).join(members, "refno").select("refno", F.col("member").alias("to"))
-        return out.union(up).union(down).where("to is not null").join(seen.select(F.col("refno").alias("to")), "to", "left_anti")
+        holders = here.where(F.col("noun").isin(*containers)).select(F.col("refno").alias("owner"))
+        down = elements.select("refno", "owner").join(little(holders, n), "owner").select(F.col("owner").alias("refno"), F.col("refno").alias("to"))
+        return out.union(up).union(down).where("to is not null")
 
-    seen, no = scratch.keep(reach(seeds.select("refno"), 0), "seen"), 0
+    seen, no = scratch.keep(reach(seeds.select("refno"), None, 0), "seen"), 0
     while True:
         found = seen.where(F.col("round") == no)
+        n = found.count()
+        if n == 0:
+            return seen.select("refno", "dbnum", "round", F.lit(False).alias("truncated"))
         no += 1
         if no == max_rounds:
-            left = onward(found, seen).select("refno", F.lit(True).alias("truncated")).distinct()
-            return seen.join(left, "refno", "left").select("refno", "dbnum", "round", F.coalesce("truncated", F.lit(False)).alias("truncated"))
-        seen = scratch.append(seen, reach(onward(found, seen).select(F.col("to").alias("refno")), no))
-        if seen.where(F.col("round") == no).isEmpty():
-            return seen.select("refno", "dbnum", "round", F.lit(False).alias("truncated"))
+            left = onward(found, n).join(seen.select(F.col("refno").alias("to")).hint("merge"), "to", "left_anti").select("refno", F.lit(True).alias("truncated")).distinct()
+            return seen.join(left.hint("merge"), "refno", "left").select("refno", "dbnum", "round", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+        seen = scratch.append(seen, reach(onward(found, n).select(F.col("to").alias("refno")), seen, no))
 
 
 def user_values(elements: DataFrame, values: DataFrame, definitions: DataFrame) -> DataFrame:
