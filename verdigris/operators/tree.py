@@ -123,12 +123,24 @@ def nearest_ancestor(elements: DataFrame, closed: DataFrame, nouns: Column) -> D
     return closed.join(kinds, "anc").groupBy("refno").agg(F.min(F.struct("depth", "anc")).alias("n")).select("refno", F.col("n.anc").alias("root"), F.col("n.depth").alias("depth"))
 
 
+#: Children that a task puts in order, but for an owner that has more.
+CHILDREN = 250_000
+
+
+def _by_owner(elements: DataFrame) -> DataFrame:
+    """Elements that have an owner, dealt by it to as many partitions as their number needs, so that what a task sorts does
+    not grow with the table."""
+    kept = Scratch(elements.sparkSession).keep(elements.where("owner is not null"), "children")
+    n = max(int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-kept.count() // CHILDREN))
+    return kept.repartition(n, "owner")
+
+
 def siblings(elements: DataFrame) -> DataFrame:
     """Adds ordinal, same_noun_ordinal, prev and next, first and last among the owner's children by (seq, refno)."""
     w = Window.partitionBy("owner").orderBy("seq", "refno")
     noun = Window.partitionBy("owner", "noun").orderBy("seq", "refno")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return elements.where("owner is not null").select(
+    return _by_owner(elements).select(
         "*",
         F.row_number().over(w).alias("ordinal"),
         F.row_number().over(noun).alias("same_noun_ordinal"),
