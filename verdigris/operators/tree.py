@@ -152,10 +152,12 @@ def siblings(elements: DataFrame) -> DataFrame:
 
 
 def neighbours_skipping(elements: DataFrame, skipped: Column) -> DataFrame:
-    """Adds prev_kept and next_kept: the nearest siblings before and after that the condition does not skip."""
-    w = Window.partitionBy("owner").orderBy("seq", "refno")
+    """Adds prev_kept and next_kept: the nearest siblings before and after that the condition does not skip.  Both carry
+    the last one on, up and down the order: a frame that ends at the last sibling is read anew for each row."""
     kept = F.when(~skipped, F.col("refno"))
-    return elements.where("owner is not null").select("*", F.last(kept, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("prev_kept"), F.first(kept, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("next_kept"))
+    up = Window.partitionBy("owner").orderBy("seq", "refno").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy("owner").orderBy(F.desc("seq"), F.desc("refno")).rowsBetween(Window.unboundedPreceding, -1)
+    return _by_owner(elements).select("*", F.last(kept, ignorenulls=True).over(up).alias("prev_kept"), F.last(kept, ignorenulls=True).over(down).alias("next_kept"))
 
 
 def pack_refno(ref0: Column, ref1: Column) -> Column:
