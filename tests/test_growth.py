@@ -81,6 +81,42 @@ def test_crowded_cells_in_blocks(spark, monkeypatch):
     assert sorted((r["id"], r["centre"]) for r in near.collect()) == sorted((a[0], b[0]) for a in points for b in points if sum((a[i] - b[i]) ** 2 for i in (1, 2, 3)) ** 0.5 <= 0.2) and "__lb" in _plan(near)
 
 
+def _shuffled(df):
+    """Rows that the exchanges of the last plan wrote."""
+    df.collect()
+
+    def walk(p):
+        if p.nodeName().startswith("AdaptiveSparkPlan"):
+            return walk(p.executedPlan())
+        if "QueryStage" in p.nodeName():
+            return walk(p.plan())
+        below = sum(walk(p.children().apply(i)) for i in range(p.children().size()))
+        return below + (p.metrics().apply("shuffleRecordsWritten").value() if p.nodeName() == "Exchange" else 0)
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_copies_grow_as_the_rows_do(spark, monkeypatch):
+    """Four times the rows of one cell, each copied to no more blocks; and blocks that hold no more than MOST rows."""
+    monkeypatch.setattr(relate, "BLOCK", 2)
+    monkeypatch.setattr(relate, "BLOCKS", 16, raising=False)
+    rng = random.Random(9)
+    points = [(i, *(rng.uniform(0.001, 0.019) for _ in range(3))) for i in range(400)]
+
+    def pairs(n):
+        p = spark.createDataFrame(points[:n], "id long, x double, y double, z double")
+        box = p.select("id", *((F.col(a) + s * 0.001).alias(f"{e}_{a}") for e, s in (("min", -1), ("max", 1)) for a in "xyz"))
+        return relate.within_radius(p, p, 0.02), relate.box_overlap(box, box, 0.4)
+
+    for few, many in zip(pairs(100), pairs(400), strict=True):
+        assert 0 < _shuffled(many) <= 4 * _shuffled(few)
+    monkeypatch.setattr(relate, "MOST", 4, raising=False)
+    near, boxes = pairs(100)
+    d = lambda a, b: [abs(a[i] - b[i]) for i in (1, 2, 3)]
+    assert sorted((r["id"], r["centre"]) for r in near.collect()) == sorted((a[0], b[0]) for a in points[:100] for b in points[:100] if sum(x * x for x in d(a, b)) ** 0.5 <= 0.02)
+    assert sorted(map(tuple, boxes.collect())) == sorted((a[0], b[0]) for a in points[:100] for b in points[:100] if all(max(a[i] - 0.001, b[i] - 0.001) <= min(a[i] + 0.001, b[i] + 0.001) for i in (1, 2, 3)))
+
+
 def test_pairs_of_rooms_are_not_shuffled(spark):
     """All parts in all rooms: the join of boxes is the last one, and what it makes goes straight to the result."""
     box = ", ".join(f"{c} double" for c in instances.BOX)
