@@ -1,6 +1,8 @@
 """Queries whose tables grow: what is broadcast, what is joined, and the same results by plainer rules."""
 
+import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -117,6 +119,61 @@ def test_copies_grow_as_the_rows_do(spark, monkeypatch):
     assert sorted(map(tuple, boxes.collect())) == sorted((a[0], b[0]) for a in points[:100] for b in points[:100] if all(max(a[i] - 0.001, b[i] - 0.001) <= min(a[i] + 0.001, b[i] + 0.001) for i in (1, 2, 3)))
 
 
+def _near(points, radius):
+    ok = [p for p in points if None not in p[1:]]
+    d = lambda a, b, i: (a[i] - b[i]) * (a[i] - b[i])
+    apart = lambda a, b: math.sqrt(d(a, b, 1) + d(a, b, 2) + d(a, b, 3))
+    return sorted((a[0], b[0], far) for a in ok for b in ok if (far := apart(a, b)) <= radius)
+
+
+def test_near_pairs_come_in_order(spark, monkeypatch):
+    """A task's pairs ascend in distance, and so many pairs as are compared are dealt to so many tasks."""
+    monkeypatch.setattr(relate, "BLOCK", 16)
+    monkeypatch.setattr(relate, "LOOKS", 500, raising=False)
+    rng = random.Random(12)
+    points = [(f"p{i}", *(rng.uniform(-0.3, 0.3) for _ in range(3))) for i in range(200)]
+    points += [("n", None, 0.0, 0.0), ("nan", float("nan"), 0.0, 0.0), ("far", 5.0, 5.0, 5.0), ("far2", 5.0, 5.0, 5.2), (None, 7.0, 7.0, 7.0)]
+    p = spark.createDataFrame(points, "id string, x double, y double, z double")
+    near = relate.within_radius(p, p, 0.2)
+    got = [tuple(r) for r in near.collect()]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(got, key=key) == sorted(_near(points[:-1], 0.2) + [(None, None, 0.0)], key=key)
+    tasks = near.withColumn("task", F.spark_partition_id()).select("task", "dist").collect()
+    by_task = {}
+    for r in tasks:
+        by_task.setdefault(r["task"], []).append(r["dist"])
+    assert all(d == sorted(d) for d in by_task.values()) and max(map(len, by_task.values())) > 20
+    dealt = lambda df: max(map(int, re.findall(r"(\d+)\), REPARTITION_BY_NUM", _plan(df))))
+    few = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(relate, "LOOKS", 1 << 24, raising=False)
+    assert dealt(near) > few == dealt(relate.within_radius(p, p, 0.2))
+
+
+def test_near_pairs_of_cut_batches(monkeypatch):
+    """Groups that go on over batches, tiles of a few pairs, and stretches of no more than a few rows."""
+    import pyarrow as pa
+
+    from verdigris.operators import near_pairs
+
+    monkeypatch.setattr(near_pairs, "TILE", 5)
+    monkeypatch.setattr(near_pairs, "STRETCH", 20)
+    rng = random.Random(13)
+    rows = [(g, h, side, i, rng.uniform(0, 0.3)) for g, h in ((0, 0), (0, 1), (1, 0), (1, 2), (3, 0)) for side in (0, 1) for i in range(rng.randrange(12) if (g, side) != (3, 1) else 0)]
+    t = pa.table(dict(zip(("g", "h", "side", "id", "x"), zip(*rows, strict=True), strict=True)))
+    t = t.append_column("centre", t["id"])
+    schema = pa.schema([("id", pa.int64()), ("centre", pa.int64()), ("dist", pa.float64())])
+    want = sorted((a[3], b[3], abs(a[4] - b[4])) for a in rows for b in rows if a[:2] == b[:2] and a[2] < b[2] and abs(a[4] - b[4]) <= 0.1)
+    for size in (1, 3, 7, 1000):
+        groups = list(near_pairs.whole_groups([pa.RecordBatch.from_pylist([], t.schema), *t.to_batches(max_chunksize=size)], ["g", "h"]))
+        assert sum(x.num_rows for x in groups) == len(rows) and len({(g, h) for g, h, *_ in rows}) == sum(len(set(zip(x["g"].to_pylist(), x["h"].to_pylist(), strict=True))) for x in groups)
+        pairs = list(near_pairs.near(groups, ["g", "h"], ("x",), 0.1, schema))
+        got = pa.Table.from_batches(near_pairs.in_stretches(pairs, "dist"), schema)
+        assert [(r["id"], r["centre"], round(r["dist"], 12)) for r in sorted(got.to_pylist(), key=lambda r: tuple(r.values()))] == [(a, b, round(d, 12)) for a, b, d in want]
+        d = got["dist"].to_pylist()
+        assert len(d) > 40 and sum(a > b for a, b in zip(d, d[1:], strict=False)) <= len(d) // 20
+    assert list(near_pairs.whole_groups([], ["g"])) == [] and list(near_pairs.in_stretches([], "dist")) == []
+
+
 def test_pairs_of_rooms_are_not_shuffled(spark):
     """All parts in all rooms: the join of boxes is the last one, and what it makes goes straight to the result."""
     box = ", ".join(f"{c} double" for c in instances.BOX)
