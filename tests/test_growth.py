@@ -216,3 +216,30 @@ def test_children_in_many_partitions(spark, monkeypatch):
     near = tree.neighbours_skipping(e, F.col("refno") % 3 == 0)
     assert {r["refno"]: (r["prev_kept"], r["next_kept"]) for r in near.collect()} == {k: v[1:] for k, v in want.items()}
     assert "1 following" not in _plan(near) and "currentrow$(), 1, unboundedfollowing" not in _plan(near).lower()
+
+
+def test_box_pairs_take_few_bytes(spark, tmp_path):
+    """A file of all pairs holds the same stretches of ids again and again."""
+    rng = random.Random(31)
+    box = "id long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
+    left, right = (spark.createDataFrame([_box(i, [rng.uniform(0.02, 0.38) for _ in range(3)], h) for i in range(k, 6000, 2)], box) for k, h in ((0, 0.05), (1, 0.2)))
+    relate.box_overlap(left, right, 0.4).write.parquet(f"{tmp_path}/pairs")
+    n = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert n > 5_000_000 and sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.6 * n
+
+
+def test_box_groups_of_any_boxes(spark, monkeypatch):
+    """Groups of a few boxes of any size and place, many of them in one place: every pair once."""
+    monkeypatch.setattr(relate, "BLOCK", 9)
+    monkeypatch.setattr(relate, "GROUP", 4, raising=False)
+    rng = random.Random(32)
+    box = "id long, min_x double, min_y double, min_z double, max_x double, max_y double, max_z double"
+
+    def some(first, n):
+        spread = lambda: [rng.choice([rng.gauss(0, 0.1), rng.gauss(0, 0.1), rng.uniform(-3, 3), 0.0]) for _ in range(3)]
+        return [_box(first + i, spread(), rng.choice([0.0, 0.01, 0.05, 0.2, 0.2, 0.7, 3.0])) for i in range(n)] + [_box(first + n + i, (0.1, 0.1, 0.1), 0.05) for i in range(40)]
+
+    left, right = some(0, 150), some(1000, 170) + [(None, *[0.0] * 3, *[0.3] * 3)]
+    got = [tuple(r) for r in relate.box_overlap(spark.createDataFrame(left, box), spark.createDataFrame(right, box), 0.4).collect()]
+    want = [(a[0], b[0]) for a in left for b in right if all(max(a[i], b[i]) <= min(a[i + 3], b[i + 3]) for i in (1, 2, 3))]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(want) > 5000
